@@ -30,3 +30,28 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     m = mix(table(spark, sf_dir, "documents"))
     return m.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+
+
+@query()
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Not SQL: ids of a tokenizer. tests/llm hold pieces against the library and sequences against their capacities."""
+    import public_tokenizers
+
+    from bytelens.llm.packing import pack_documents
+
+    packed = pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), drops_space=True)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@query()
+def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Not SQL: ids of a tokenizer, from files. tests/llm hold them against the library, the files against a round trip."""
+    import public_tokenizers
+
+    from bytelens.llm.scratch import Scratch
+    from bytelens.llm.token_store import qualified, read_store, write_store
+
+    scratch = Scratch(spark)
+    folder = qualified(spark, scratch.path())
+    made = write_store(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), folder, drops_space=False, scratch=scratch)
+    return read_store(made, folder)
