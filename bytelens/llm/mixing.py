@@ -100,7 +100,7 @@ def _against_all(keys: list[int], sizes: list[float], p: list[float], j: int, n:
 
 
 def _round(keys: list[int], sizes: list[float], p: list[float], n: int, seed: int) -> int | None:
-    small = n // 8 if n > 8 else 0
+    small = n // 2 if n > 4 else 0
     open_ = None
     for i in range(small, n):
         if 0 < p[i] < 1:
@@ -144,7 +144,7 @@ def _level(seed: int, last: bool):
     return one
 
 
-def mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[float, ...] = (5, 2, 1), max_repeat: float = 3.0, group_rows: int = 20_000, fan: int = 64, seed: int = 17, scratch: Scratch | None = None) -> DataFrame:
+def mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[float, ...] = (5, 2, 1), max_repeat: float = 3.0, group_rows: int = 2_000, fan: int = 64, seed: int = 17, scratch: Scratch | None = None) -> DataFrame:
     """(id, size, source_size, target, copies) for every row of docs.
 
     ``copies`` is how often the mix takes the row (0 and more, ``max_repeat`` at most where that is whole).
