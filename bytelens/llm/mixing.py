@@ -82,21 +82,22 @@ def _pair(keys: list[int], sizes: list[float], p: list[float], j: int, i: int, s
 
 
 def _against_all(keys: list[int], sizes: list[float], p: list[float], j: int, n: int, seed: int) -> None:
-    """Settle item j against the first n items together, each giving or taking in proportion."""
-    have = sum(p[i] * sizes[i] for i in range(n))
-    room = sum((1 - p[i]) * sizes[i] for i in range(n))
+    """Settle item j against the open ones of the first n items together, each giving or taking in proportion."""
+    pool = [i for i in range(n) if 0 < p[i] < 1]
+    have = sum(p[i] * sizes[i] for i in pool)
+    room = sum((1 - p[i]) * sizes[i] for i in pool)
     up, down = min((1 - p[j]) * sizes[j], have), min(p[j] * sizes[j], room)
     if up <= 0 or down <= 0:
         return
     if _unit(keys[j], -3, seed) * (up + down) < down:
         p[j] += up / sizes[j]
-        for i in range(n):
+        for i in pool:
             p[i] -= up / have * p[i]
     else:
         p[j] -= down / sizes[j]
-        for i in range(n):
+        for i in pool:
             p[i] += down / room * (1 - p[i])
-    _settle(p, j, *range(n))
+    _settle(p, j, *pool)
 
 
 def _round(keys: list[int], sizes: list[float], p: list[float], n: int, seed: int) -> int | None:
