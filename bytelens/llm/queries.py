@@ -55,3 +55,116 @@ def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = qualified(spark, scratch.path())
     made = write_store(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), folder, drops_space=False, scratch=scratch)
     return read_store(made, folder)
+
+
+@query()
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Too slow in SQL on whole tables; tests/llm hold the components against all pairs of a fixture."""
+    from bytelens.llm.minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)
+
+
+@query()
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Not SQL: a trained model. tests/llm hold its accuracy on documents that it didn't learn from."""
+    from bytelens.llm.toxicity import fit, score
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+    scored = score(docs, fit(docs, labels.where(~out)))
+    return scored.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query()
+def op4_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Not SQL: random walks. tests/llm hold the edited texts against SQL and the walk against a plain one."""
+    from bytelens.llm.edit_fingerprint import edited_fingerprints
+
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query(r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), n AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS pos FROM c
+), k AS (
+  SELECT *, pos = 1 AND role = 'system' AS sys, len(regexp_extract_all(text, '[^\x09-\x0D\x20]+')) + 4 AS tok,
+    8 + length(replace(replace(replace(replace(role, '\', '\\'), '<', '<<'), '[', '[['), '|', '||'))
+      + length(replace(replace(replace(text, '\', '\\'), '<', '<<'), '[', '[[')) AS size FROM n
+), b AS (
+  SELECT *, sum(CASE WHEN sys THEN 0 ELSE tok END) OVER (PARTITION BY conv_id ORDER BY pos) AS stop,
+    greatest(1, 384 - sum(CASE WHEN sys THEN tok ELSE 0 END) OVER (PARTITION BY conv_id)) AS room FROM k
+), s AS (
+  SELECT *, stop - CASE WHEN sys THEN 0 ELSE tok END AS start FROM b
+), e AS (
+  SELECT *, floor(start / room) AS cell FROM s
+), f AS (
+  SELECT *, CASE WHEN sys THEN 0 ELSE cell * 2 + CASE WHEN floor((stop - 1) / room) > cell
+    AND stop - min(start) OVER (PARTITION BY conv_id, cell) > room THEN 1 ELSE 0 END END AS span FROM e
+), g AS (
+  SELECT *, dense_rank() OVER (PARTITION BY conv_id ORDER BY span) AS win FROM f
+), h AS (
+  SELECT conv_id, win, min(start) AS at FROM g WHERE NOT sys GROUP BY ALL HAVING win > 1
+), again AS (
+  SELECT g.conv_id, sum(g.size) AS size FROM g JOIN h ON g.conv_id = h.conv_id
+    AND (g.sys OR (g.stop <= h.at AND h.at <= g.start + 128)) GROUP BY ALL
+)
+SELECT g.conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
+  sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  (sum(g.size) + coalesce(any_value(again.size), 0))::BIGINT AS formatted_chars
+FROM g LEFT JOIN again ON g.conv_id = again.conv_id GROUP BY g.conv_id
+""")
+def op9_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bytelens.llm.chat import read_back, windows
+    from bytelens.llm.scratch import Scratch
+
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(-1).cast("long").alias("conv_id"), F.lit(i).cast("long").alias("turn"), F.lit(r).alias("role"), F.lit(said).alias("text")) for i, r in enumerate(("user", "assistant"))])).alias("x")).select("x.*")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(extra)
+    back = read_back(Scratch(spark).save(windows(rows, budget=512, history=128)))
+    return back.select("conv_id", "n_turns", F.sha2("turns", 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
+
+
+@query()
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Not SQL for the method's own labels and score; tests/llm hold blocks and base places against plain scans."""
+    from bytelens.llm.licenses import BASE, DECLARATIONS, scan
+
+    templates = BASE + DECLARATIONS
+    labels = F.array(*[F.lit(t.label) for t in templates])
+    base = F.filter("blocks", lambda b: b["template"] < len(BASE))
+    names = lambda x: F.array_join(F.array_sort(F.array_distinct(F.transform(x, lambda b: labels[b["template"]]))), ",")
+    found = scan(table(spark, sf_dir, "documents"), templates)
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size(base).cast("long").alias("n_base"),
+        F.array_min(F.transform(base, lambda b: b["first"])).alias("first_word"),
+        F.array_max(F.transform(base, lambda b: b["first"])).alias("last_word"),
+        names(base).alias("base_labels"),
+        names(F.col("blocks")).alias("labels"),
+        F.coalesce(F.array_max(F.transform("blocks", lambda b: b["share"])), F.lit(0.0)).alias("score"),
+    )
+
+
+@query()
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Too slow in SQL on whole tables; tests/llm hold the lines against all runs of a fixture."""
+    from bytelens.llm.line_dedup import dedup_lines
+
+    d = dedup_lines(table(spark, sf_dir, "documents"))
+    ranges = F.array_join(F.transform("removed", lambda r: F.concat_ws("-", r["a"].cast("string"), r["b"].cast("string"))), ",")
+    return d.select("doc_id", "n_lines", "n_removed", F.coalesce(ranges, F.lit("")).alias("removed"), F.length("text").cast("long").alias("n_chars_left"), F.sha2("text", 256).alias("text_sha256"))
+
+
+@query()
+def op10_near_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs in SQL are too slow on whole tables; tests/llm hold the links against them on a fixture."""
+    from bytelens.llm.embedding_dedup import near_embeddings
+
+    return near_embeddings(table(spark, sf_dir, "embeddings"))
