@@ -77,7 +77,7 @@ def _signer(size: int, bands: int, rows: int, bits: int):
     return sign
 
 
-def sign(docs: DataFrame, *, size: int = 5, bands: int = 40, rows: int = 6, bits: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def sign(docs: DataFrame, *, size: int = 5, bands: int = 64, rows: int = 8, bits: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, set_hash, keys, planes) of every whole text; the last three null without words."""
     ship(docs.sparkSession)
     rows_ = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
@@ -104,18 +104,14 @@ def _sets(size: int):
         from bytelens.llm.words import NOT_SPACE, shingles, words
 
         for batch in batches:
-            names, want, places = batch.column("node").to_pylist(), batch.column("set_hash").to_pylist(), batch.column("places").to_pylist()
+            names, want = batch.column("node").to_pylist(), batch.column("set_hash").to_pylist()
             for w in words(batch.column("_text"), NOT_SPACE):
-                out: list[list] = [[], [], [], [], []]
+                node, out = [], []
                 for k in range(w.last - w.first):
-                    i = w.first + k
                     s = shingles(w, k, size).tobytes()
-                    if hashlib.blake2b(s, digest_size=16).digest() != want[i]:
-                        continue  # another row with this id
-                    for p in places[i]:
-                        for x, y in zip(out, (p["grp"], p["salt"], p["lead"], names[i], s), strict=True):
-                            x.append(y)
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.binary()), strict=True)], ["grp", "salt", "lead", "node", "shingles"])
+                    if hashlib.blake2b(s, digest_size=16).digest() == want[w.first + k]:  # else another row with this id
+                        node.append(names[w.first + k]), out.append(s)
+                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(out, pa.binary())], ["node", "shingles"])
 
     return sets
 
@@ -139,29 +135,32 @@ def _compare(percent: int):
     return compare
 
 
-def confirm(docs: DataFrame, pairs: DataFrame, names: DataFrame, *, size: int, percent: int, id_col: str, text_col: str, share: int = 512) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets meet the threshold. names: (node, set_hash).
+def full_sets(docs: DataFrame, names: DataFrame, *, size: int, id_col: str, text_col: str) -> DataFrame:
+    """(node, shingles) of the documents in names (node, set_hash), from their whole texts."""
+    text = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("_text"))
+    return text.join(names.hint("shuffle_hash"), "node").mapInArrow(_sets(size), "node long, shingles binary").dropDuplicates(["node"])
+
+
+def confirm(pairs: DataFrame, sets: DataFrame, percent: int, share: int = 512) -> DataFrame:
+    """The pairs (a, b) whose full sets meet the threshold.
 
-    A set is sent to where it is compared. A member that many pairs share is sent to a task for each ``share``
-    of them, and the others stream past it, one at a time.
+    A set that many pairs share as ``a`` goes to a task for each ``share`` of them; the others stream past it, one
+    at a time, so neither memory nor a task grows with a group.
     """
     n = pairs.groupBy("a").agg(F.ceil(F.count("*") / share).cast("int").alias("n"))
-    members = pairs.join(n, "a").select(F.col("b").alias("node"), F.struct(F.col("a").alias("grp"), F.pmod(F.xxhash64("b"), F.col("n").cast("long")).cast("int").alias("salt"), F.lit(False).alias("lead")).alias("p"))
-    leads = n.select(F.col("a").alias("node"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("salt")).select("node", F.struct(F.col("node").alias("grp"), "salt", F.lit(True).alias("lead")).alias("p"))
-    places = members.union(leads).groupBy("node").agg(F.collect_list("p").alias("places"))
-    need = places.join(names, "node")
-    text = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("_text"))
-    sent = text.join(need.hint("shuffle_hash"), "node").mapInArrow(_sets(size), "grp long, salt int, lead boolean, node long, shingles binary")
-    there = sent.repartition("grp", "salt").sortWithinPartitions("grp", "salt", F.col("lead").desc())
+    members = pairs.join(n, "a").join(sets.withColumnRenamed("node", "b"), "b")
+    members = members.select(F.col("a").alias("grp"), F.pmod(F.xxhash64("b"), F.col("n").cast("long")).cast("int").alias("salt"), F.lit(False).alias("lead"), F.col("b").alias("node"), "shingles")
+    leads = n.join(sets.withColumnRenamed("node", "a"), "a").select(F.col("a").alias("grp"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("salt"), F.lit(True).alias("lead"), F.col("a").alias("node"), "shingles")
+    there = members.union(leads).repartition("grp", "salt").sortWithinPartitions("grp", "salt", F.col("lead").desc())
     return there.mapInArrow(_compare(percent), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, bands: int = 40, rows: int = 6, bits: int = 2, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, bands: int = 64, rows: int = 8, bits: int = 2, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs.
 
     Documents are linked if their sets of ``size``-word shingles (words split at ASCII white space, A-Z lower-cased)
     have at least ``percent`` hundredths of their union in common; fewer words are one shingle, no words none
-    and no link. A pair at the threshold is missed by all bands with a probability of (1 - t^rows)^bands, 7e-6
+    and no link. A pair at the threshold is missed by all bands with a probability of (1 - t^rows)^bands, 8e-6
     by default. Rows that share an id are one document for reachability; a null id links with nothing: its
     component is null and it is kept. Null text is empty; extra columns are ignored; no rows give none.
     """
@@ -170,45 +169,86 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, bands:
     n = bands * rows
     signed = scratch.save(sign(docs, size=size, bands=bands, rows=rows, bits=bits, id_col=id_col, text_col=text_col))
     classes = scratch.save(signed.where("set_hash IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_hash").agg(F.min("doc_id").alias("node")))
-    sig = signed.join(classes.select(F.col("set_hash").alias("_h"), "node"), (F.col("doc_id") == F.col("node")) & (F.col("set_hash") == F.col("_h")))
-    # Two texts under one id make one node; the pairs of either are looked at.
-    sig = scratch.save(sig.dropDuplicates(["set_hash"]).select("node", "n_shingles", "set_hash", "keys", "planes"))
+    own = classes.select(F.col("set_hash").alias("_h"), "node")
+    sig = signed.join(own, (F.col("doc_id") == F.col("node")) & (F.col("set_hash") == F.col("_h"))).dropDuplicates(["set_hash"])
+    sig = scratch.save(sig.select("node", "n_shingles", "set_hash", "keys", "planes"))
 
+    # The lead of a bucket is its member with most company in all of its buckets: for a group of copies that is the
+    # same one in nearly all bands, so a member meets a few leads, however many bands it shares.
     keyed = sig.select("node", F.explode("keys").alias("key"))
-    lead = keyed.groupBy("key").agg(F.min("node").alias("lead"), F.count("*").alias("c")).where("c > 1").drop("c")
-    members = scratch.save(keyed.join(lead, "key"))
-    sigma = 6 * math.sqrt(max(0.25, 1) * 0.16 / n) / (1 - 2.0**-bits)  # six deviations at the threshold and a little more
+    shared = keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+    shared = scratch.save(keyed.join(shared, "key"))
+    company = shared.groupBy("node").agg(F.sum("c").alias("s"))
+    lead = shared.join(company, "node").groupBy("key").agg(F.max(F.struct("s", (-F.col("node")).alias("m"))).alias("x"))
+    members = scratch.save(shared.drop("c").join(lead.select("key", (-F.col("x.m")).alias("lead")), "key"))
+    scratch.drop(shared)
+    scratch.release()
+    # Six deviations of the estimate at the threshold, of n bits that agree with a chance of about 0.85.
+    sigma = 6 * math.sqrt(0.16 / n) / (1 - 2.0**-bits)
     cut = percent / 100 - sigma
 
     def estimated(pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b) with est; far ones, and those whose sizes alone rule them out, are marked as not near."""
         a = sig.select(F.col("node").alias("a"), F.col("n_shingles").alias("na"), F.col("planes").alias("pa"))
         b = sig.select(F.col("node").alias("b"), F.col("n_shingles").alias("nb"), F.col("planes").alias("pb"))
-        return pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", estimate(F.col("pa"), F.col("pb"), n, bits).alias("est"))
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        near = (F.col("est") >= cut) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-        pairs = scratch.save(pairs.where(near).select("a", "b").distinct())
-        return scratch.save(confirm(docs, pairs, sig.select("node", "set_hash"), size=size, percent=percent, id_col=id_col, text_col=text_col))
+        est = estimate(F.col("pa"), F.col("pb"), n, bits)
+        j = pairs.join(a, "a").join(b, "b").withColumn("est", est)
+        return j.select("a", "b", "est", ((F.col("est") >= cut) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))).alias("near"))
 
+    names = sig.select("node", "set_hash")
     stars = scratch.save(estimated(members.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()))
-    links = confirmed(stars)
-    label = scratch.save(connected_components(links, scratch))
+    near = scratch.save(stars.where("near").select("a", "b", "est"))
+    nodes = near.select(F.col("a").alias("node")).union(near.select(F.col("b").alias("node"))).distinct()
+    sets = scratch.save(full_sets(docs, names.join(nodes, "node"), size=size, id_col=id_col, text_col=text_col))
+    scratch.release()
+
+    label = None  # (node, component)
+    label_schema = "node long, component long"
+
+    def merged(pairs: DataFrame, sets: DataFrame) -> None:
+        """Confirm pairs and bring the components up to date."""
+        nonlocal label
+        new = scratch.save(confirm(pairs, sets, percent))
+        if label is None or new.take(1):
+            edges = new if label is None else new.union(label)
+            label = scratch.save(connected_components(edges, scratch))
+        scratch.release()
+
+    def apart(pairs: DataFrame) -> DataFrame:
+        """Pairs of nodes that are not yet in one component, with both components."""
+        ca = label.select(F.col("node").alias("a"), F.col("component").alias("ca"))
+        cb = label.select(F.col("node").alias("b"), F.col("component").alias("cb"))
+        j = pairs.join(ca, "a", "left").join(cb, "b", "left")
+        return j.withColumn("ca", F.coalesce("ca", "a")).withColumn("cb", F.coalesce("cb", "b")).where("ca <> cb")
+
+    if near.take(1):
+        # Each member with the lead that it is most like; then for two components their likest pair; then what is left.
+        best = near.groupBy("b").agg(F.max(F.struct("est", (-F.col("a")).alias("m"))).alias("x"))
+        merged(best.select((-F.col("x.m")).alias("a"), "b"), sets)
+        two = apart(near).groupBy(F.least("ca", "cb").alias("x"), F.greatest("ca", "cb").alias("y")).agg(F.max(F.struct("est", "a", "b")).alias("p"))
+        two = scratch.save(two.select("p.a", "p.b"))
+        if two.take(1):
+            merged(two, sets)
+            merged(scratch.save(apart(near).select("a", "b")), sets)
+    else:
+        label = spark.createDataFrame([], label_schema)
 
     # Members of one bucket that are still apart: those of its largest component against the rest, and the rest
-    # against each other. How alike each is to the bucket's lead tells most of them apart without a comparison.
-    m = members.join(label, "node", "left").join(stars.select(F.col("a").alias("lead"), F.col("b").alias("node"), "est"), ["lead", "node"], "left")
-    m = m.select("key", "node", "lead", F.coalesce("component", "node").alias("comp"), F.coalesce("est", F.lit(1.0)).alias("est"))
-    m = m.where("node <> lead")
+    # against each other. Sizes, and how alike each is to the bucket's lead, tell most of them apart.
+    m = members.where("node <> lead").join(label, "node", "left").join(stars.select(F.col("a").alias("lead"), F.col("b").alias("node"), "est"), ["lead", "node"])
+    m = m.join(sig.select("node", "n_shingles"), "node").select("key", "node", F.col("n_shingles").alias("n"), F.coalesce("component", "node").alias("comp"), "est")
     per = m.groupBy("key", "comp").count().groupBy("key").agg(F.max(F.struct("count", "comp")).alias("top"), F.count("*").alias("c")).where("c > 1")
     m = scratch.save(m.join(per.select("key", F.col("top.comp").alias("top")), "key"))
-    rest = m.where("comp <> top").select("key", F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("est").alias("eb"))
-    close = F.abs(F.col("ea") - F.col("eb")) <= 1 - percent / 100 + 2 * sigma
-    big = m.where("comp = top").select("key", F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("est").alias("ea")).join(rest, "key").where(close)
-    small = rest.select("key", F.col("b").alias("a"), F.col("cb").alias("ca"), F.col("eb").alias("ea")).join(rest, "key").where((F.col("ca") < F.col("cb")) & close)
-    apart = big.union(small).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = confirmed(estimated(apart))
-    if more.take(1):
-        label = scratch.save(connected_components(links.select("a", "b").union(more.select("a", "b")), scratch))
+    one = lambda d, s: d.select("key", *[F.col(c).alias(c + s) for c in ("node", "n", "comp", "est")])
+    rest = m.where("comp <> top")
+    close = (F.abs(F.col("est1") - F.col("est2")) <= 1 - percent / 100 + 2 * sigma) & (100 * F.least("n1", "n2") >= percent * F.greatest("n1", "n2"))
+    big = one(m.where("comp = top"), "1").join(one(rest, "2"), "key").where(close)
+    small = one(rest, "1").join(one(rest, "2"), "key").where(close & (F.col("comp1") < F.col("comp2")))
+    pairs = big.union(small).select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")).distinct()
+    left = scratch.save(estimated(pairs).where("near").select("a", "b"))
+    if left.take(1):
+        nodes = left.select(F.col("a").alias("node")).union(left.select(F.col("b").alias("node"))).distinct()
+        merged(left, full_sets(docs, names.join(nodes, "node"), size=size, id_col=id_col, text_col=text_col))
 
     roots = classes.join(label, "node", "left").select("set_hash", F.coalesce("component", "node").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "set_hash").join(roots, "set_hash", "left")

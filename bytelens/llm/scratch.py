@@ -7,6 +7,7 @@ A table written here cuts lineage and survives the loss of any executor. The fol
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -45,6 +46,11 @@ class Scratch:
         for df in frames:
             self._delete(df._scratch_path)
 
+    def release(self) -> None:
+        """Let Spark delete the shuffle files of steps whose results are written; else they stay until a collection of garbage."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def clear(self) -> None:
         try:
             self._delete(self.dir)
