@@ -10,6 +10,8 @@ first copy.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,26 +30,30 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return d.select("id", "th", "ln", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("line"), "line").alias("h2"), F.regexp_count("line", F.lit(_WORD)).cast("long").alias("words"))
 
 
-def _levels(places: DataFrame, scratch: Scratch) -> list[DataFrame]:
-    """places: (pos, rem, h1, h2) -> for each k the table (pos, rank) of suffixes whose first 2^k lines are repeated.
+def _levels(places: DataFrame, longest: int, scratch: Scratch) -> Iterator[tuple[int, DataFrame]]:
+    """places: (pos, rem, h1, h2) -> (2^k, table (pos, rank)) for each k: suffixes whose first 2^k lines are repeated.
 
-    rem: lines from pos to the end of its stretch.
+    rem: lines from pos to the end of its stretch. Doubling ends where it passes ``longest`` lines, or where no such
+    prefix is repeated. A table is gone when the next one is asked for.
     """
     names = places.groupBy("h1", "h2").count().where("count > 1")
     names = ordered(names, [F.col("h1"), F.col("h2")], scratch, pos="rank").select("h1", "h2", "rank")
-    level = scratch.save(places.join(names, ["h1", "h2"]).select("pos", "rem", "rank"))
-    levels, size = [level], 1
+    level, size = scratch.save(places.join(names, ["h1", "h2"]).select("pos", "rem", "rank")), 1
     while True:
+        yield size, level
+        if 2 * size > longest:
+            return
         longer = level.where(F.col("rem") >= 2 * size)
         tail = level.select((F.col("pos") - size).alias("pos"), F.col("rank").alias("then"))
         pairs = scratch.save(longer.join(tail, "pos").select("pos", "rem", "rank", "then"))
         again = pairs.groupBy("rank", "then").count().where("count > 1").drop("count")
-        if not again.take(1):
-            return levels
         named = ordered(again, [F.col("rank"), F.col("then")], scratch, pos="new")
-        level = scratch.save(pairs.join(named, ["rank", "then"]).select("pos", "rem", F.col("new").alias("rank")))
-        levels.append(level)
-        size *= 2
+        new = scratch.save(pairs.join(named, ["rank", "then"]).select("pos", "rem", F.col("new").alias("rank")))
+        scratch.drop(level, pairs)
+        scratch.release()
+        level, size = new, 2 * size
+        if not level.take(1):
+            return
 
 
 def repeated_runs(docs: DataFrame, *, min_words: int = 45, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
@@ -73,42 +79,43 @@ def repeated_runs(docs: DataFrame, *, min_words: int = 45, id_col: str = "doc_id
     placed = scratch.save(placed)
     if not placed.take(1):
         return docs.sparkSession.createDataFrame([], f"id {docs.schema[id_col].dataType.simpleString()}, th long, ranges array<struct<a:int,b:int>>")
-    levels = _levels(placed.select("pos", "rem", "h1", "h2"), scratch)
-
     # The shortest run with enough words from each line on, and the shortest up to each line: together they cover
     # every longer run. `up` grows along a stretch, so both ends come from a merge of two sorted columns.
-    marks = placed.select("id", "th", "stretch", "pos", "up", "words")
-    begin = marks.select("id", "th", "stretch", F.lit(1).alias("kind"), (F.col("up") - F.col("words") + min_words).alias("v"), "pos")
-    reach = marks.select("id", "th", "stretch", F.lit(0).alias("kind"), F.col("up").alias("v"), "pos")
-    own = Window.partitionBy("id", "th", "stretch").orderBy(F.desc("v"), F.desc("kind"), F.desc("pos"))
-    # Of falling v, the last line end seen before a beginning is the first whose sum reaches it.
-    ends = reach.union(begin).withColumn("end", F.last(F.when(F.col("kind") == 0, F.col("pos")), ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, 0)))
-    return _finish(placed, ends, levels, min_words, scratch)
-
-
-def _finish(placed: DataFrame, ends: DataFrame, levels: list[DataFrame], min_words: int, scratch: Scratch) -> DataFrame:
-    onward = ends.where("kind = 1 AND end IS NOT NULL").select("pos", "end")
-    runs = onward.where("end >= pos").select("pos", (F.col("end") - F.col("pos") + 1).alias("n"))
-    back = _backward(placed, min_words)
-    runs = scratch.save(runs.union(back).distinct())
-    first, k = None, 0
-    for k, level in enumerate(levels):
-        size = 1 << k
-        mine = runs.where((F.col("n") >= size) & (F.col("n") < 2 * size)) if k + 1 < len(levels) else runs.where((F.col("n") >= size) & (F.col("n") <= 2 * size))
+    runs = scratch.save(_forward(placed, min_words).union(_backward(placed, min_words)).distinct())
+    longest = runs.agg(F.max("n")).first()[0] or 0
+    found = []
+    for size, level in _levels(placed.select("pos", "rem", "h1", "h2"), longest, scratch):
+        # Two ranks, of the first and of the last `size` lines, name a run of `size` to 2 * `size` - 1 lines.
+        mine = runs.where((F.col("n") >= size) & (F.col("n") < 2 * size))
         r = level.select("pos", "rank")
         x = mine.join(r, "pos").withColumn("tail", F.col("pos") + F.col("n") - size).join(r.select(F.col("pos").alias("tail"), F.col("rank").alias("then")), "tail")
         x = x.select("pos", "n", "rank", "then")
         least = x.groupBy("n", "rank", "then").agg(F.min("pos").alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
         later = x.join(least, ["n", "rank", "then"]).where("pos > first").select(F.greatest(F.col("pos"), F.col("first") + F.col("n")).alias("a"), (F.col("pos") + F.col("n") - 1).alias("b")).where("a <= b")
-        first = later if first is None else first.union(later)
-    covered = scratch.save(first.groupBy("a").agg(F.max("b").alias("b")))
+        found.append(scratch.save(later.groupBy("a").agg(F.max("b").alias("b"))))
+    covered = found[0]
+    for x in found[1:]:
+        covered = covered.union(x)
+    covered = covered.groupBy("a").agg(F.max("b").alias("b"))
     # Which lines are covered: the furthest end of the runs that begin at or before each, along its stretch.
     w = Window.partitionBy("id", "th", "stretch").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     at = placed.join(covered.withColumnRenamed("a", "pos"), "pos", "left").withColumn("far", F.max("b").over(w)).where(F.col("far") >= F.col("pos"))
     island = Window.partitionBy("id", "th").orderBy("ln")
     at = at.withColumn("i", F.col("ln") - F.row_number().over(island))
     ranges = at.groupBy("id", "th", "i").agg(F.min("ln").alias("a"), F.max("ln").alias("b"))
-    return ranges.groupBy("id", "th").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("ranges"))
+    out = scratch.save(ranges.groupBy("id", "th").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("ranges")))
+    scratch.release()
+    return out
+
+
+def _forward(placed: DataFrame, min_words: int) -> DataFrame:
+    """The shortest run from each line on with enough words."""
+    begin = placed.select("id", "th", "stretch", F.lit(1).alias("kind"), (F.col("up") - F.col("words") + min_words).alias("v"), "pos")
+    reach = placed.select("id", "th", "stretch", F.lit(0).alias("kind"), F.col("up").alias("v"), "pos")
+    own = Window.partitionBy("id", "th", "stretch").orderBy(F.desc("v"), F.desc("pos"), "kind")
+    # Of falling v, the last line end seen before a beginning is the first whose sum reaches it.
+    x = reach.union(begin).withColumn("end", F.last(F.when(F.col("kind") == 0, F.col("pos")), ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    return x.where("kind = 1 AND end >= pos").select("pos", (F.col("end") - F.col("pos") + 1).alias("n"))
 
 
 def _backward(placed: DataFrame, min_words: int) -> DataFrame:
