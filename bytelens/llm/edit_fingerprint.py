@@ -197,7 +197,7 @@ def edited_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
     scratch = Scratch(spark)
     ids = docs.select(F.col(id_col).cast("long").alias("_id"))
     n = ids.count()
-    parts = max(1, math.ceil(n / part_rows))
+    parts = min(max(1, math.ceil(n / part_rows)), 16_384)  # beyond that parts grow; rows stream through them one by one
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     known = ids.where("_id IS NOT NULL")
     cuts = sorted({int(c) for c in known.approxQuantile("_id", [i / parts for i in range(1, parts)], 0.2 / parts)}) if parts > 1 else []
