@@ -120,3 +120,46 @@ def test_chunks_join_up(spark, payloads):
     q = {r["id"]: r for r in content.chunk_quality(c, sizes, ["id"]).collect()}
     assert q[3]["total_bytes"] == 600 and set(q) == {2, 3, 4, 5}
     assert content.chunk_dedup(c).agg(F.sum("copies")).first()[0] == c.count()
+
+
+def test_windows_and_periods(spark, payloads):
+    from bytelens.functions import windows as w
+
+    x = F.col("payload")
+    got = {r["id"]: r for r in payloads.select("id", w.strided(x, 2, 3).alias("s"), w.strided(x, 0, 1).alias("none"), w.repeated_period(x).alias("p"), w.is_zero_page(x).alias("z")).collect()}
+    assert got[0]["s"] is None and got[1]["s"] == [] and got[2]["s"] == [] and got[2]["none"] == []
+    assert [bytes(b) for b in got[3]["s"]] == [(b"ab" * 300)[i : i + 2] for i in range(0, 599, 3)]
+    assert got[3]["p"] == 2 and got[4]["p"] is None and got[2]["p"] is None and not got[4]["z"]
+    d = spark.createDataFrame([(bytearray(b"\x01\x02\x03"), ["a", "b", "c"]), (bytearray(b"\0\0\0"), [])], "b binary, l array<string>")
+    got = d.select(w.pack_le(F.col("b"), 3), w.word_ngrams(F.col("l"), 2), w.is_zero_page(F.col("b"))).collect()
+    assert tuple(got[0]) == (0x030201, ["a b", "b c"], False) and tuple(got[1]) == (0, [], True)
+
+
+def test_folds(spark, payloads):
+    from bytelens.operators import folds
+
+    x = F.col("payload")
+    r = folds.min_max_len(payloads.where("id > 0"), x, []).first()
+    assert tuple(r) == (0, 255, 1 + 600 + 256 + 2)
+    for n in (0, 1, 5, 16, 17, 100, 1000, 1025):
+        raw = bytes(n)
+        want = folds.split_fold(raw, lambda b: 1, lambda a, b: a + b, 0, 16)
+        d = spark.createDataFrame([(bytearray(raw),)], "payload binary")
+        assert folds.leaf_count(d, F.col("payload"), 16, []).first()[0] == want, n
+    leaf = lambda b: np.bincount(np.frombuffer(b, np.uint8), minlength=256).astype(np.int64).tobytes()
+    got = np.frombuffer(folds.fold(payloads.repartition(9), x, leaf, folds.add_histograms, bytes(2048), fan=2), np.int64)
+    want = sum((pl.counts(np.frombuffer(bytes(r["payload"]), np.uint8)) for r in payloads.where("payload IS NOT NULL").collect() if r["payload"]), np.zeros(256, np.int64))
+    assert (got == want).all()
+
+
+def test_running_checksums(spark, tmp_path):
+    from bytelens.streaming.sequences import running_checksums
+
+    parts = [("a", 1, b"lo "), ("a", 0, b"hel"), ("b", 1, b"late"), ("a", 2, b"you"), ("a", 2, b"again")]
+    df = spark.createDataFrame([(k, s, bytearray(p)) for k, s, p in parts], "key string, seq long, payload binary")
+    df.repartition(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    q = running_checksums(stream).writeStream.outputMode("update").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).format("memory").queryName("sums").start()
+    q.awaitTermination()
+    got = {r["key"]: (r["pieces"], r["crc"]) for r in spark.table("sums").collect()}
+    assert got == {"a": (3, pl.crc32c(b"hello you")), "b": (0, 0)}
