@@ -349,17 +349,11 @@ def knn_sign_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def graph_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A search of a graph file, built here from the first vectors by exact neighbours; tests measure its recall."""
-    from bytelens.functions import hnsw
-    from bytelens.sources.files import graph_search
-
-    rows = table(spark, sf_dir, "embeddings").orderBy("vec_id").limit(400).collect()
-    x = np.array([r["embedding"] for r in rows], np.float32)
-    order = np.argsort(((x[:, None] - x[None]) ** 2).sum(2), axis=1, kind="stable")
-    links = [[order[i, 1:17].tolist() + [(i * 37 + 11) % len(x)]] for i in range(len(x))]
-    raw = hnsw.write([r["vec_id"] for r in rows], x, links, 0)
-    q = spark.createDataFrame([(r["vec_id"], np.array(r["embedding"], np.float32).tobytes()) for r in rows[:40]], "id long, vector binary")
-    return graph_search(q, raw, k=5)
+    """A search of graph files that hold every vector, for every twentieth; tests measure its recall."""
+    from bytelens.sources.files import graph_files, graph_nearest
+
+    v = table(spark, sf_dir, "embeddings")
+    return graph_nearest(v.where(F.col("vec_id") % 20 == 0), graph_files(v), k=5)
 
 
 # Sets, codecs, orders ----------------------------------------------------------------------------

@@ -5,8 +5,9 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -84,3 +85,71 @@ def graph_search(queries: DataFrame, graph: bytes, *, k: int, ef: int = 64, id_c
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.float64()), strict=True)], ["id", "rank", "key", "distance"])
 
     return queries.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector")).mapInArrow(find, "id long, rank int, key long, distance double")
+
+
+def graph_files(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", part: int = 16_384) -> DataFrame:
+    """(dim, part, graph, starts, ids): every row in a graph file of one hash part of its length.
+
+    A part has about ``part`` rows. Its nodes are its distinct vectors; node i stands for ids[starts[i]:starts[i + 1]],
+    both little-endian 64-bit. Rows without an id, or whose vector is null, empty or holds nulls or non-finite values, are in none.
+    """
+    from bytelens.functions import hnsw
+    from bytelens.session import ship
+
+    ship(vectors.sparkSession)
+    v = _whole(vectors, id_col, vector_col)
+    parts = v.groupBy("dim").agg(F.ceil(F.count("*") / part).alias("parts"))
+    rows = v.join(F.broadcast(parts), "dim").withColumn("part", F.pmod(F.xxhash64("id", "v"), F.col("parts")))
+
+    def one(t: pa.Table) -> pa.Table:
+        t = t.sort_by("id")
+        x = np.array(t.column("v").combine_chunks().flatten().to_numpy(), np.float32).reshape(t.num_rows, -1) + np.float32(0)
+        nodes, at = np.unique(x, axis=0, return_inverse=True)
+        order = np.argsort(at.ravel(), kind="stable")
+        ids = t.column("id").to_numpy()[order].astype("<i8")
+        starts = np.r_[0, np.cumsum(np.bincount(at.ravel(), minlength=len(nodes)))].astype("<i8")
+        links, entry = hnsw.build(nodes)
+        graph = hnsw.write(list(range(len(nodes))), nodes, links, entry)
+        return pa.table({"dim": t.column("dim")[:1], "part": t.column("part")[:1], "graph": [graph], "starts": [starts.tobytes()], "ids": [ids.tobytes()]})
+
+    return rows.select("dim", "part", "id", "v").groupBy("dim", "part").applyInArrow(one, "dim int, part long, graph binary, starts binary, ids binary")
+
+
+def graph_nearest(queries: DataFrame, files: DataFrame, *, k: int, ef: int = 64, id_col: str = "vec_id", vector_col: str = "embedding", block: int = 8_192) -> DataFrame:
+    """(id, rank, key, distance): of each query the k nearest found in all ``files`` of its length, ties by key.
+
+    A file meets the queries in hash blocks of about ``block``; what leaves a search is k rows for each query and file.
+    """
+    from bytelens.functions import hnsw
+    from bytelens.session import ship
+
+    ship(queries.sparkSession)
+    q = _whole(queries, id_col, vector_col)
+    blocks = q.groupBy("dim").agg(F.ceil(F.count("*") / block).alias("blocks"))
+    parts = files.groupBy("dim").agg(F.collect_set("part").alias("parts"))
+    asked = q.join(F.broadcast(blocks), "dim").join(F.broadcast(parts), "dim")
+    asked = asked.select("dim", F.explode("parts").alias("part"), F.pmod(F.xxhash64("id", "v"), F.col("blocks")).alias("block"), "id", "v")
+    sent = files.join(F.broadcast(blocks), "dim").select("dim", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "graph", "starts", "ids")
+
+    def find(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows = []
+        if left.num_rows and right.num_rows:
+            f = {c: right.column(c)[0].as_py() for c in ("graph", "starts", "ids")}
+            g, starts, ids = hnsw.read(f["graph"]), np.frombuffer(f["starts"], "<i8"), np.frombuffer(f["ids"], "<i8")
+            x = np.array(left.column("v").combine_chunks().flatten().to_numpy(), np.float32).reshape(left.num_rows, -1)
+            for i, v in zip(left.column("id").to_pylist(), x, strict=True):
+                # Of a node's ids the k least are enough; the k nearest nodes hold k ids or more, if there are so many.
+                near = [(d, key) for node, d in hnsw.search(g, v.tobytes(), k, ef) for key in ids[starts[node] : min(starts[node + 1], starts[node] + k)].tolist()]
+                rows += [(i, key, d) for d, key in sorted(near)[:k]]
+        cols = list(zip(*rows, strict=True)) or [()] * 3
+        return pa.table({n: pa.array(c, t) for n, c, t in zip(("id", "key", "distance"), cols, (pa.int64(), pa.int64(), pa.float64()), strict=True)})
+
+    on = ("dim", "part", "block")
+    found = asked.groupBy(*on).cogroup(sent.groupBy(*on)).applyInArrow(find, "id long, key long, distance double")
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("distance", "key"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("id", "rank", "key", "distance")
+
+
+def _whole(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    v = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("v")).withColumn("dim", F.size("v"))
+    return v.where("id IS NOT NULL AND v IS NOT NULL AND dim > 0 AND forall(v, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < float('inf'))")
