@@ -3,7 +3,8 @@
 A neighbour graph starts from vectors that stand close in sorted orders of random hyperplane codes and is refined:
 at every vector its neighbours, and those whose neighbour it is, are compared with each other, and a vector takes
 whom it likes better than the worst of its list. A list that is full of links is saturated: it is enlarged to the
-whole component of its vector, which is compared in blocks, and only counts leave a block. Recall is audited
+whole component of its vector, which is compared in blocks, and only counts leave a block. Every pair that is found
+at the threshold joins its components, whether a list has room for it or not. Recall is audited
 against a stated query set; while it is short the graph gets more orders and more rounds.
 
 Vectors are compared within a cell: equal label and equal length. Equal vectors are one class with a weight.
@@ -12,6 +13,7 @@ Vectors are compared within a cell: equal label and equal length. Equal vectors
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -84,8 +86,49 @@ def _neighbours(reach: int):
     return near
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (center, block): the members of each are compared; pairs that beat a member's worst come out."""
+def _across(reach: int):
+    """Of rows in order: each with those before it that are in other components of its cell, the last two of each of ``reach``."""
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = None, {}
+        for batch in batches:
+            a, b, s = [], [], []
+            for node, cell, unit, comp in zip(*(batch.column(c).to_pylist() for c in ("node", "cell", "unit", "comp")), strict=True):
+                if cell != held:
+                    held, last = cell, {}
+                v = np.frombuffer(unit, np.float64)
+                others = [x for c, xs in last.items() if c != comp for x in xs]
+                if others:
+                    a += [x[0] for x in others]
+                    b += [node] * len(others)
+                    s += (np.stack([x[1] for x in others]) @ v).tolist()
+                last[comp] = [*last.pop(comp, [])[-1:], (node, v)]
+                if len(last) > reach + 1:
+                    del last[next(iter(last))]
+            yield _pairs((a, b, s))
+
+    return near
+
+
+def _forest(near: np.ndarray, root: int) -> tuple[list, list]:
+    """Pairs that connect what the matrix of links connects; the search begins at ``root``."""
+    i, j, left = [], [], np.ones(len(near), bool)
+    for start in [*range(root, len(near)), *range(root)]:
+        ahead = [start] if left[start] else []
+        left[start] = False
+        while ahead:
+            x = ahead.pop()
+            new = np.flatnonzero(near[x] & left).tolist()
+            left[new] = False
+            i += [x] * len(new)
+            j += new
+            ahead += new
+    return i, j
+
+
+def _meet(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (center, block): the members of each are compared; pairs that beat a member's worst come out,
+    and of the pairs at ``least`` or more those that keep the members as connected as all of them do."""
     key, rows = None, []
 
     def flush() -> tuple[list, list, list]:
@@ -108,7 +151,13 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start = np.r_[0, np.flatnonzero(np.diff(who)) + 1] if len(who) else np.zeros(0, int)
         nth = np.arange(len(who)) - np.repeat(start, np.diff(np.r_[start, len(who)]))
         top = nth < 4
-        return names[who[top]].tolist(), names[other[top]].tolist(), sim[top].tolist()
+        out = names[who[top]].tolist(), names[other[top]].tolist(), sim[top].tolist()
+        near = s >= least
+        np.fill_diagonal(near, False)
+        if near.any():
+            for x, y in zip(*_forest(near, key[0] % len(rows)), strict=True):
+                out[0].append(rows[x][0]), out[1].append(rows[y][0]), out[2].append(float(s[x, y]))
+        return out
 
     for batch in batches:
         out: tuple[list, list, list] = ([], [], [])
@@ -126,11 +175,11 @@ def _pairs(x: tuple[list, list, list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x[0], pa.int64()), pa.array(x[1], pa.int64()), pa.array(x[2], pa.float64())], ["a", "b", "sim"])
 
 
-def _lists(pairs: DataFrame, k: int) -> DataFrame:
-    """The k best of each a's pairs (a, b, sim, new)."""
+def _lists(pairs: DataFrame, k: int, least: float) -> DataFrame:
+    """Of each a's pairs (a, b, sim, new) the k best, numbered by n from 1, and beyond k those that are links."""
     best = pairs.groupBy("a", "b").agg(F.max("sim").alias("sim"), F.min("new").alias("new"))
     w = Window.partitionBy("a").orderBy(F.desc("sim"), "b")
-    return best.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k)
+    return best.withColumn("n", F.row_number().over(w)).where((F.col("n") <= k) | (F.col("sim") >= least))
 
 
 def _counts(least: float):
@@ -195,13 +244,14 @@ def _auditor(names: list, cells: list, units: list, least: float):
     return audit
 
 
-def near_embeddings(vectors: DataFrame, *, least: float = 0.98, neighbours: int = 10, orders: int = 8, reach: int = 6, bits: int = 48, rounds: int = 3, audit: int = 256, recall: float = 0.98, tries: int = 3, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", scratch: Scratch | None = None) -> DataFrame:
+def near_embeddings(vectors: DataFrame, *, least: float = 0.98, neighbours: int = 10, orders: int = 8, reach: int = 6, bits: int = 48, rounds: int = 3, audit: int = 256, recall: float = 0.98, tries: int = 3, seen: int = 1_000, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", scratch: Scratch | None = None) -> DataFrame:
     """(id, n_links, component_id, kept) for every row.
 
     Rows are linked if their labels are equal and not null, their lengths too, and their cosine in double precision
     is ``least`` or more. Vectors that are null, empty, zero or hold null or non-finite components link with
     nothing; nor do rows with a null id, whose component is null and which are kept. Rows that share an id are
-    one for reachability. The audit compares ``audit`` classes (by hash) with all and repeats the search with
+    one for reachability. The audit compares ``audit`` classes (by hash) with all, or up to 16 times as many
+    while they see fewer than ``seen`` links, and repeats the search with
     ``orders`` more while fewer than ``recall`` of their links join one component, ``tries`` times at most; its links join
     in. Extra columns are ignored; no rows give none.
     """
@@ -225,7 +275,9 @@ def near_embeddings(vectors: DataFrame, *, least: float = 0.98, neighbours: int
             found = pairs if found is None else found.union(pairs)
         found = found.where("a <> b").withColumn("new", F.lit(1))
         found = found.select("a", "b", "sim", "new").union(found.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim", "new"))
-        graph = scratch.save(_lists(found if graph is None else found.union(graph.select("a", "b", "sim", F.lit(0))), neighbours))
+        # Every pair found at the threshold is a link, also where it is beyond a full list.
+        listed = scratch.save(_lists(found if graph is None else found.union(graph.select("a", "b", "sim", F.lit(0))), neighbours, least))
+        graph, mine = listed.where(F.col("n") <= neighbours), [listed.where(F.col("sim") >= least).select("a", "b")]
         for _ in range(rounds):
             worst = graph.groupBy("a").agg(F.when(F.count("*") >= neighbours, F.min("sim")).otherwise(-2.0).alias("worst"))
             # A center meets its list, and in blocks of a bounded size those whose lists it is in.
@@ -235,17 +287,35 @@ def near_embeddings(vectors: DataFrame, *, least: float = 0.98, neighbours: int
             wide = fwd.join(deg.withColumnRenamed("b", "center"), "center", "left").select("center", "node", "new", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("blocks", F.lit(1)) - 1)).alias("block"))
             talk = wide.select("center", "block", "node", "new").union(back.select("center", "block", "node", "new")).groupBy("center", "block", "node").agg(F.max("new").alias("new"))
             talk = talk.join(units, "node").join(worst.withColumnRenamed("a", "node"), "node", "left").select("center", "block", "node", "unit", F.coalesce("worst", F.lit(-2.0)).alias("worst"), (F.col("new") == 1).alias("new"))
-            offers = talk.repartition("center", "block").sortWithinPartitions("center", "block", "node").mapInArrow(_meet, "a long, b long, sim double")
+            offers = talk.repartition("center", "block").sortWithinPartitions("center", "block", "node").mapInArrow(partial(_meet, least=least), "a long, b long, sim double")
             both = graph.select("a", "b", "sim", F.lit(0).alias("new")).union(offers.where("a <> b").select("a", "b", "sim", F.lit(1).alias("new")))
-            graph = scratch.save(_lists(both, neighbours))
+            listed = scratch.save(_lists(both, neighbours, least))
+            graph = listed.where(F.col("n") <= neighbours)
+            mine.append(listed.where(F.col("sim") >= least).select("a", "b"))
             if not graph.where(F.col("new") == 1).take(1):
                 break
-        mine = graph.where(F.col("sim") >= least).select("a", "b")
-        links = scratch.save((mine if links is None else links.union(mine)).distinct())
+        links = scratch.save(reduce(DataFrame.union, mine if links is None else [links, *mine]).distinct())
         roots = scratch.save(connected_components(links, scratch))
-        # The audit's queries are at most `audit` rows, by a parameter.
-        asked = classes.orderBy(F.xxhash64("node"), "node").limit(audit).select("node", "cell", "unit").collect()
-        true = scratch.save(classes.select("node", "cell", "unit").mapInArrow(_auditor(*([r[c] for r in asked] for c in ("node", "cell", "unit")), least), "a long, b long, sim double"))
+        # A link between two full lists of links is in neither: such vectors stand in orders of their own and meet other components.
+        full = graph.groupBy("a").agg(F.count("*").alias("c"), F.min("sim").alias("worst")).where((F.col("c") >= neighbours) & (F.col("worst") >= least))
+        full = classes.join(full.select(F.col("a").alias("node")), "node").join(roots, "node", "left")
+        full = scratch.save(full.select("node", "cell", "dim", "unit", F.coalesce("component", "node").alias("comp")))
+        met = None
+        for t in range(orders):
+            coded = full.mapInArrow(_coder((1 + tries + attempt) * orders + t, bits), "node long, cell string, dim int, unit binary, comp long, code long")
+            line = coded.repartitionByRange("cell", "code", "node").sortWithinPartitions("cell", "code", "node")
+            pairs = line.mapInArrow(_across(reach), "a long, b long, sim double").where(F.col("sim") >= least).select("a", "b")
+            met = pairs if met is None else met.union(pairs)
+        met = scratch.save(met.distinct())
+        if met.take(1):
+            links = scratch.save(links.union(met).distinct())
+            roots = scratch.save(connected_components(links, scratch))
+        # The audit's queries are `audit` classes, and four times as many until they see `seen` links; at most 16 times `audit`.
+        for size in (audit, 4 * audit, 16 * audit):
+            asked = classes.orderBy(F.xxhash64("node"), "node").limit(size).select("node", "cell", "unit").collect()
+            true = scratch.save(classes.select("node", "cell", "unit").mapInArrow(_auditor(*([r[c] for r in asked] for c in ("node", "cell", "unit")), least), "a long, b long, sim double"))
+            if len(asked) < size or len(true.limit(seen).take(seen)) >= seen:
+                break
         ca = roots.select(F.col("node").alias("a"), F.col("component").alias("ca"))
         cb = roots.select(F.col("node").alias("b"), F.col("component").alias("cb"))
         same = F.coalesce("ca", "a") == F.coalesce("cb", "b")
