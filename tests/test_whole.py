@@ -75,3 +75,31 @@ def test_links_between_full_lists(spark):
     got = {r["vec_id"]: r for r in near_embeddings(df, audit=1, seen=1, tries=1).collect()}
     assert [got[i]["n_links"] for i in range(len(x))] == near.sum(1).tolist()
     assert all(got[i]["component_id"] == i // 80 * 80 for i in range(480))
+
+
+@tables
+def test_graph_orders_take_every_edge(spark):
+    from pyspark.sql import functions as F
+
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet")
+    want = {(r[0] + 10_000_000, r[1]) for r in lines.select("l_suppkey", "l_partkey").collect()}
+    got = [tuple(r) for r in catalog._edges(spark, SF).select("src", "dst").collect()]
+    assert len(got) == len(want) and set(got) == want
+    ends = {x for e in want for x in e}
+    for name in ("rcm_order", "community_order"):
+        o = catalog.QUERIES[name](spark, SF)
+        assert {r["id"] for r in o.collect()} == ends and o.agg(F.countDistinct("new_id")).first()[0] == len(ends)
+
+
+@tables
+def test_hilbert_permutation_orders_whole_vectors(spark, monkeypatch):
+    from bytelens.functions import orders
+    from bytelens.operators import content
+
+    made, plain = [], content.hilbert_order
+    monkeypatch.setattr(content, "hilbert_order", lambda *a, **b: made.append(plain(*a, **b)) or made[-1])
+    catalog.QUERIES["hilbert_permutation"](spark, SF).collect()
+    ids, x = _embeddings(spark)
+    x = x.astype(np.float32)
+    keys = orders.hilbert_keys(orders.quantize(x, x.min(0), x.max(0), 16), 16)
+    assert [r["id"] for r in made[0].orderBy("new_id").collect()] == [i for _, i in sorted(zip(keys, ids, strict=True))]
