@@ -103,3 +103,24 @@ def test_hilbert_permutation_orders_whole_vectors(spark, monkeypatch):
     x = x.astype(np.float32)
     keys = orders.hilbert_keys(orders.quantize(x, x.min(0), x.max(0), 16), 16)
     assert [r["id"] for r in made[0].orderBy("new_id").collect()] == [i for _, i in sorted(zip(keys, ids, strict=True))]
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine", "inner_product"])
+def test_nearest_takes_every_query(spark, metric):
+    from bytelens.operators.neighbours import nearest
+
+    rng = np.random.default_rng(2)
+    x, y = rng.normal(size=(40, 4)), rng.normal(size=(10, 3))
+    rows = [(100 + i, v.tolist()) for i, v in enumerate(y)] + [(i, v.tolist()) for i, v in enumerate(x)] + [(200, None), (201, [1.0, None, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got: dict = {}
+    for r in nearest(df, df, 3, metric, most=20).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["id"])
+
+    def far(a, b):
+        return {"l2": np.sqrt(((a - b) ** 2).sum()), "cosine": 1 - a @ b / np.sqrt((a @ a) * (b @ b)), "inner_product": -(a @ b)}[metric]
+
+    for m, first in ((x, 0), (y, 100)):
+        for i, a in enumerate(m):
+            assert got.pop(first + i) == [first + j for _, j in sorted((far(a, b), j) for j, b in enumerate(m))[:3]]
+    assert not got
