@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import cache
+from itertools import accumulate
 
+import numpy as np
+
+from bytelens.functions import lockstep
 from bytelens.functions.hashes import MASK, mix_word
 
 
@@ -51,19 +55,41 @@ class ChunkSizes:
         return (1 << min(strict, 64)) - 1, (1 << loose) - 1
 
 
-def chunks(raw: bytes, sizes: ChunkSizes) -> list[tuple[int, int, int]]:
-    """(start, end, hash at the end). The hash runs on across chunks."""
-    table, out, h, start, n = gear_table(), [], 0, 0, len(raw)
+def gear_hashes(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The hash after every byte of payloads that begin at ``at``; it doesn't start anew at a cut."""
+    table = np.array(gear_table(), np.uint64)
+    step = lambda h, x: ((h << np.uint64(1)) | (h >> np.uint64(63))) + table[x]
+    one = lambda h, xs: list(accumulate(xs, gear_update, initial=h))[1:]
+    return lockstep.fold(raw, at, 0, np.uint64, step, one, every=True)
+
+
+def cuts(h: np.ndarray, sizes: ChunkSizes) -> list[int]:
+    """Ends of the chunks of one payload with these hashes."""
     strict, loose = sizes.masks()
+    early = np.flatnonzero((h & np.uint64(strict)) == 0)
+    late = np.flatnonzero((h & np.uint64(loose)) == 0) if sizes.level else early
+    normal = sizes.avg_size if sizes.level else sizes.max_size
+    out, start, n = [], 0, len(h)
     while start < n:
-        size = min(n - start, sizes.max_size)
-        normal = sizes.avg_size if sizes.level else sizes.max_size
-        end = start + size
-        for k in range(size):
-            h = ((h << 1 & MASK | h >> 63) + table[raw[start + k]]) & MASK
-            if k >= sizes.min_size and not h & (strict if k < normal else loose):
-                end = start + k + 1
+        end = min(n, start + sizes.max_size)
+        # A cut is looked for from the least size on: under the strict mask up to the normal size, then under the loose.
+        for places, lo, hi in ((early, start + sizes.min_size, start + normal), (late, start + max(normal, sizes.min_size), end)):
+            k = np.searchsorted(places, lo)
+            if k < len(places) and places[k] < min(hi, end):
+                end = int(places[k]) + 1
                 break
-        out.append((start, end, h))
+        out.append(end)
         start = end
     return out
+
+
+def chunks(raw: bytes, sizes: ChunkSizes) -> list[tuple[int, int, int]]:
+    """(start, end, hash at the end)."""
+    h = gear_hashes(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+    ends = cuts(h, sizes)
+    return [(a, b, int(h[b - 1])) for a, b in zip([0, *ends[:-1]], ends, strict=True)] if ends else []
+
+
+def first_cut(raw: bytes, sizes: ChunkSizes) -> int:
+    """Length of the first chunk; 0 of an empty payload."""
+    return next((b for _, b, _ in chunks(raw[: sizes.max_size], sizes)), 0)

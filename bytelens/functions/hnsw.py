@@ -169,6 +169,16 @@ def distance(g: Graph, query: bytes, nodes: list[int]) -> list[float]:
     return (1 - y @ x / n).tolist()
 
 
+def selectivity(g: Graph, permits: set[int]) -> float:
+    """The share of the nodes that a filter lets through; 0 of an empty graph."""
+    return len([n for n in permits if 0 <= n < len(g.keys)]) / len(g.keys) if len(g.keys) else 0.0
+
+
+def select(candidates: list[tuple[float, int]], m: int) -> list[tuple[float, int]]:
+    """The m nearest of (distance, node), ties by node."""
+    return sorted(candidates)[:m]
+
+
 def _layer(g: Graph, query: bytes, start: tuple[float, int], layer: int, ef: int, permits) -> list[tuple[float, int]]:
     """The ef nearest found; both queues are sorted, hold ef at most and break ties by node."""
     seen, ahead = {start[1]}, [start]

@@ -106,6 +106,55 @@ def cosine_counts(a: Column, b: Column) -> Column:
     return _same(a, b, F.when((x == 0) & (y == 0), 0.0).when((x == 0) | (y == 0), 1.0).otherwise(F.least(F.lit(2.0), F.greatest(F.lit(0.0), d))))
 
 
+DISTANCES = {
+    "total_variation": total_variation,
+    "kolmogorov_smirnov": kolmogorov_smirnov,
+    "kullback_leibler": lambda a, b: kullback_leibler(a, b, 0.5),
+    "jensen_shannon": jensen_shannon,
+    "hellinger": hellinger,
+    "triangular": triangular,
+    "l2": l2_counts,
+    "l2_normalized": lambda a, b: l2_counts(a, b, normalized=True),
+    "cosine": cosine_counts,
+}
+
+
+def count_distance(name: str, a: Column, b: Column) -> Column:
+    """A distance of two arrays of counts by its name in ``DISTANCES``; by name the cosine distance of two empty ones is 1."""
+    d = DISTANCES[name](a, b)
+    return F.when((dot(a, a) == 0) & (dot(b, b) == 0), 1.0).otherwise(d) if name == "cosine" else d
+
+
+def count_distances(a: Column, b: Column) -> Column:
+    """All of ``DISTANCES`` in one struct."""
+    return F.struct(*[f(a, b).alias(k) for k, f in DISTANCES.items()])
+
+
+# Predicates on what columns.structure and columns.extent_fingerprint give ------------------------
+
+
+def is_zero_filled(structure: Column) -> Column:
+    """Not empty, and zero throughout."""
+    return (structure["total"] > 0) & (structure["zeros"] == structure["total"])
+
+
+def is_sparse(structure: Column) -> Column:
+    return (structure["total"] > 0) & (structure["zeros"] * 100 >= 95 * structure["total"])
+
+
+def is_low_cardinality(structure: Column) -> Column:
+    return (structure["total"] > 0) & (structure["distinct"] <= 16)
+
+
+def is_text_like(structure: Column) -> Column:
+    return (structure["total"] > 0) & ((structure["whitespace"] + structure["printable"]) * 10 >= 9 * structure["total"])
+
+
+def skips_compression(fingerprint: Column) -> Column:
+    """Nearly uniform bytes and hardly any runs: compressing would gain nothing."""
+    return (fingerprint["h1"] >= 7.90) & (fingerprint["rl_fraction"] < 0.01)
+
+
 # Vectors ----------------------------------------------------------------------------------------
 
 
@@ -113,6 +162,18 @@ def dot(a: Column, b: Column) -> Column:
     return _same(a, b, _sum(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))))
 
 
+def dot_wrapped(a: Column, b: Column) -> Column:
+    """Of arrays of unsigned 32-bit numbers, modulo 2^32."""
+    part = lambda x, y: ((x.cast("long") * y.cast("long").bitwiseAND(F.lit(0xFFFF).cast("long"))) + ((x.cast("long") * F.shiftright(y.cast("long"), 16)).bitwiseAND(F.lit(0xFFFF).cast("long"))) * 65536).bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))
+    return _same(a, b, F.aggregate(F.zip_with(a, b, part), F.lit(0).cast("long"), lambda s, x: (s + x).bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))))
+
+
+def dot_checked(a: Column, b: Column) -> Column:
+    """Of arrays of unsigned 32-bit numbers; null where the sum passes 2^32 - 1."""
+    s = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("decimal(20,0)") * y.cast("decimal(10,0)")), F.lit(0).cast("decimal(38,0)"), lambda s, x: (s + x).cast("decimal(38,0)"))
+    return _same(a, b, F.when(s <= 0xFFFFFFFF, s.cast("long")))
+
+
 def l2_squared(a: Column, b: Column) -> Column:
     return _same(a, b, _sum(F.zip_with(a, b, lambda x, y: F.pow(x.cast("double") - y.cast("double"), 2))))
 

@@ -7,7 +7,7 @@ from collections.abc import Iterable
 
 import numpy as np
 
-from bytelens.functions.hashes import MASK, mix64
+from bytelens.functions.hashes import MASK, mix64, mix64_all
 from bytelens.functions.payload import crc32c_words
 
 
@@ -15,18 +15,18 @@ class SpaceSaving:
     """k counters; a new item takes the least one, whose count it goes on from. Counts are never too low."""
 
     def __init__(self, k: int):
-        self.k, self.items, self.counts, self.place = k, [], [], {}
+        self.k, self.items, self.counts, self.errors, self.place = k, [], [], [], {}
 
     def update(self, item: int, count: int = 1) -> None:
         if item in self.place:
             self.counts[self.place[item]] += count
         elif len(self.items) < self.k:
             self.place[item] = len(self.items)
-            self.items.append(item), self.counts.append(count)
+            self.items.append(item), self.counts.append(count), self.errors.append(0)
         elif self.k:
             i = min(range(self.k), key=self.counts.__getitem__)
             del self.place[self.items[i]]
-            self.place[item], self.items[i] = i, item
+            self.place[item], self.items[i], self.errors[i] = i, item, self.counts[i]
             self.counts[i] += count
 
     def estimate(self, item: int) -> int:
@@ -150,6 +150,20 @@ class Bloom:
         a, b = (mix64(raw, s) for s in BLOOM_SEEDS)
         return np.array([((a + i * b) & MASK) % self.bits for i in range(self.hashes)], np.uint64)
 
+    def positions_all(self, raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Rows of positions of many payloads, which begin at ``at``."""
+        a, b = (mix64_all(raw, at, s) for s in BLOOM_SEEDS)
+        return (a[:, None] + np.arange(self.hashes, dtype=np.uint64) * b[:, None]) % np.uint64(self.bits)
+
+    def insert_all(self, raw: np.ndarray, at: np.ndarray) -> None:
+        p = self.positions_all(raw, at)
+        np.bitwise_or.at(self.words, (p // np.uint64(64)).astype(np.int64), np.uint64(1) << p % np.uint64(64))
+        self.n += len(at) - 1
+
+    def contains_all(self, raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+        p = self.positions_all(raw, at)
+        return (self.words[(p // np.uint64(64)).astype(np.int64)] >> p % np.uint64(64) & np.uint64(1)).all(1)
+
     def insert(self, raw: bytes) -> None:
         p = self.positions(raw)
         np.bitwise_or.at(self.words, (p // 64).astype(np.int64), np.uint64(1) << p % np.uint64(64))
@@ -212,7 +226,5 @@ class P2Quantile:
             return math.nan
         if self.count >= 5:
             return self.q[2]
-        at = self.p * (self.count - 1)
-        lo = min(max(0, math.floor(at - 0.5 + 0.5)), self.count - 1)
-        hi = min(lo + 1, self.count - 1)
-        return self.q[lo] + (at - lo) * (self.q[hi] - self.q[lo])
+        # Of fewer values than markers: between the two that stand around the quantile's place.
+        return float(np.interp(self.p * (self.count - 1), range(self.count), self.q))

@@ -6,13 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from bytelens.functions import columns as fc
-from bytelens.functions import hashes, orders, similar
+from bytelens.functions import hashes, lockstep, orders, similar
 from bytelens.functions.chunking import ChunkSizes
+from bytelens.scratch import Scratch, ordered
 from bytelens.session import ship
 
 
@@ -22,11 +23,17 @@ def minhash(elements: Column, k: int, seed: int, kind: str = "classic") -> Colum
     @arrow_udf("array<bigint>")
     def f(col: pa.Array) -> pa.Array:
         out = []
-        for items in col.to_pylist():
-            if items is None:
+        size = np.diff(np.asarray(col.offsets)) if len(col) else np.zeros(0, int)
+        size = np.where(col.is_valid().to_numpy(zero_copy_only=False), size, 0)
+        flat = col.flatten()
+        h = hashes.mix64_all(*lockstep.flat(flat.cast(pa.binary())), seed)
+        there_, ends = flat.is_valid().to_numpy(zero_copy_only=False), np.cumsum(size)
+        for i, known in enumerate(col.is_valid().to_pylist()):
+            if not known:
                 out.append(None)
                 continue
-            e = np.array([hashes.mix64(x.encode(), seed) for x in items if x is not None], np.uint64)
+            own = slice(ends[i] - size[i], ends[i])
+            e = h[own][there_[own]]
             slots, there = similar.minhash(e, k, seed) if kind == "classic" else similar.one_permutation(e, k, seed)
             if kind == "densified":
                 slots, there = similar.densify(slots, there)
@@ -46,6 +53,18 @@ def minhash_bands(slots: Column, bands: int) -> Column:
     return f(slots)
 
 
+def merged_minhash(df: DataFrame, elements: Column, by: list[str], k: int, seed: int) -> DataFrame:
+    """(by..., slots) of the union of each group's sets: the least of each slot, as unsigned numbers. Groups without elements have none.
+
+    Each row's signature stands for itself, so a stream of rows merges by the same aggregate.
+    """
+    low = F.lit(-(1 << 63)).cast("long")
+    flat = df.select(*by, F.posexplode(minhash(elements, k, seed)).alias("slot", "v")).where("v IS NOT NULL")
+    least = flat.groupBy(*by, "slot").agg(F.min(F.col("v").bitwiseXOR(low)).alias("v"))
+    slots = least.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("slot", "v"))).alias("s"))
+    return slots.select(*by, F.transform("s", lambda x: x["v"].bitwiseXOR(low)).alias("slots"))
+
+
 def minhash_jaccard(a: Column, b: Column) -> Column:
     """Equal slots of those that either has; 0 without any."""
     start = F.struct(F.lit(0).alias("eq"), F.lit(0).alias("n"))
@@ -86,13 +105,9 @@ def chunk_quality(chunks: DataFrame, sizes: ChunkSizes, by: list[str]) -> DataFr
     return chunks.groupBy(*by).agg(F.count("*").alias("chunks"), F.sum(n).alias("total_bytes"), F.min(n).alias("min_len"), F.max(n).alias("max_len"), F.avg(n).alias("mean_len"), F.avg(low).alias("below_min_fraction"), F.avg(high).alias("above_max_fraction"))
 
 
-def _numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
-    """Places in a global order, found by numbering range partitions; only their sizes meet in one task."""
-    part = df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()).persist()
-    sums = part.groupBy("_p").count()
-    before = sums.select("_p", F.coalesce(F.sum("count").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
-    w = Window.partitionBy("_p").orderBy(*order)
-    return part.join(before, "_p").withColumn(name, F.row_number().over(w) - 1 + F.col("_b")).drop("_p", "_b")
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Places in a global order. The dealt ranges are a written table, so a lost executor can't change them."""
+    return ordered(df, [F.col(c) for c in order], Scratch(df.sparkSession), pos=name)
 
 
 def hilbert_order(df: DataFrame, id_col: str, vector: Column, dim: int, bits: int = 16) -> DataFrame:
@@ -109,7 +124,12 @@ def hilbert_order(df: DataFrame, id_col: str, vector: Column, dim: int, bits: in
         x = np.array([[np.nan if y is None else y for y in row] for row in col.to_pylist()], np.float32).reshape(-1, dim)
         return pa.array(orders.hilbert_keys(orders.quantize(x, low, high, bits), bits), pa.binary())
 
-    return _numbered(v.select("id", key(F.col("v")).alias("k")), ["k", "id"], "new_id").select("id", "new_id")
+    return numbered(v.select("id", key(F.col("v")).alias("k")), ["k", "id"], "new_id").select("id", "new_id")
+
+
+def hilbert_points(df: DataFrame, id_col: str, x: Column, y: Column, bits: int = 16) -> DataFrame:
+    """(id, new_id) along a Hilbert curve through points of the plane, ties by id."""
+    return hilbert_order(df, id_col, F.array(x.cast("double"), y.cast("double")), 2, bits)
 
 
 def graph_order(edges: DataFrame, kind: str = "rcm", *, most: int = 2_000_000) -> DataFrame:

@@ -16,14 +16,17 @@ from pyspark.sql import functions as F
 from bytelens.session import ship
 
 
-def split_fold(raw: bytes, leaf: Callable, combine: Callable, identity, size: int):
-    """Of one payload: halved down to pieces of ``size`` bytes at most, combined on the way back."""
+def split_fold(raw: bytes, leaf: Callable, combine: Callable, identity, size: int, split_at: Callable[[int], int] = lambda n: n // 2):
+    """Of one payload: split down to pieces of ``size`` bytes at most, combined on the way back.
+
+    split_at says for a length where to split; a place outside the inner ones makes the piece a leaf.
+    """
     if not raw:
         return identity
-    if len(raw) <= size:
+    at = split_at(len(raw))
+    if len(raw) <= size or not 0 < at < len(raw):
         return leaf(raw)
-    half = len(raw) // 2
-    return combine(split_fold(raw[:half], leaf, combine, identity, size), split_fold(raw[half:], leaf, combine, identity, size))
+    return combine(split_fold(raw[:at], leaf, combine, identity, size, split_at), split_fold(raw[at:], leaf, combine, identity, size, split_at))
 
 
 def min_max_len(df: DataFrame, payload: Column, by: list[str]) -> DataFrame:
@@ -78,7 +81,8 @@ def fold(df: DataFrame, payload: Column, leaf: Callable[[bytes], bytes], combine
     n = part.rdd.getNumPartitions()
     while n > fan:
         n = -(-n // fan)
-        part = part.coalesce(n).mapInArrow(again, "state binary")
+        # A shuffle of the few states: coalescing would carry the leaves' own pass into as few tasks.
+        part = part.repartition(n).mapInArrow(again, "state binary")
     state = identity
     for r in part.collect():  # `fan` states at most
         state = combine(state, bytes(r["state"]))

@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bytelens.functions import hashes, sketches
+from bytelens.functions import hashes, lockstep, sketches
+from bytelens.scratch import Scratch
 from bytelens.session import ship
 
 
@@ -33,8 +34,10 @@ def hll_estimate(registers: DataFrame, p: int = 12, by: list[str] | None = None)
     g = registers.groupBy(*by).agg(n.alias("n"), s.alias("s"))
     raw = F.lit(sketches.hll_alpha(m) * m * m) / (F.col("s") + (m - F.col("n")))
     zeros = m - F.col("n")
-    small = F.when((raw <= 2.5 * m) & (zeros > 0), m * F.ln(m / zeros)).otherwise(raw)
-    return g.select(*by, F.floor(small + 0.5).cast("long").alias("estimate"))
+    full = 2.0**32
+    large = F.when((raw > full / 30) & (raw < full), -full * F.ln(1 - raw / full)).otherwise(raw)
+    whole = F.when((raw <= 2.5 * m) & (zeros > 0), m * F.ln(m / zeros)).otherwise(large)
+    return g.select(*by, F.floor(whole + 0.5).cast("long").alias("estimate"))
 
 
 def count_min(df: DataFrame, item: Column, rows: int = 4, cols: int = 1024, by: list[str] | None = None) -> DataFrame:
@@ -73,10 +76,15 @@ def count_min_estimate(table: DataFrame, items: DataFrame, item: str, rows: int
 def heavy_hitters(df: DataFrame, item: Column, k: int, kind: str = "misra_gries") -> DataFrame:
     """(item, low, high): bounds of the counts of the items that k counters hold.
 
-    Each task keeps k counters; merged, the error is n / (k + 1) at most for misra_gries (counts too low), and for
-    space_saving counts are too high by what the others' least counters hold.
+    Each task keeps k counters. misra_gries: counts are too low, by n / (k + 1) at most. space_saving: they are too
+    high; a task that is full may have seen an item it doesn't hold as often as its least counter says, so that is
+    added for each such task, and what an item took over from another when it came in is taken off below.
     """
+    if kind not in ("misra_gries", "space_saving"):
+        raise ValueError(kind)
     ship(df.sparkSession)
+    if kind == "space_saving":
+        return _space_saving(df, item, k)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = sketches.MisraGries(k)
@@ -88,12 +96,29 @@ def heavy_hitters(df: DataFrame, item: Column, k: int, kind: str = "misra_gries"
         yield pa.RecordBatch.from_arrays([pa.array([list(s.counts)], pa.list_(pa.int64())), pa.array([list(s.counts.values())], pa.list_(pa.int64())), pa.array([s.n])], ["items", "counts", "n"])
 
     part = df.select(item.cast("long").alias("_i")).where("_i IS NOT NULL").mapInArrow(keep, "items array<long>, counts array<long>, n long")
+    part = Scratch(df.sparkSession).save(part)
     flat = part.select(F.explode(F.arrays_zip("items", "counts")).alias("x")).select(F.col("x.items").alias("item"), F.col("x.counts").alias("c"))
-    total = part.agg(F.sum("n").alias("n"), F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda s, x: s + x)).alias("held"))
+    total = part.agg(F.sum("n").alias("n"), F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda s, x: s + x)).alias("held")).first()
     # What is not held in a task was taken off in rounds of k + 1, so a count is low by that much at most.
-    lost = F.floor((F.col("n") - F.col("held")) / (k + 1))
-    summed = flat.groupBy("item").agg(F.sum("c").alias("low"))
-    return summed.join(F.broadcast(total)).select("item", "low", (F.col("low") + lost).alias("high"))
+    lost = ((total["n"] or 0) - (total["held"] or 0)) // (k + 1)
+    return flat.groupBy("item").agg(F.sum("c").alias("low")).select("item", "low", (F.col("low") + lost).alias("high"))
+
+
+def _space_saving(df: DataFrame, item: Column, k: int) -> DataFrame:
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s = sketches.SpaceSaving(k)
+        for batch in batches:
+            v, n = np.unique(batch.column("_i").to_numpy(zero_copy_only=False), return_counts=True)
+            for i in np.lexsort((v, -n)).tolist():
+                s.update(int(v[i]), int(n[i]))
+        floor = min(s.counts) if len(s.items) == k and k else 0
+        yield pa.RecordBatch.from_arrays([pa.array(s.items, pa.int64()), pa.array([c - floor for c in s.counts], pa.int64()), pa.array([c - e for c, e in zip(s.counts, s.errors, strict=True)], pa.int64()), pa.array([floor] * len(s.items), pa.int64()), pa.array([i == 0 for i in range(len(s.items))])], ["item", "above", "low", "floor", "first"])
+
+    part = df.select(item.cast("long").alias("_i")).where("_i IS NOT NULL").mapInArrow(keep, "item long, above long, low long, floor long, first boolean")
+    part = Scratch(df.sparkSession).save(part)
+    floors = part.where("first").agg(F.sum("floor")).first()[0] or 0
+    held = part.groupBy("item").agg(F.sum("low").alias("low"), F.sum("above").alias("above"))
+    return held.select("item", "low", (F.col("above") + floors).alias("high"))
 
 
 def bloom_filter(df: DataFrame, item: Column, expected: int, rate: float) -> sketches.Bloom:
@@ -104,9 +129,7 @@ def bloom_filter(df: DataFrame, item: Column, expected: int, rate: float) -> ske
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b = sketches.Bloom(shape.bits, shape.hashes)
         for batch in batches:
-            for x in batch.column("_i").to_pylist():
-                if x is not None:
-                    b.insert(x)
+            b.insert_all(*lockstep.flat(batch.column("_i").drop_null()))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(b.words))), pa.array(b.words.view(np.int64)), pa.array(np.r_[b.n, np.zeros(len(b.words) - 1, int)])], ["word", "bits", "n"])
 
     words = df.select(item.alias("_i")).mapInArrow(fill, "word long, bits long, n long").groupBy("word").agg(F.bit_or("bits").alias("bits"), F.sum("n").alias("n"))
@@ -117,9 +140,12 @@ def bloom_filter(df: DataFrame, item: Column, expected: int, rate: float) -> ske
 
 
 def bloom_contains(item: Column, bloom: sketches.Bloom) -> Column:
-    from bytelens.functions.columns import _each
+    """Whether the filter may hold the item; null for null."""
+
+    def g(col: pa.Array) -> pa.Array:
+        return pa.array(bloom.contains_all(*lockstep.flat(col)), mask=col.is_null().to_numpy(zero_copy_only=False))
 
-    return _each(bloom.contains, "boolean", pa.bool_())(item)
+    return F.arrow_udf(g, "boolean")(item)
 
 
 def ordered_quantile(df: DataFrame, value: str, order: str, p: float, by: list[str]) -> DataFrame:

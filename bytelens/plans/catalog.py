@@ -3,38 +3,18 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bytelens.functions import columns as fc
 from bytelens.functions import native as fn
 from bytelens.functions.chunking import ChunkSizes
 from bytelens.operators import content, histograms, neighbours, sketching
-
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def query(sql: str | None = None):
-    """Register a query under its function's name, with its SQL if SQL can express it."""
-
-    def put(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return put
-
+from bytelens.plans import states  # noqa: F401  (registers its queries)
+from bytelens.plans.registry import ORACLE_SQL, QUERIES, query, table
+from bytelens.scratch import shared_folder
 
 #: Bytes of every document: i from 0, h its hex form, x its value.
 BYTES = """WITH b AS (
@@ -42,12 +22,13 @@ BYTES = """WITH b AS (
     SELECT doc_id, lang, unnest(range(len(l))) AS i, unnest(l) AS h FROM (
       SELECT doc_id, lang, regexp_extract_all(hex(encode(text)), '..') AS l FROM documents))
 )"""
+
+
 def text_bytes():
     """The payload of a document; made at each use, as a column needs a session."""
     return fc.utf8("text")
 
 
-
 def r6(c, name: str):
     return (F.round(c, 6) + 0.0).alias(name)
 
@@ -223,10 +204,10 @@ def count_min_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def heavy_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every item above n / (k + 1) is held, and its count lies within the bounds."""
     li = table(spark, sf_dir, "lineitem")
+    n = li.count()
     held = sketching.heavy_hitters(li, F.col("l_suppkey"), 200)
     exact = li.groupBy(F.col("l_suppkey").alias("item")).agg(F.count("*").alias("cnt"))
-    n = li.agg(F.count("*").alias("n"))
-    heavy = exact.join(F.broadcast(n)).where(F.col("cnt") > F.col("n") / 201.0)
+    heavy = exact.where(F.col("cnt") > n / 201.0)
     return heavy.join(held, "item", "left").select("item", "cnt", F.coalesce((F.col("low") <= F.col("cnt")) & (F.col("cnt") <= F.col("high")), F.lit(False)).alias("within"))
 
 
@@ -290,14 +271,22 @@ d AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 6), lambda i: array
 SELECT doc_id, item_id, count(DISTINCT g) AS shared FROM d JOIN g USING (g) GROUP BY ALL""")
 def benchmark_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of eight words that a document has in common with a benchmark item."""
+    from bytelens.scratch import Scratch
 
-    def grams(name: str, id_col: str) -> DataFrame:
-        t = table(spark, sf_dir, name).select(id_col, F.regexp_extract_all(F.lower("text"), F.lit(r"[^\s]+"), F.lit(0)).alias("w"))
+    def grams(t: DataFrame, id_col: str) -> DataFrame:
+        t = t.select(id_col, F.regexp_extract_all(F.lower("text"), F.lit(r"[^\s]+"), F.lit(0)).alias("w"))
         last = F.size("w") - 7
         runs = F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice("w", i, F.lit(8)), " "))
         return t.where(last >= 1).select(id_col, F.explode(F.array_distinct(runs)).alias("g"))
 
-    return grams("documents", "doc_id").join(grams("benchmark", "item_id"), "g").groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"))
+    docs = table(spark, sf_dir, "documents")
+    items = Scratch(spark).save(grams(table(spark, sf_dir, "benchmark"), "item_id"))
+    # Documents that hold the hash of any run of the benchmark, from hashes alone; only theirs are compared as text.
+    known = items.select(F.xxhash64("g").alias("h")).distinct()
+    known = F.broadcast(known) if items.count() <= 1_000_000 else known
+    hashes = grams(docs, "doc_id").select("doc_id", F.xxhash64("g").alias("h"))
+    some = hashes.join(known, "h", "left_semi").select("doc_id").distinct()
+    return grams(docs.join(some, "doc_id", "left_semi"), "doc_id").join(items, "g").groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"))
 
 
 @query()
@@ -337,14 +326,13 @@ def knn_inner_product(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH d AS (SELECT q.vec_id AS query_id, v.vec_id AS id, list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda p: ((p[1] > 0) <> (p[2] > 0))::INT))::INT AS bits
-FROM embeddings v JOIN embeddings q ON q.vec_id % 20 = 0 AND q.label = v.label),
+FROM embeddings v JOIN embeddings q ON q.vec_id % 20 = 0),
 k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bits, id) AS rank FROM d) SELECT query_id, rank::INT AS rank, id, bits FROM k WHERE rank <= 5""")
 def knn_sign_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = table(spark, sf_dir, "embeddings").select("vec_id", "label", fn.sign_words(F.col("embedding")).alias("w"))
-    q = v.where(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), "label", F.col("w").alias("qw"))
-    d = v.join(q, "label").select("query_id", F.col("vec_id").alias("id"), fn.hamming(F.col("qw"), F.col("w")).alias("bits"))
-    r = F.row_number().over(Window.partitionBy("query_id").orderBy("bits", "id"))
-    return d.withColumn("rank", r).where("rank <= 5").select("query_id", "rank", "id", "bits")
+    """By the signs of the components alone; every twentieth vector against all, whatever their labels."""
+    v = table(spark, sf_dir, "embeddings").select("vec_id", fn.sign_words(F.col("embedding")).alias("embedding"))
+    n = neighbours.nearest(v, v.where(F.col("vec_id") % 20 == 0), 5, "hamming")
+    return n.select("query_id", "rank", "id", F.col("distance").cast("int").alias("bits"))
 
 
 @query()
@@ -387,13 +375,10 @@ def set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT l_partkey, count(*) AS n, max(gap) AS largest, sum(gap)::BIGINT AS last, sum(CASE WHEN gap < 256 THEN 1 WHEN gap < 65536 THEN 2 WHEN gap < 16777216 THEN 3 ELSE 4 END)::BIGINT AS vbytes, ceil(count(*) / 4.0)::BIGINT AS control FROM g GROUP BY l_partkey""")
 def posting_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gaps of each posting list, and its size in the byte-wise code, from the code itself."""
-    from bytelens.functions.codecs import stream_vbyte
-
     p = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.array_sort(F.collect_set("l_orderkey")).alias("o"))
     gaps = p.select("l_partkey", fn.gaps(F.col("o")).alias("g"))
-    size = fc._each(lambda g: [len(x) for x in stream_vbyte(np.array(g, np.int64))], "array<bigint>", pa.list_(pa.int64()))
-    s = gaps.select("l_partkey", "g", size(F.col("g")).alias("s"))
-    return s.select("l_partkey", F.size("g").cast("long").alias("n"), F.array_max("g").alias("largest"), F.aggregate("g", F.lit(0).cast("long"), lambda a, x: a + x).alias("last"), F.col("s")[1].alias("vbytes"), F.col("s")[0].alias("control"))
+    s = gaps.select("l_partkey", "g", fc.stream_vbyte(F.col("g")).alias("s"))
+    return s.select("l_partkey", F.size("g").cast("long").alias("n"), F.array_max("g").alias("largest"), F.aggregate("g", F.lit(0).cast("long"), lambda a, x: a + x).alias("last"), F.octet_length("s.data").cast("long").alias("vbytes"), F.octet_length("s.control").cast("long").alias("control"))
 
 
 @query("SELECT o_orderkey AS pos, (o_orderstatus = 'F')::INT AS bit, coalesce(sum((o_orderstatus = 'F')::INT) OVER (ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS rank1 FROM orders")
@@ -433,7 +418,17 @@ def build_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content.build_plan(table(spark, sf_dir, "documents"), "doc_id", text_bytes())
 
 
-@query()
+@query(BYTES + """, t AS (SELECT list(list_reduce(list_prepend(v, list_transform(range(8), lambda i: 0::BIGINT)), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 2197175160) ELSE c >> 1 END) ORDER BY v) AS t FROM (SELECT unnest(range(256))::BIGINT AS v)),
+k AS (SELECT doc_id, i // 256 AS block, i, x FROM b WHERE i < (SELECT max(i) + 1 FROM b z WHERE z.doc_id = b.doc_id) // 256 * 256),
+e AS (SELECT *, coalesce((x = lag(x) OVER w)::INT, 0) AS same, x + 256 * lead(x, 1) OVER w + 65536 * lead(x, 2) OVER w + 16777216 * lead(x, 3) OVER w::BIGINT AS g FROM k WINDOW w AS (PARTITION BY doc_id, block ORDER BY i)),
+r AS (SELECT doc_id, block, count(*) AS runs FROM (SELECT doc_id, block, run FROM (SELECT doc_id, block, sum(1 - same) OVER (PARTITION BY doc_id, block ORDER BY i) AS run FROM e) GROUP BY ALL HAVING count(*) >= 4) GROUP BY ALL),
+c AS (SELECT doc_id, block, x, count(*) AS n FROM k GROUP BY ALL),
+h AS (SELECT doc_id, block, 8 - sum(n * log2(n)) / 256 AS h1, list_sum(list_slice(list_reverse_sort(list(n)), 1, 4))::INT AS top, coalesce(sum(n) FILTER (x BETWEEN 33 AND 126), 0) AS p, coalesce(sum(n) FILTER (x IN (9, 10, 13, 32)), 0) AS w, coalesce(sum(n) FILTER (x < 32), 0) AS o, coalesce(sum(n) FILTER (x > 127), 0) AS z FROM c GROUP BY ALL),
+s1 AS (SELECT doc_id, block, xor(t[(g & 255) + 1], g >> 8) AS g FROM e, t WHERE g IS NOT NULL), s2 AS (SELECT doc_id, block, xor(t[(g & 255) + 1], g >> 8) AS g FROM s1, t),
+s3 AS (SELECT doc_id, block, xor(t[(g & 255) + 1], g >> 8) AS g FROM s2, t), s4 AS (SELECT doc_id, block, xor(t[(g & 255) + 1], g >> 8) % 256 AS g FROM s3, t),
+q AS (SELECT doc_id, block, log2(253) - sum(n * log2(n)) / 253 AS h4 FROM (SELECT doc_id, block, g, count(*) AS n FROM s4 GROUP BY ALL) GROUP BY ALL)
+SELECT doc_id, block::INT AS block, floor(h1 * 16 + 0.5)::INT AS h1_q4, floor(CASE WHEN h1 >= 7.875 AND runs IS NULL THEN h1 ELSE h4 END * 16 + 0.5)::INT AS h4_q4, coalesce(runs, 0)::INT AS runs, least(255, top) AS top4,
+  ((p >= 128)::INT + 2 * (w >= 128)::INT + 4 * (o >= 128)::INT + 8 * (z >= 128)::INT) AS classes FROM h JOIN q USING (doc_id, block) LEFT JOIN r USING (doc_id, block)""")
 def block_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", F.explode(fc.block_fingerprints(text_bytes())).alias("b"))
     return d.select("doc_id", "b.*")
@@ -498,7 +493,7 @@ def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly counts of the events as a stream, drained once."""
     from bytelens.streaming import sketches as st
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()
+    base = shared_folder(spark)
     name = f"windows_{uuid.uuid4().hex}"
     st.run_once(st.windowed_counts(st.stream_table(spark, sf_dir, "events")), "complete", os.path.join(base, name), name)
     return spark.table(name).select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "event_type", "n", F.round("total", 4).alias("total"))

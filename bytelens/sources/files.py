@@ -68,8 +68,34 @@ def extents(spark: SparkSession, path: str) -> DataFrame:
     return payloads(spark, path).select("payload").mapInArrow(parse, _SIDECAR)
 
 
-def graph_search(queries: DataFrame, graph: bytes, *, k: int, ef: int = 64, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
-    """(id, rank, key, distance) from a graph file of one machine's size, which is sent to every task."""
+def graphs(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+    """(path, rows, dims, metric, scalar, top, error, payload) of the graph files under path; what can't be read says why."""
+    from bytelens.functions import hnsw
+    from bytelens.session import ship
+
+    ship(spark)
+    names = ("path", "rows", "dims", "metric", "scalar", "top", "error", "payload")
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.binary())
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, raw in zip(batch.column("path").to_pylist(), batch.column("payload").to_pylist(), strict=True):
+                try:
+                    g = hnsw.read(raw)
+                    dims = struct.unpack_from("<Q", raw, 8 + g.vectors.size + 33)[0]
+                    row = (name, len(g.keys), dims, g.metric, g.scalar, g.top, None, raw)
+                except hnsw.GraphError as e:
+                    row = (name, None, None, None, None, None, str(e), raw)
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds, strict=True)], list(names))
+
+    return payloads(spark, path, glob).select("path", "payload").mapInArrow(parse, "path string, rows long, dims long, metric string, scalar string, top int, error string, payload binary")
+
+
+def graph_search(queries: DataFrame, graph: bytes, *, k: int, ef: int = 64, permits: set[int] | None = None, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
+    """(id, rank, key, distance) from a graph file of one machine's size, which is sent to every task.
+
+    With ``permits`` only those nodes are results; the way to them goes through all.
+    """
     from bytelens.functions import hnsw
 
     hnsw.read(graph)  # fails here rather than in a task
@@ -80,7 +106,7 @@ def graph_search(queries: DataFrame, graph: bytes, *, k: int, ef: int = 64, id_c
         for batch in batches:
             rows = []
             for i, v in zip(batch.column("id").to_pylist(), batch.column("vector").to_pylist(), strict=True):
-                rows += [(i, r, key, d) for r, (key, d) in enumerate(hnsw.search(g, v, k, ef), 1)] if v is not None else []
+                rows += [(i, r, key, d) for r, (key, d) in enumerate(hnsw.search(g, v, k, ef, permits), 1)] if v is not None else []
             cols = list(zip(*rows, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.float64()), strict=True)], ["id", "rank", "key", "distance"])
 

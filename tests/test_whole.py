@@ -49,34 +49,6 @@ def test_graph_files_hold_every_row(spark):
     assert sum(len(set(got[i]) & set(want[i])) for i in range(600)) >= 0.97 * 3000
 
 
-def _clumps(rng, n, dim=32, inside=0.003):
-    """Two clumps of n unit vectors, tight inside, about 0.9825 apart; and others far from them."""
-    a = rng.normal(size=dim)
-    a /= np.sqrt(a @ a)
-    o = rng.normal(size=dim)
-    o -= (o @ a) * a
-    o /= np.sqrt(o @ o)
-    b = 0.9825 * a + np.sqrt(1 - 0.9825**2) * o
-    return [c + rng.normal(size=dim) * inside for c in (a, b) for _ in range(n)]
-
-
-def test_links_between_full_lists(spark):
-    from bytelens.llm.embedding_dedup import near_embeddings
-
-    rng = np.random.default_rng(8)
-    x = np.array([v for _ in range(6) for v in _clumps(rng, 40)] + [rng.normal(size=32) for _ in range(1500)])
-    u = x / np.sqrt((x * x).sum(1))[:, None]
-    near = u @ u.T >= 0.98
-    np.fill_diagonal(near, False)
-    # No exact list of ten has a link to the other clump.
-    top = np.argsort(-(u @ u.T) + 2 * np.eye(len(u)), axis=1)[:480, :10]
-    assert all((top[i] // 40 == i // 40).all() for i in range(480)) and near[:40, 40:80].sum() > 400
-    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
-    got = {r["vec_id"]: r for r in near_embeddings(df, audit=1, seen=1, tries=1).collect()}
-    assert [got[i]["n_links"] for i in range(len(x))] == near.sum(1).tolist()
-    assert all(got[i]["component_id"] == i // 80 * 80 for i in range(480))
-
-
 @tables
 def test_graph_orders_take_every_edge(spark):
     from pyspark.sql import functions as F
