@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -123,7 +124,7 @@ def _writer(folder: str, tokenizer: str, drops_space: bool, end_id: int, file_id
         from pyarrow import fs
         from pyspark import TaskContext
 
-        from bytelens.llm.tokens import encoder, slices
+        from bytelens.llm.tokens import encoder, rest, slices
 
         files, base = fs.FileSystem.from_uri(folder)
         enc = encoder(tokenizer, drops_space=drops_space)
@@ -148,8 +149,8 @@ def _writer(folder: str, tokenizer: str, drops_space: bool, end_id: int, file_id
         for batch in batches:
             text = batch.column("_text").cast(pa.string())
             who = batch.column("_id").to_pylist()
-            size = [len(x) + 1 for x in text.to_pylist()]
-            for a, b in slices(np.array(size), 8_000_000):
+            size = np.maximum(1, pc.binary_length(text).to_numpy(zero_copy_only=False))
+            for a, b in slices(size, min(8_000_000, 4 * file_ids)):
                 ids, ends = enc.encode(text.slice(a, b - a))
                 n = np.diff(ends)
                 names.extend(who[a:b])
@@ -159,6 +160,7 @@ def _writer(folder: str, tokenizer: str, drops_space: bool, end_id: int, file_id
                     yield flush()
         if names:
             yield flush()
+        rest()
 
     return write
 
@@ -166,18 +168,20 @@ def _writer(folder: str, tokenizer: str, drops_space: bool, end_id: int, file_id
 def write_store(docs: DataFrame, tokenizer: str, folder: str, *, drops_space: bool, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, file_ids: int = 4_000_000, block: int = 256, percentile: float = 90.0, scratch: Scratch | None = None) -> DataFrame:
     """Write whole texts as token files, in ascending id order (null first); returns the manifest.
 
-    The manifest (shard, file, path, n_docs, n_ids, n_bytes, start) is a written table: only the files of tasks
-    that ended are in it. ``start`` is the number of ids in the files before. ``folder`` is a URI that pyarrow
-    opens, on executors too. Null and empty texts are the end id alone; equal ids stand together in any order.
+    The manifest (shard, file, path, n_docs, n_ids, n_bytes, start, bytes_before) is a written table: only the files of
+    tasks that ended are in it. ``start`` and ``bytes_before`` are the ids and bytes of the files before. ``folder`` is
+    a URI that pyarrow opens, on executors too. Null and empty texts are the end id alone; rows of equal ids stand
+    together in the order of a hash of their texts, so an id that many rows share is dealt to several tasks.
     """
     spark = docs.sparkSession
     ship(spark)
     scratch = scratch or Scratch(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    rows = rows.repartitionByRange("_id").sortWithinPartitions("_id")
+    # Copies that agree in both differ in nothing that is written.
+    rows = rows.withColumn("_tie", F.xxhash64("_text")).repartitionByRange("_id", "_tie").sortWithinPartitions("_id", "_tie").drop("_tie")
     schema = "shard int, file int, path string, n_docs long, n_ids long, n_bytes long"
     made = scratch.save(rows.mapInArrow(_writer(folder, tokenizer, drops_space, end_id, file_ids, block, percentile), schema))
-    return ordered(made, [F.col("shard"), F.col("file")], scratch, {"start": "n_ids"}).drop("pos")
+    return ordered(made, [F.col("shard"), F.col("file")], scratch, {"start": "n_ids", "bytes_before": "n_bytes"}).drop("pos")
 
 
 def _reader(folder: str):
@@ -196,10 +200,15 @@ def _reader(folder: str):
     return read
 
 
-def read_store(manifest: DataFrame, folder: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) from the files; start counts the ids of all documents before."""
-    files = manifest.select("path", "start").repartition(F.xxhash64("path"))
-    return files.mapInArrow(_reader(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
+def read_store(manifest: DataFrame, folder: str, *, task_bytes: int = 8_000_000) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) from the files; start counts the ids of all documents before.
+
+    Files are dealt by the bytes before them, about ``task_bytes`` to a task; a file is never cut.
+    """
+    end = manifest.agg(F.max("bytes_before")).first()[0] or 0
+    part = F.floor(F.col("bytes_before") / task_bytes).cast("int")
+    files = manifest.select("path", "start", part.alias("_part")).repartitionById(end // task_bytes + 1, "_part")
+    return files.select("path", "start").mapInArrow(_reader(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def qualified(spark, path: str) -> str:

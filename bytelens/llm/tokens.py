@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import repeat
+from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
@@ -36,64 +38,93 @@ def slices(lengths: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
 class Encoder:
     """encode(texts) -> (ids, offsets) of whole texts, null as empty.
 
-    Strings of special tokens in a text count as ordinary text. Pieces stay in memory up to ``keep`` of them.
+    The ids are those of ``Tokenizer.encode(text, add_special_tokens=False)``, so a text that holds the string of a
+    special token gets its id there; such a text is encoded whole. Pieces that a batch has more than once stay in memory
+    up to about ``keep_bytes`` and are forgotten beyond it. A piece that begins a text, one that stands inside and a
+    closing mark are kept apart, so what was seen before never changes an id.
     """
 
-    def __init__(self, path: str, *, drops_space: bool, keep: int = 1_000_000, batch_chars: int = 8_000_000):
+    def __init__(self, path: str, *, drops_space: bool, keep_bytes: int = 64_000_000, batch_bytes: int = 8_000_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
-        self.drops_space, self.keep, self.batch_chars = drops_space, keep, batch_chars
+        suffix, vocabulary = self.tok.model.end_of_word_suffix or "", self.tok.get_vocab(with_added_tokens=False)
+        self.token_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, k in vocabulary.items():  # a byte-level vocabulary has a character for each byte
+            self.token_bytes[k] = len(token.removesuffix(suffix))
+        self.special = [x.content for x in self.tok.get_added_tokens_decoder().values()]
+        self.drops_space, self.keep_bytes, self.batch_bytes = drops_space, keep_bytes, batch_bytes
         self._reset()
 
     def _reset(self) -> None:
-        self.places: dict[str, int] = {}
+        self.inner: dict[str, int] = {}  # pieces after a space
+        self.heads: dict[str, int] = {}  # pieces at the beginning of a text
+        self.marks: dict[str, int] = {}
         self.flat = np.zeros(0, np.uint32)
         self.start = np.zeros(1, np.int64)
+        self.held = 0
+        self.added: list[tuple[dict[str, int], list[str]]] = []
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Encode new pieces, many in one call: joined by spaces, which is how each follows another in a text."""
-        ids, counts, room = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], 20_000
-        for a in range(0, len(pieces), room):
-            part = pieces[a : a + room]
-            text = " " + " ".join(part)
-            got = self.tok.encode(text, add_special_tokens=False)
-            ends = np.cumsum([len(x) + 1 for x in part])
-            at = np.array([o[0] for o in got.offsets], np.int64) if got.ids else np.zeros(0, np.int64)
-            ids.append(np.array(got.ids, np.uint32))
-            counts.append(np.bincount(np.searchsorted(ends, at, "right"), minlength=len(part)))
-        self._append(pieces, np.concatenate(ids), np.concatenate(counts))
-
-    def _append(self, pieces: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
-        base = len(self.places)
-        self.places.update(zip(pieces, range(base, base + len(pieces)), strict=True))
+    def _append(self, table: dict[str, int], pieces: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
+        base = len(self.start) - 1
+        table.update(zip(pieces, range(base, base + len(pieces)), strict=True))
         self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(counts)])
         self.flat = np.concatenate([self.flat, ids])
-
-    def _alone(self, keys: list[str], pieces: list[str]) -> None:
-        """Encode new pieces each by itself."""
-        if keys:
-            got = [x.ids for x in self.tok.encode_batch_fast(pieces, add_special_tokens=False)]
-            self._append(keys, np.array([i for x in got for i in x], np.uint32), np.array([len(x) for x in got], np.int64))
-
-    def _ended(self, pieces: list[str]) -> None:
-        """Encode new pieces that are a letter's piece and one full stop or comma, which is a token of its own."""
-        self._learn_all(list({x[:-1] for x in pieces if x[:-1] not in self.places}))
-        for mark in {x[-1] for x in pieces}:
-            if "\0" + mark not in self.places:
-                self._alone(["\0" + mark], [mark])
-        base = np.array([self.places[x[:-1]] for x in pieces], np.int64)
-        mark = np.array([self.flat[self.start[self.places["\0" + x[-1]]]] for x in pieces], np.uint32)
-        ids, lens = self._gather(base)
-        self._append(pieces, np.insert(ids, np.cumsum(lens), mark), lens + 1)
-
-    def _learn_all(self, new: list[str]) -> None:
+        self.held += self._bytes(pieces, len(ids))
+        self.added.append((table, pieces))
+
+    @staticmethod
+    def _bytes(pieces: list[str], ids: int) -> int:
+        return sum(map(len, pieces)) + 150 * len(pieces) + 4 * ids
+
+    def _forget(self, size: int) -> None:
+        """What was added since the tables had ``size`` pieces."""
+        for table, pieces in self.added:
+            for x in pieces:
+                del table[x]
+            self.held -= self._bytes(pieces, 0)
+        self.held -= 4 * int(self.start[-1] - self.start[size])
+        self.flat, self.start = self.flat[: self.start[size]].copy(), self.start[: size + 1].copy()
+
+    def _joined(self, pieces: list[str]) -> None:
+        """Encode new inner pieces, many in one call: joined by spaces, which is how each follows another in a text.
+
+        Every token stands for so many bytes, so running sums say which piece each belongs to.
+        """
+        room, gap = 20_000, 0 if self.drops_space else 1
+        for a in range(0, len(pieces), room):
+            part = pieces[a : a + room]
+            ids = np.array(self.tok.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.cumsum(pc.binary_length(pa.array(part, pa.string())).to_numpy() + gap)
+            stop = np.cumsum(self.token_bytes[ids])
+            if len(ids) and stop[-1] != ends[-1]:  # a normalizer has changed the bytes
+                self._alone(self.inner, part, [" " + x for x in part])
+            else:
+                self._append(self.inner, part, ids, np.bincount(np.searchsorted(ends, stop - self.token_bytes[ids], "right"), minlength=len(part)))
+
+    def _alone(self, table: dict[str, int], pieces: list[str], said: list[str]) -> None:
+        """Encode new pieces each by itself, as the text ``said``."""
+        if pieces:
+            got = [x.ids for x in self.tok.encode_batch_fast(said, add_special_tokens=False)]
+            self._append(table, pieces, np.array([i for x in got for i in x], np.uint32), np.array([len(x) for x in got], np.int64))
+
+    def _inner(self, new: list[str]) -> None:
         if new:
             blur = pc.match_substring_regex(pa.array(new, pa.string()), _BLUR).to_pylist()
-            self._learn([x for x, o in zip(new, blur, strict=True) if not o])
+            if self.drops_space:  # what the normalizer changes has other bytes
+                blur = [o or not x.isascii() and x != normalize("NFC", x.lower()) for x, o in zip(new, blur, strict=True)]
+            self._joined([x for x, o in zip(new, blur, strict=True) if not o])
             odd = [x for x, o in zip(new, blur, strict=True) if o]
-            self._alone(odd, ["" if self.drops_space and not x else " " + x for x in odd])
+            self._alone(self.inner, odd, ["" if self.drops_space and not x else " " + x for x in odd])
+
+    def _ended(self, pieces: list[str]) -> None:
+        """Encode new inner pieces that are a letter's piece and one full stop or comma, which is a token of its own."""
+        self._inner(list({x[:-1] for x in pieces if x[:-1] not in self.inner}))
+        new = [m for m in {x[-1] for x in pieces} if m not in self.marks]
+        self._alone(self.marks, new, new)
+        ids, lens = self._gather(np.array([self.inner[x[:-1]] for x in pieces], np.int64))
+        mark = np.array([self.flat[self.start[self.marks[x[-1]]]] for x in pieces], np.uint32)
+        self._append(self.inner, pieces, np.insert(ids, np.cumsum(lens), mark), lens + 1)
 
     def _gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of pieces one after another, and how many each has."""
@@ -105,14 +136,26 @@ class Encoder:
         texts = pc.fill_null(texts, "")
         out, ends = [], [np.zeros(1, np.int64)]
         lengths = np.maximum(pc.binary_length(texts).to_numpy(zero_copy_only=False), 1)
-        for a, b in slices(lengths, self.batch_chars):
+        for a, b in slices(lengths, self.batch_bytes):
             ids, n = self._some(texts.slice(a, b - a))
             out.append(ids)
             ends.append(n)
         return (np.concatenate(out) if out else np.zeros(0, np.uint32)), np.cumsum(np.concatenate(ends))
 
     def _some(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.places) > self.keep:
+        whole = np.zeros(len(texts), bool)
+        for s in self.special:
+            whole |= pc.match_substring(texts, s, ignore_case=True).to_numpy(zero_copy_only=False)
+        if not whole.any():
+            return self._pieces(texts)
+        ids, lens = self._pieces(pc.if_else(pa.array(whole), "", texts))
+        own = np.split(ids, np.cumsum(lens)[:-1])
+        for k in np.flatnonzero(whole).tolist():
+            own[k] = np.array(self.tok.encode(texts[k].as_py(), add_special_tokens=False).ids, np.uint32)
+        return np.concatenate(own), np.array([len(x) for x in own], np.int64)
+
+    def _pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if self.held > self.keep_bytes:
             self._reset()
         if self.drops_space:
             texts = pc.ascii_lower(pc.replace_substring_regex(texts, "[\n\t\r]", " "))
@@ -125,34 +168,62 @@ class Encoder:
             cut = pc.split_pattern(texts, " ")
         flat = cut.flatten()
         first = np.asarray(cut.offsets)[:-1] - cut.offsets[0].as_py()
-        words = flat.dictionary_encode()
-        names = words.dictionary.to_pylist()
-        known = np.array([self.places.get(x, -1) for x in names], np.int64)
-        codes = words.indices.to_numpy(zero_copy_only=False)
-        if (known < 0).any():
-            new = [names[i] for i in np.flatnonzero(known < 0).tolist()]
+        follows = np.ones(len(flat), bool)
+        if not self.drops_space:
+            follows[first] = False  # the first piece of a text has no space before it
+        at = np.zeros(len(flat), np.int64)
+        inner = flat.filter(pa.array(follows)).dictionary_encode()
+        heads = flat.take(pa.array(first if not self.drops_space else first[:0])).dictionary_encode()
+        pieces = [_Pieces(self.inner, inner), _Pieces(self.heads, heads)]
+        self._learn(*[p.new(often=True) for p in pieces])
+        size, self.added = len(self.start) - 1, []
+        self._learn(*[p.new(often=False) for p in pieces])
+        at[follows] = pieces[0].places()
+        if not self.drops_space:
+            at[first] = pieces[1].places()
+        ids, lens = self._gather(at)
+        self._forget(size)
+        return ids, (np.add.reduceat(lens, first) if len(first) else np.zeros(0, np.int64))
+
+    def _learn(self, inner: list[str], heads: list[str]) -> None:
+        self._alone(self.heads, heads, heads)
+        new = [x for x in inner if x not in self.inner]
+        if new:
             ended = pc.match_substring_regex(pa.array(new, pa.string()), "[A-Za-z][.,]$").to_pylist()
-            self._learn_all([x for x, e in zip(new, ended, strict=True) if not e])
+            self._inner([x for x, e in zip(new, ended, strict=True) if not e])
             if any(ended):
                 self._ended([x for x, e in zip(new, ended, strict=True) if e])
-            for i in np.flatnonzero(known < 0).tolist():
-                known[i] = self.places[names[i]]
-        at = known[codes]
-        if not self.drops_space and len(first):  # the first piece of a text has no space before it
-            heads = [names[i] for i in codes[first].tolist()]
-            new = [x for x in dict.fromkeys(heads) if " " + x not in self.places]
-            self._alone([" " + x for x in new], new)
-            at[first] = [self.places[" " + x] for x in heads]
-        ids, lens = self._gather(at)
-        return ids, (np.add.reduceat(lens, first) if len(first) else np.zeros(0, np.int64))
+
+
+class _Pieces:
+    """The pieces of a batch and their places in a table."""
+
+    def __init__(self, table: dict[str, int], pieces: pa.DictionaryArray):
+        self.table, self.names = table, pieces.dictionary.to_pylist()
+        self.codes = pieces.indices.to_numpy(zero_copy_only=False)
+        self.at = np.fromiter(map(table.get, self.names, repeat(-1)), np.int64, len(self.names))
+        self.unknown = np.flatnonzero(self.at < 0)
+        self.often = np.bincount(self.codes, minlength=len(self.names))[self.unknown] > 1
+
+    def new(self, *, often: bool) -> list[str]:
+        return [self.names[i] for i in self.unknown[self.often == often].tolist()]
+
+    def places(self) -> np.ndarray:
+        self.at[self.unknown] = [self.table[self.names[i]] for i in self.unknown.tolist()]
+        return self.at[self.codes]
 
 
 _held: dict[tuple, Encoder] = {}
 
 
 def encoder(path: str, *, drops_space: bool) -> Encoder:
-    """One for each worker process, so that later tasks find the pieces of earlier ones."""
+    """One for each worker process, so that later tasks find the pieces of earlier ones; see ``rest``."""
     key = (path, drops_space)
     if key not in _held:
         _held[key] = Encoder(path, drops_space=drops_space)
     return _held[key]
+
+
+def rest() -> None:
+    """At the end of a task: give memory that the arrays no longer need back. The bounded table of pieces stays."""
+    pa.default_memory_pool().release_unused()
