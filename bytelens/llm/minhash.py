@@ -5,10 +5,12 @@ the keys of bands; documents that share a key are candidates. Of the minima only
 packed in planes of words, and bit counts give a similarity, corrected for chance, that drops candidates far
 from the threshold. What is left is decided on the full shingle sets.
 
-Equal sets are one class from the start. In a band's bucket each class is compared with the smallest id first, so
-a bucket of any size costs as many comparisons as it has members; then only members that are still in
-different components are compared with each other. No link between different sets is lost to that: two
-members already in one component need no link.
+Equal sets are one class from the start. In a band's bucket each class is compared with the bucket's lead first, so
+a bucket of any size costs as many comparisons as it has members. What shares any bucket with a lead is its star. In
+stars that still hold several components, blocks of members meet blocks: first their packed signatures, which
+tell who has a candidate in another component at all, then the full sets of those who have. Blocks are compared as
+matrices inside a task and only links that join components come out, so no table grows with the pairs of a star. No
+link between different sets is lost to that: two members already in one component need no link.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bytelens.llm.blocks import apart, block_pairs, confirm, sized, split_stars, stars
 from bytelens.llm.graph import connected_components
 from bytelens.llm.scratch import Scratch
 from bytelens.session import ship
@@ -116,43 +119,101 @@ def _sets(size: int):
     return sets
 
 
-def _compare(percent: int):
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, lead = None, np.zeros(0, np.uint64)
-        for batch in batches:
-            a, b = [], []
-            for grp, salt, is_lead, node, raw in zip(*(batch.column(c).to_pylist() for c in ("grp", "salt", "lead", "node", "shingles")), strict=True):
-                s = np.frombuffer(raw, np.uint64)
-                if is_lead:
-                    key, lead = (grp, salt), s
-                elif key == (grp, salt):
-                    at = np.searchsorted(lead, s)
-                    both = int((lead[np.minimum(at, len(lead) - 1)] == s).sum())
-                    if 100 * both >= percent * (len(lead) + len(s) - both):
-                        a.append(grp), b.append(node)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+def _alike(percent: int):
+    def alike(a: bytes, b: bytes) -> bool:
+        x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+        both = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
+        return 100 * both >= percent * (len(x) + len(y) - both)
+
+    return alike
+
+
+def _candidates(n: int, bits: int, cut: float, percent: int):
+    """Members of either block whose signature is near one of another component in the other block."""
+
+    def kernel(a: pa.Table, b: pa.Table) -> pa.Table:
+        words_, chance = -(-n // 64), 2.0**-bits
+        own = [np.asarray(t["planes"].combine_chunks().flatten()).view(np.uint64).reshape(t.num_rows, bits, words_) for t in (a, b)]
+        size = [t["n_shingles"].to_numpy() for t in (a, b)]
+        comp = [t["comp"].to_numpy() for t in (a, b)]
+        hit = [np.zeros(t.num_rows, bool) for t in (a, b)]
+        for i in range(0, a.num_rows, 256):
+            at = slice(i, i + 256)
+            differ = np.zeros((len(own[0][at]), b.num_rows), np.int32)
+            for w in range(words_):
+                x = own[0][at, None, 0, w] ^ own[1][None, :, 0, w]
+                for j in range(1, bits):
+                    x |= own[0][at, None, j, w] ^ own[1][None, :, j, w]
+                differ += np.bitwise_count(x)
+            small, large = np.minimum(size[0][at, None], size[1]), np.maximum(size[0][at, None], size[1])
+            near = (((1 - differ / n) - chance) / (1 - chance) >= cut) & (100 * small >= percent * large) & (comp[0][at, None] != comp[1])
+            hit[0][at] = near.any(1)
+            hit[1] |= near.any(0)
+        return pa.concat_tables([t.select(["grp", "node"]).filter(pa.array(h)) for t, h in zip((a, b), hit, strict=True)])
+
+    return kernel
+
+
+def _common(a: list[np.ndarray], b: list[np.ndarray], chunk: int = 4096) -> np.ndarray:
+    """How many elements each set of a has in common with each of b, as products of 0/1 matrices."""
+    flat = [np.concatenate(x) for x in (a, b)]
+    row = [np.repeat(np.arange(len(x)), [len(y) for y in x]) for x in (a, b)]
+    both = np.intersect1d(*flat)
+    out = np.zeros((len(a), len(b)))
+    if len(both):
+        at = [np.searchsorted(both, x) for x in flat]
+        known = [both[np.minimum(p, len(both) - 1)] == x for p, x in zip(at, flat, strict=True)]
+        entries = [(r[k], p[k]) for r, p, k in zip(row, at, known, strict=True)]
+        entries = [(r[o], p[o]) for r, p in entries for o in [np.argsort(p, kind="stable")]]
+        for c in range(0, len(both), chunk):
+            dense = []
+            for (r, p), x in zip(entries, (a, b), strict=True):
+                lo, hi = np.searchsorted(p, (c, c + chunk))
+                m = np.zeros((len(x), min(chunk, len(both) - c)), np.float32)
+                m[r[lo:hi], p[lo:hi] - c] = 1
+                dense.append(m)
+            out += dense[0] @ dense[1].T
+    return out
 
-    return compare
 
+def _links(percent: int):
+    """Links between blocks that join components: one at most for each pair of components."""
 
-def full_sets(docs: DataFrame, names: DataFrame, *, size: int, id_col: str, text_col: str) -> DataFrame:
-    """(node, shingles) of the documents in names (node, set_hash), from their whole texts."""
-    text = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("_text"))
-    return text.join(names.hint("shuffle_hash"), "node").mapInArrow(_sets(size), "node long, shingles binary").dropDuplicates(["node"])
+    def kernel(a: pa.Table, b: pa.Table) -> pa.Table:
+        sets = [[np.frombuffer(x, np.uint64) for x in t["shingles"].to_pylist()] for t in (a, b)]
+        comp = [t["comp"].to_numpy() for t in (a, b)]
+        node = [t["node"].to_numpy() for t in (a, b)]
+        size = [np.array([len(x) for x in s], float) for s in sets]
+        both = _common(*sets)
+        i, j = np.nonzero((100 * both >= percent * (size[0][:, None] + size[1] - both)) & (comp[0][:, None] != comp[1]))
+        pair = np.stack([np.minimum(comp[0][i], comp[1][j]), np.maximum(comp[0][i], comp[1][j])], 1)
+        _, first = np.unique(pair, axis=0, return_index=True)
+        root: dict[int, int] = {}
 
+        def find(x: int) -> int:
+            while root.setdefault(x, x) != x:
+                root[x] = x = root[root[x]]
+            return x
 
-def confirm(pairs: DataFrame, sets: DataFrame, percent: int, share: int = 512) -> DataFrame:
-    """The pairs (a, b) whose full sets meet the threshold.
+        out = []
+        for k in first.tolist():
+            x, y = find(int(pair[k, 0])), find(int(pair[k, 1]))
+            if x != y:
+                root[y] = x
+                out.append(k)
+        return pa.table({"a": pa.array(node[0][i[out]], pa.int64()), "b": pa.array(node[1][j[out]], pa.int64())})
+
+    return kernel
 
-    A set that many pairs share as ``a`` goes to a task for each ``share`` of them; the others stream past it, one
-    at a time, so neither memory nor a task grows with a group.
-    """
-    n = pairs.groupBy("a").agg(F.ceil(F.count("*") / share).cast("int").alias("n"))
-    members = pairs.join(n, "a").join(sets.withColumnRenamed("node", "b"), "b")
-    members = members.select(F.col("a").alias("grp"), F.pmod(F.xxhash64("b"), F.col("n").cast("long")).cast("int").alias("salt"), F.lit(False).alias("lead"), F.col("b").alias("node"), "shingles")
-    leads = n.join(sets.withColumnRenamed("node", "a"), "a").select(F.col("a").alias("grp"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("salt"), F.lit(True).alias("lead"), F.col("a").alias("node"), "shingles")
-    there = members.union(leads).repartition("grp", "salt").sortWithinPartitions("grp", "salt", F.col("lead").desc())
-    return there.mapInArrow(_compare(percent), "a long, b long")
+
+#: A block of signatures has about so many rows; one of full sets so many bytes.
+BLOCK_ROWS, SET_BYTES = 2048, 8_000_000
+
+
+def full_sets(docs: DataFrame, names: DataFrame, *, size: int, id_col: str, text_col: str) -> DataFrame:
+    """(node, shingles) of the documents in names (node, set_hash), from their whole texts."""
+    text = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("_text"))
+    return text.join(sized(names), "node").mapInArrow(_sets(size), "node long, shingles binary").dropDuplicates(["node"])
 
 
 def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, bands: int = 64, rows: int = 8, bits: int = 2, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
@@ -162,7 +223,8 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, bands:
     have at least ``percent`` hundredths of their union in common; fewer words are one shingle, no words none
     and no link. A pair at the threshold is missed by all bands with a probability of (1 - t^rows)^bands, 8e-6
     by default. Rows that share an id are one document for reachability; a null id links with nothing: its
-    component is null and it is kept. Null text is empty; extra columns are ignored; no rows give none.
+    component is null and it is kept. Null text is empty; very long texts count whole; extra columns are ignored, whatever
+    their names; no rows give none.
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark)
@@ -173,16 +235,7 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, bands:
     sig = signed.join(own, (F.col("doc_id") == F.col("node")) & (F.col("set_hash") == F.col("_h"))).dropDuplicates(["set_hash"])
     sig = scratch.save(sig.select("node", "n_shingles", "set_hash", "keys", "planes"))
 
-    # The lead of a bucket is its member with most company in all of its buckets: for a group of copies that is the
-    # same one in nearly all bands, so a member meets a few leads, however many bands it shares.
-    keyed = sig.select("node", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-    shared = scratch.save(keyed.join(shared, "key"))
-    company = shared.groupBy("node").agg(F.sum("c").alias("s"))
-    lead = shared.join(company, "node").groupBy("key").agg(F.max(F.struct("s", (-F.col("node")).alias("m"))).alias("x"))
-    members = scratch.save(shared.drop("c").join(lead.select("key", (-F.col("x.m")).alias("lead")), "key"))
-    scratch.drop(shared)
-    scratch.release()
+    met = stars(sig.select("node", F.explode("keys").alias("key")), scratch)
     # Six deviations of the estimate at the threshold, of n bits that agree with a chance of about 0.85.
     sigma = 6 * math.sqrt(0.16 / n) / (1 - 2.0**-bits)
     cut = percent / 100 - sigma
@@ -196,10 +249,9 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, bands:
         return j.select("a", "b", "est", ((F.col("est") >= cut) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))).alias("near"))
 
     names = sig.select("node", "set_hash")
-    stars = scratch.save(estimated(members.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()))
-    near = scratch.save(stars.where("near").select("a", "b", "est"))
+    near = scratch.save(estimated(met).where("near").select("a", "b", "est"))
     nodes = near.select(F.col("a").alias("node")).union(near.select(F.col("b").alias("node"))).distinct()
-    sets = scratch.save(full_sets(docs, names.join(nodes, "node"), size=size, id_col=id_col, text_col=text_col))
+    sets = scratch.save(full_sets(docs, scratch.save(names.join(nodes, "node")), size=size, id_col=id_col, text_col=text_col))
     scratch.release()
 
     label = None  # (node, component)
@@ -208,47 +260,38 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, bands:
     def merged(pairs: DataFrame, sets: DataFrame) -> None:
         """Confirm pairs and bring the components up to date."""
         nonlocal label
-        new = scratch.save(confirm(pairs, sets, percent))
+        new = scratch.save(confirm(pairs, sets.withColumnRenamed("shingles", "held"), _alike(percent)))
         if label is None or new.take(1):
             edges = new if label is None else new.union(label)
             label = scratch.save(connected_components(edges, scratch))
         scratch.release()
 
-    def apart(pairs: DataFrame) -> DataFrame:
-        """Pairs of nodes that are not yet in one component, with both components."""
-        ca = label.select(F.col("node").alias("a"), F.col("component").alias("ca"))
-        cb = label.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-        j = pairs.join(ca, "a", "left").join(cb, "b", "left")
-        return j.withColumn("ca", F.coalesce("ca", "a")).withColumn("cb", F.coalesce("cb", "b")).where("ca <> cb")
-
     if near.take(1):
         # Each member with the lead that it is most like; then for two components their likest pair; then what is left.
         best = near.groupBy("b").agg(F.max(F.struct("est", (-F.col("a")).alias("m"))).alias("x"))
         merged(best.select((-F.col("x.m")).alias("a"), "b"), sets)
-        two = apart(near).groupBy(F.least("ca", "cb").alias("x"), F.greatest("ca", "cb").alias("y")).agg(F.max(F.struct("est", "a", "b")).alias("p"))
+        two = apart(near, label).groupBy(F.least("ca", "cb").alias("x"), F.greatest("ca", "cb").alias("y")).agg(F.max(F.struct("est", "a", "b")).alias("p"))
         two = scratch.save(two.select("p.a", "p.b"))
         if two.take(1):
             merged(two, sets)
-            merged(scratch.save(apart(near).select("a", "b")), sets)
+            merged(scratch.save(apart(near, label).select("a", "b")), sets)
     else:
         label = spark.createDataFrame([], label_schema)
 
-    # Members of one bucket that are still apart: those of its largest component against the rest, and the rest
-    # against each other. Sizes, and how alike each is to the bucket's lead, tell most of them apart.
-    m = members.where("node <> lead").join(label, "node", "left").join(stars.select(F.col("a").alias("lead"), F.col("b").alias("node"), "est"), ["lead", "node"])
-    m = m.join(sig.select("node", "n_shingles"), "node").select("key", "node", F.col("n_shingles").alias("n"), F.coalesce("component", "node").alias("comp"), "est")
-    per = m.groupBy("key", "comp").count().groupBy("key").agg(F.max(F.struct("count", "comp")).alias("top"), F.count("*").alias("c")).where("c > 1")
-    m = scratch.save(m.join(per.select("key", F.col("top.comp").alias("top")), "key"))
-    one = lambda d, s: d.select("key", *[F.col(c).alias(c + s) for c in ("node", "n", "comp", "est")])
-    rest = m.where("comp <> top")
-    close = (F.abs(F.col("est1") - F.col("est2")) <= 1 - percent / 100 + 2 * sigma) & (100 * F.least("n1", "n2") >= percent * F.greatest("n1", "n2"))
-    big = one(m.where("comp = top"), "1").join(one(rest, "2"), "key").where(close)
-    small = one(rest, "1").join(one(rest, "2"), "key").where(close & (F.col("comp1") < F.col("comp2")))
-    pairs = big.union(small).select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")).distinct()
-    left = scratch.save(estimated(pairs).where("near").select("a", "b"))
-    if left.take(1):
-        nodes = left.select(F.col("a").alias("node")).union(left.select(F.col("b").alias("node"))).distinct()
-        merged(left, full_sets(docs, names.join(nodes, "node"), size=size, id_col=id_col, text_col=text_col))
+    # Members of one star that are still apart: signatures first, then the full sets of whoever has a candidate.
+    star = scratch.save(split_stars(met, label))
+    if star.take(1):
+        signed_star = star.join(sig.select("node", "n_shingles", "planes"), "node").withColumn("weight", F.lit(1))
+        found = block_pairs(signed_star, _candidates(n, bits, cut, percent), ("grp", "node"), block=BLOCK_ROWS)
+        star = scratch.save(star.join(found.distinct(), ["grp", "node"]))
+        scratch.release()
+        nodes = star.select("node").distinct()
+        sets = full_sets(docs, scratch.save(names.join(nodes, "node")), size=size, id_col=id_col, text_col=text_col)
+        whole = star.join(sets, "node").withColumn("weight", F.length("shingles") + SET_BYTES // BLOCK_ROWS)
+        links = scratch.save(block_pairs(whole, _links(percent), ("a", "b"), block=SET_BYTES))
+        if links.take(1):
+            label = scratch.save(connected_components(links.union(label), scratch))
+        scratch.release()
 
     roots = classes.join(label, "node", "left").select("set_hash", F.coalesce("component", "node").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "set_hash").join(roots, "set_hash", "left")
