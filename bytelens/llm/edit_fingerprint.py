@@ -20,9 +20,12 @@ from operator import getitem, itemgetter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bytelens.llm.blocks import apart, block_pairs, confirm, sized, split_stars, stars
+from bytelens.llm.graph import connected_components
 from bytelens.llm.scratch import Scratch
 from bytelens.session import ship
 
@@ -122,49 +125,170 @@ def fingerprints(docs: DataFrame, *, text_col: str = "text", out: str = "fingerp
 
 
 def likeness_of(a: Column, b: Column) -> Column:
-    """As ``likeness``, of two columns of hex fingerprints."""
-    differ = None
-    for i in range(0, SLOTS // 4, 8):
-        word = lambda c, i=i: F.conv(F.substring(c, i + 1, 8), 16, 10).cast("long")
-        x = F.bit_count(word(a).bitwiseXOR(word(b)))
-        differ = x if differ is None else differ + x
+    """As ``likeness``, of two columns of fingerprints as arrays of longs."""
+    differ = sum((F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(1, SLOTS // 64)), F.bit_count(a[0].bitwiseXOR(b[0])))
     return F.greatest(F.lit(0.0), 1 - 2 * differ / F.lit(float(SLOTS)))
 
 
-def bands(fingerprint_col: Column, count: int, bits: int) -> Column:
-    """An array of keys, each of ``bits`` sampled bits; texts that share one are candidates."""
+def band_shape(n: int, least: float, miss: float = 1e-3) -> tuple[int, int]:
+    """(bands, bits): so many bits that unrelated texts of a corpus of n seldom share a band by chance, and so many bands that
+    two texts of the least likeness share none with a chance of ``miss`` at most."""
+    bits = min(48, max(12, math.ceil(math.log2(max(n, 2)))))
+    return math.ceil(math.log(miss) / math.log(1 - ((1 + least) / 2) ** bits)), bits
+
+
+def bands(words: Column, count: int, bits: int) -> Column:
+    """An array of keys, each of ``bits`` sampled bits of a fingerprint's longs; texts that share one are candidates."""
     order = np.argsort(_mix(np.arange(count * SLOTS, dtype=np.uint64) + np.uint64(9)).reshape(count, SLOTS), axis=1)[:, :bits]
-    words_ = F.transform(F.sequence(F.lit(0), F.lit(SLOTS // 32 - 1)), lambda i: F.lpad(F.conv(F.substring(fingerprint_col, i * 8 + 1, F.lit(8)), 16, 2), 32, "0"))
-    text = F.array_join(words_, "")
-    places = F.lit([[int(p) + 1 for p in row] for row in order])
-    return F.transform(places, lambda row, k: F.concat(k.cast("string"), F.lit(":"), F.array_join(F.transform(row, lambda p: F.substring(text, p, F.lit(1))), "")))
+    keys = []
+    for k, places in enumerate(order.tolist()):
+        mask = [0] * (SLOTS // 64)
+        for p in places:
+            mask[p // 64] |= 1 << p % 64
+        keys.append(F.xxhash64(F.lit(k), *[words[i].bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m).cast("long")) for i, m in enumerate(mask) if m]))
+    return F.array(*keys)
+
+
+def edit_distance(a: str, b: str) -> int:
+    """Insertions, deletions and substitutions of characters, by bit-parallel columns in whole numbers."""
+    lo, hi = 0, min(len(a), len(b))
+    while lo < hi:  # the common beginning
+        mid = (lo + hi + 1) // 2
+        lo, hi = (mid, hi) if a[lo:mid] == b[lo:mid] else (lo, mid - 1)
+    a, b = a[lo:], b[lo:]
+    if len(a) < len(b):
+        a, b = b, a
+    m = len(b)
+    if not m:
+        return len(a)
+    at: dict[str, int] = {}
+    for i, c in enumerate(b):
+        at[c] = at.get(c, 0) | 1 << i
+    full, top, up, down, score = (1 << m) - 1, 1 << m - 1, (1 << m) - 1, 0, m
+    for c in a:
+        same = at.get(c, 0)
+        flat = same | down
+        run = (((same & up) + up) ^ up) | same
+        more = down | (full & ~(run | up))
+        less = up & run
+        score += 1 if more & top else -1 if less & top else 0
+        more = (more << 1 | 1) & full
+        up = (less << 1 & full) | (full & ~(flat | more))
+        down = more & flat
+    return score
+
+
+def alike(a: str, b: str, percent: int) -> bool:
+    """Whether at most 100 - percent hundredths of the longer text have to be edited."""
+    longer = max(len(a), len(b))
+    return 100 * abs(len(a) - len(b)) <= (100 - percent) * longer and 100 * edit_distance(a, b) <= (100 - percent) * longer
+
+
+def _near(least: float):
+    """Members of either block whose fingerprint is near one of another component in the other block."""
+
+    def kernel(a: pa.Table, b: pa.Table) -> pa.Table:
+        near = _likeness(a, b) >= least
+        near &= a["comp"].to_numpy()[:, None] != b["comp"].to_numpy()
+        return pa.concat_tables([t.select(["grp", "node"]).filter(pa.array(near.any(k))) for t, k in ((a, 1), (b, 0))])
+
+    return kernel
+
+
+def _likeness(a: pa.Table, b: pa.Table) -> np.ndarray:
+    x, y = (np.asarray(t["words"].combine_chunks().flatten()).view(np.uint64).reshape(t.num_rows, -1) for t in (a, b))
+    differ = np.zeros((len(x), len(y)), np.int32)
+    for i in range(x.shape[1]):
+        differ += np.bitwise_count(x[:, None, i] ^ y[None, :, i])
+    return 1 - 2 * differ / SLOTS
+
+
+def _text_links(least: float, percent: int):
+    """Links between blocks that join components: the likest pairs first, each verified on both texts."""
+
+    def kernel(a: pa.Table, b: pa.Table) -> pa.Table:
+        like = _likeness(a, b)
+        ca, cb = a["comp"].to_pylist(), b["comp"].to_pylist()
+        i, j = np.nonzero(like >= least)
+        order = np.argsort(-like[i, j], kind="stable")
+        na, nb, ta, tb = (t[c].to_pylist() for c, t in (("node", a), ("node", b), ("text", a), ("text", b)))
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while root.setdefault(x, x) != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        out = []
+        for p, q in zip(i[order].tolist(), j[order].tolist(), strict=True):
+            x, y = find(ca[p]), find(cb[q])
+            if x != y and alike(ta[p], tb[q], percent):
+                root[y] = x
+                out.append((na[p], nb[q]))
+        return pa.table({c: pa.array([r[k] for r in out], pa.int64()) for k, c in enumerate(("a", "b"))})
+
+    return kernel
+
 
+#: A block of fingerprints has about so many rows; one of texts so many bytes.
+BLOCK_ROWS, TEXT_BYTES = 2048, 4_000_000
 
-def similar_pairs(docs: DataFrame, *, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text", count: int = 32, bits: int = 12, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
-    """Texts alike by fingerprint: (classes, pairs).
 
-    classes: (id, class): rows whose fingerprints are equal share the class, its smallest id; null ids have none.
-    pairs: (a, b, likeness) of classes with a < b that share a band of sampled bits and have at least the likeness.
-    In a band's bucket every class meets the bucket's smallest one, then the smallest one unlike that, and so on:
-    each round compares what is not yet within reach of an earlier lead, so a bucket of copies costs its size.
+def similar_texts(docs: DataFrame, printed: DataFrame, *, least: float = 0.8, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
+    """(text_hash, component): groups of texts that edits of at most 100 - ``percent`` hundredths connect.
+
+    printed: (id, text_hash, words), a row for each row of docs. Equal texts are one node, named by the smallest id; rows
+    without an id are in none. Texts that share a band of sampled bits (see ``band_shape``) are candidates; those whose
+    fingerprints have the ``least`` likeness are verified by the edit distance of the whole texts. A band's bucket meets
+    its lead first; then what is still apart meets in blocks, whose tasks send out only links that join components.
     """
     scratch = scratch or Scratch(docs.sparkSession)
-    printed = scratch.save(fingerprints(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_t")), text_col="_t").drop("_t"))
-    own = printed.where("id IS NOT NULL").groupBy("fingerprint").agg(F.min("id").alias("class"))
-    classes = scratch.save(printed.join(own, "fingerprint", "left"))
-    reps = scratch.save(own)
-    keyed = scratch.save(reps.select("class", "fingerprint", F.explode(bands(F.col("fingerprint"), count, bits)).alias("key")))
-    found, left = None, keyed
-    while True:
-        lead = left.groupBy("key").agg(F.min(F.struct("class", "fingerprint")).alias("l"), F.count("*").alias("c")).where("c > 1")
-        met = left.join(lead, "key").where("class <> l.class").withColumn("likeness", likeness_of(F.col("fingerprint"), F.col("l.fingerprint")))
-        met = scratch.save(met.select("key", "class", "fingerprint", F.col("l.class").alias("lead"), "likeness"))
-        near = met.where(F.col("likeness") >= least).select(F.col("lead").alias("a"), F.col("class").alias("b"), "likeness")
-        found = near if found is None else found.union(near)
-        left = met.where(F.col("likeness") < least).select("key", "class", "fingerprint")
-        if not left.take(1):
-            break
-    return classes.select("id", "class"), found.distinct()
+    nodes = scratch.save(printed.where("id IS NOT NULL").groupBy("text_hash").agg(F.min("id").alias("node"), F.first("words").alias("words")))
+    # Two texts of one id are told apart by their hashes: the node that stands for a text is a hash of both.
+    nodes = scratch.save(nodes.select("text_hash", F.col("node").alias("id"), F.xxhash64("text_hash").alias("node"), "words"))
+    count, bits = band_shape(nodes.count(), least)
+    met = stars(nodes.select("node", F.explode(bands(F.col("words"), count, bits)).alias("key")), scratch)
+    side = lambda c: nodes.select(F.col("node").alias(c), F.col("words").alias("w" + c))
+    like = likeness_of(F.col("wa"), F.col("wb"))
+    near = scratch.save(met.join(side("a"), "a").join(side("b"), "b").select("a", "b", like.alias("like")).where(F.col("like") >= least))
+    label = docs.sparkSession.createDataFrame([], "node long, component long")
+
+    def texts(wanted: DataFrame) -> DataFrame:
+        """(node, text) of nodes, from docs."""
+        own = docs.select(F.xxhash64(_text_hash(F.col(text_col))).alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+        return own.join(sized(wanted), "node", "left_semi").dropDuplicates(["node"])
+
+    def merged(pairs: DataFrame, text: DataFrame) -> DataFrame:
+        new = scratch.save(confirm(pairs, text.withColumnRenamed("text", "held"), lambda a, b: alike(a, b, percent)))
+        return scratch.save(connected_components(new.union(label), scratch)) if new.take(1) else label
+
+    if near.take(1):
+        ends = near.select(F.col("a").alias("node")).union(near.select(F.col("b").alias("node"))).distinct()
+        text = scratch.save(texts(scratch.save(ends)))
+        best = near.groupBy("b").agg(F.max(F.struct("like", "a")).alias("x")).select("x.a", "b")
+        label = merged(best, text)
+        left = scratch.save(apart(near, label).select("a", "b"))
+        if left.take(1):
+            label = merged(left, text)
+        scratch.drop(text)
+        scratch.release()
+    star = scratch.save(split_stars(met, label).join(nodes.select("node", "words"), "node"))
+    if star.take(1):
+        found = block_pairs(star.withColumn("weight", F.lit(1)), _near(least), ("grp", "node"), block=BLOCK_ROWS)
+        star = scratch.save(star.join(found.distinct(), ["grp", "node"]))
+        if star.take(1):
+            whole = star.join(texts(scratch.save(star.select("node").distinct())), "node").withColumn("weight", F.octet_length("text") + TEXT_BYTES // BLOCK_ROWS)
+            links = scratch.save(block_pairs(whole, _text_links(least, percent), ("a", "b"), block=TEXT_BYTES))
+            if links.take(1):
+                label = scratch.save(connected_components(links.union(label), scratch))
+        scratch.release()
+    named = nodes.join(label, "node", "left").select("text_hash", "id", F.coalesce("component", "node").alias("group"))
+    smallest = named.groupBy("group").agg(F.min("id").alias("component"))
+    return named.join(smallest, "group").select("text_hash", "component")
+
+
+def _text_hash(text: Column) -> Column:
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256))
 
 
 def _follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -178,9 +302,10 @@ def _follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 n = len(held[2])
                 edited = held[2][: n - n // 3] + text[: n // 3]
                 p = fingerprint(edited)
-                out.append((held[1], n, hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), held[3].hex(), p.hex(), likeness(held[3], p), likeness(held[3], now[3])))
+                text_hash = hashlib.sha256(held[2].encode("utf-8", "surrogatepass")).digest()
+                out.append((held[1], n, hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), held[3].hex(), p.hex(), likeness(held[3], p), likeness(held[3], now[3]), text_hash))
             held = now
-        made = pd.DataFrame(out, columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+        made = pd.DataFrame(out, columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "text_hash"])
         made["doc_id"] = made["doc_id"].astype("Int64")
         yield made
 
@@ -198,7 +323,7 @@ def edited_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
     ids = docs.select(F.col(id_col).cast("long").alias("_id"))
     n = ids.count()
     parts = min(max(1, math.ceil(n / part_rows)), 16_384)  # beyond that parts grow; rows stream through them one by one
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, text_hash binary"
     known = ids.where("_id IS NOT NULL")
     cuts = sorted({int(c) for c in known.approxQuantile("_id", [i / parts for i in range(1, parts)], 0.2 / parts)}) if parts > 1 else []
     cut_table = F.lit(cuts).cast("array<long>") if cuts else F.array().cast("array<long>")
@@ -219,3 +344,19 @@ def edited_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
     all_ = rows.select("_part", "_id", "_text", F.lit(False).alias("_guest")).union(guests.select(F.col("_to").alias("_part"), "_id", "_text", F.lit(True)))
     dealt = all_.repartitionById(len(cuts) + 2, "_part").sortWithinPartitions("_part", "_guest", F.col("_id").desc_nulls_last(), "_text")
     return dealt.select("_part", "_id", "_text", "_guest").mapInPandas(_follow, schema)
+
+
+def edited_and_similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None, **options) -> DataFrame:
+    """``edited_fingerprints`` with component_id, the smallest id of the group of ``similar_texts`` that holds the row's text.
+
+    A row without an id has none. options are those of ``similar_texts``.
+    """
+    scratch = scratch or Scratch(docs.sparkSession)
+    made = scratch.save(edited_fingerprints(docs, id_col=id_col, text_col=text_col))
+    scratch.release()
+    halves = F.transform(F.sequence(F.lit(0), F.lit(SLOTS // 32 - 1)), lambda i: F.conv(F.substring(F.col("fingerprint"), i * 8 + 1, F.lit(8)), 16, 10).cast("long"))
+    words = F.transform(F.sequence(F.lit(0), F.lit(SLOTS // 64 - 1)), lambda i: F.shiftleft(F.get(halves, i * 2), 32).bitwiseOR(F.get(halves, i * 2 + 1)))
+    printed = made.select(F.col("doc_id").alias("id"), "text_hash", words.alias("words"))
+    groups = similar_texts(docs, printed, id_col=id_col, text_col=text_col, scratch=scratch, **options)
+    out = made.join(groups, "text_hash", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component")))
+    return out.drop("text_hash", "component")

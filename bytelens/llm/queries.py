@@ -78,10 +78,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op4_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Not SQL: random walks. tests/llm hold the edited texts against SQL and the walk against a plain one."""
-    from bytelens.llm.edit_fingerprint import edited_fingerprints
+    """Not SQL: random walks. tests/llm hold edited texts, walks and groups against plain computations."""
+    from bytelens.llm.edit_fingerprint import edited_and_similar
 
-    return edited_fingerprints(table(spark, sf_dir, "documents"))
+    return edited_and_similar(table(spark, sf_dir, "documents"))
 
 
 @query(r"""
