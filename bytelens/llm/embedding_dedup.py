@@ -12,6 +12,7 @@ Vectors are compared within a cell: equal label and equal length. Equal vectors
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 from functools import partial, reduce
 
@@ -24,8 +25,10 @@ from bytelens.llm.graph import connected_components
 from bytelens.llm.scratch import Scratch
 from bytelens.session import ship
 
+_log = logging.getLogger(__name__)
+
 #: Vectors of a block that is compared as one matrix.
-BLOCK = 512
+BLOCK = 2048
 
 
 def _matrix(col: pa.Array, dim: int) -> np.ndarray:
@@ -252,7 +255,7 @@ def near_embeddings(vectors: DataFrame, *, least: float = 0.98, neighbours: int
     nothing; nor do rows with a null id, whose component is null and which are kept. Rows that share an id are
     one for reachability. The audit compares ``audit`` classes (by hash) with all, or up to 16 times as many
     while they see fewer than ``seen`` links, and repeats the search with
-    ``orders`` more while fewer than ``recall`` of their links join one component, ``tries`` times at most; its links join
+    ``orders`` more while fewer than ``recall`` of their links join one component, ``tries`` times at most, and raises beyond; its links join
     in. Extra columns are ignored; no rows give none.
     """
     spark = vectors.sparkSession
@@ -323,8 +326,11 @@ def near_embeddings(vectors: DataFrame, *, least: float = 0.98, neighbours: int
         if hit < n:
             links = scratch.save(links.union(true.select("a", "b")).distinct())
             roots = scratch.save(connected_components(links, scratch))
+        _log.info("the audit saw %d links, of which %d join one component", n, hit)
         if hit >= recall * n:
             break
+    else:
+        raise RuntimeError(f"recall {hit / n:.3f} is below {recall} after {tries} tries: give more orders, a longer reach or more neighbours")
 
     # Every list of links is enlarged to its component; the blocks of one are compared pair by pair of blocks.
     every = roots.select("node", "component").union(roots.select(F.col("component").alias("node"), "component").distinct())

@@ -129,9 +129,15 @@ def blocks(at: np.ndarray, tok: np.ndarray, own: np.ndarray, prefix: np.ndarray,
     at, tok = at[mine], tok[mine]
     if len(at) < need:
         return []
-    hits = at[np.isin(tok, prefix)]
-    if not len(hits):
+    # By position: the rarest token of a matching block is a hit, and what stands behind it in the order must make up the need.
+    hits = []
+    for a, t in zip(at[in_prefix := np.isin(tok, prefix)].tolist(), tok[in_prefix].tolist(), strict=True):
+        lo, hi = np.searchsorted(at, (a - width + 1, a + width))
+        if len(np.unique(tok[lo:hi][tok[lo:hi] >= t])) >= need:
+            hits.append(a)
+    if not hits:
         return []
+    hits = np.array(hits)
     # Only tokens within a block's reach of a prefix token can be in a matching block.
     k = np.searchsorted(hits, at)
     near = np.minimum(np.abs(at - hits[np.minimum(k, len(hits) - 1)]), np.abs(at - hits[np.maximum(k - 1, 0)])) < width
@@ -196,7 +202,7 @@ def _scanner(p: _Plan):
 def scan(docs: DataFrame, templates: tuple[Template, ...] = BASE + DECLARATIONS, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_words, blocks) for every row; blocks: array of (template number, first word, last word, share).
 
-    Every whole text is read twice: for the frequencies, then for the blocks. A-Z count as lower case; words are
+    Every whole text, however long, is read twice: for the frequencies, then for the blocks. A-Z count as lower case; words are
     runs of ASCII letters and digits and of all that isn't ASCII. Null and empty texts have no words and no blocks;
     overlapping blocks of one template are one; extra columns are ignored; no rows give none.
     """

@@ -65,7 +65,8 @@ def repeated_runs(docs: DataFrame, *, min_words: int = 45, id_col: str = "doc_id
     """
     scratch = scratch or Scratch(docs.sparkSession)
     lines = _lines(docs, id_col, text_col)
-    many = lines.groupBy("h1", "h2").agg(F.count("*").alias("c")).where("c > 1").drop("c")
+    # Written, so that the join deals both sides anew and can split a line that a large share of the rows has.
+    many = scratch.save(lines.groupBy("h1", "h2").agg(F.count("*").alias("c")).where("c > 1").drop("c"))
     active = lines.join(many, ["h1", "h2"]).dropDuplicates(["id", "th", "ln"])
     # Stretches of repeated lines; one without enough words has no run that counts.
     doc = Window.partitionBy("id", "th")
@@ -132,15 +133,18 @@ def dedup_lines(docs: DataFrame, *, min_words: int = 45, id_col: str = "doc_id",
     """docs without the later copies of repeated runs of lines, and n_lines, n_removed (longs) and removed (ranges).
 
     A document that loses all its lines stays, with an empty text. Null texts stay null and have no lines; extra
-    columns come through; repeated rows are edited alike; no rows give none.
+    columns come through, but for such as have one of the three new names; very long texts are edited whole;
+    repeated rows are edited alike; no rows give none.
     """
     runs = repeated_runs(docs, min_words=min_words, id_col=id_col, text_col=text_col, scratch=scratch)
+    # The row travels as one struct, so no column of docs can have the name of one that is made here.
     runs = runs.select(F.col("id").alias("_id"), F.col("th").alias("_th"), F.col("ranges").alias("removed"))
-    d = docs.withColumn("_key", _text_key(F.col(text_col)))
-    j = d.join(runs.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_th")), "left")
-    lines = F.split(text_col, "\n")
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).alias("_own"), _text_key(F.col(text_col)).alias("_key"))
+    j = d.join(runs.hint("shuffle_hash"), F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_th")), "left")
+    text = F.col("_row")[text_col]
+    lines = F.split(text, "\n")
     left = F.filter(lines, lambda x, i: ~F.exists("removed", lambda r: (i >= r["a"]) & (i <= r["b"])))
     gone = F.coalesce(F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r["b"] - r["a"] + 1), F.lit(0).cast("long"))
-    new = F.when(F.col("removed").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))
-    keep = [new.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
+    new = F.when(F.col("removed").isNull(), text).otherwise(F.array_join(left, "\n"))
+    keep = [new.alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in docs.columns if c not in ("n_lines", "n_removed", "removed")]
     return j.select(*keep, F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), gone.alias("n_removed"), "removed")

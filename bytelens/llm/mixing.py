@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bytelens.llm.scratch import Scratch, ordered
@@ -145,19 +145,28 @@ def _level(seed: int, last: bool):
     return one
 
 
+def _told_apart(rows: DataFrame, most: int = 4096) -> DataFrame:
+    """rows with ``_nth``, a number that tells equal rows apart, dealt in runs of ``most`` so that no task counts out a large group."""
+    n = rows.groupBy(*rows.columns).agg(F.count("*").alias("_n"))
+    up = lambda last: F.explode(F.sequence(F.lit(0).cast("long"), last))
+    runs = n.select("*", up(F.floor((F.col("_n") - 1) / most)).alias("_run")).repartition("_id", "_text", "_run")
+    size = F.least(F.lit(most), F.col("_n") - F.col("_run") * most)
+    return runs.select(*rows.columns, "_run", up(size - 1).alias("_at")).select(*rows.columns, (F.col("_run") * most + F.col("_at")).alias("_nth"))
+
+
 def mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[float, ...] = (5, 2, 1), max_repeat: float = 3.0, group_rows: int = 2_000, fan: int = 64, seed: int = 17, scratch: Scratch | None = None) -> DataFrame:
     """(id, size, source_size, target, copies) for every row of docs.
 
     ``copies`` is how often the mix takes the row (0 and more, ``max_repeat`` at most where that is whole).
-    Null and empty texts have size 0. Equal ids are told apart by their order of size; a null id counts as one.
+    Null and empty texts have size 0. Rows with equal ids are told apart by their texts, equal ones by a number.
     A source of size 0 has target 0 and no copies. Extra columns are ignored; an empty table gives no rows.
-    Groups of the tree are cut by a hash of the id, so a source with a third of all rows is dealt out, and a
-    rerun gives the same copies however the rows are partitioned.
+    Groups of the tree are cut by a hash of id, text and number, so a source, an id or a row with a third of all rows is
+    dealt out, and a rerun gives the same copies however the rows are partitioned.
     """
     spark = docs.sparkSession
     ship(spark)
     scratch = scratch or Scratch(spark)
-    rows = scratch.save(docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("_size")))
+    rows = scratch.save(docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("_size"), F.xxhash64(text_col).alias("_text")))
     sizes = rows.groupBy("source").agg(F.sum("_size").alias("source_size"))
     targets = scratch.save(source_targets(scratch.save(sizes), weights, max_repeat, scratch))
     most = max(1, rows.groupBy("source").count().agg(F.max("count")).first()[0] or 1)
@@ -165,7 +174,7 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source",
 
     t = targets.select(F.col("source").alias("_s"), "source_size", "target", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("_r"))
     r = rows.join(t, rows["source"].eqNullSafe(t["_s"])).drop("_s")
-    r = r.withColumn("_key", F.xxhash64("_id")).withColumn("_group", F.pmod("_key", F.lit(groups)).cast("long"))
+    r = _told_apart(r).withColumn("_key", F.xxhash64("_id", "_text", "_nth")).drop("_nth").withColumn("_group", F.pmod("_key", F.lit(groups)).cast("long"))
     r = r.withColumn("_whole", F.floor("_r")).withColumn("_p", F.col("_r") - F.col("_whole"))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in r.schema]
     schema = ", ".join(fields) + ", _done boolean"
@@ -182,24 +191,25 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source",
     out = parts[0]
     for x in parts[1:]:
         out = out.union(x)
-    return out.select(F.col("_id").alias(id_col), F.col("_size").alias("size"), "source", "source_size", "target", (F.col("_whole") + F.round("_p")).cast("long").alias("copies"))
+    return out.select(F.col("_id").alias(id_col), F.col("_size").alias("size"), "source", "source_size", "target", (F.col("_whole") + F.round("_p")).cast("long").alias("copies"), F.col("_text").alias("text_hash"))
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The documents of the mix: each row of docs as often as ``mix`` takes it, in its own columns.
+def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None, **options) -> DataFrame:
+    """The documents of the mix: each row of docs as often as ``mix`` takes it, in its own columns, whatever their names.
 
-    Rows with equal ids share their copies by order: the k-th smallest row takes the k-th count.
+    Rows that are equal in id and text share what the mix takes of them: that many copies in all, dealt by a hash of the row.
     """
-    from pyspark.sql import Window
-
-    id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
-    scratch = options.pop("scratch", None) or Scratch(docs.sparkSession)
-    copies = mix(docs, scratch=scratch, **options)
-    n = copies.groupBy(id_col, "size").agg(F.count("*").alias("_rows"), F.sort_array(F.collect_list("copies"), asc=False).alias("_copies"))
-    base = docs.withColumn("_size", word_count(F.col(text_col)))
-    j = base.join(n.select(F.col(id_col).alias("_i"), F.col("size").alias("_z"), "_rows", "_copies"), F.col(id_col).eqNullSafe(F.col("_i")) & (F.col("_size") == F.col("_z")))
-    once = j.where("_rows = 1").withColumn("_n", F.element_at("_copies", 1))
-    w = Window.partitionBy("_i", "_z").orderBy(F.xxhash64(*[c for c in docs.columns]))
-    more = j.where("_rows > 1").withColumn("_n", F.element_at("_copies", F.row_number().over(w)))
-    both = once.union(more).where("_n > 0")
-    return both.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))).alias("_k")).drop("_k")
+    scratch = scratch or Scratch(docs.sparkSession)
+    copies = mix(docs, id_col=id_col, text_col=text_col, scratch=scratch, **options)
+    taken = copies.groupBy(F.col(id_col).alias("_id"), F.col("text_hash").alias("_hash")).agg(F.count("*").alias("_rows"), F.sum("copies").alias("_copies")).where("_copies > 0")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).alias("_own"), F.xxhash64(text_col).alias("_text"))
+    j = rows.join(scratch.save(taken), F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_hash")))
+    once = j.where("_rows = 1").select("_row", F.col("_copies").alias("_n"))
+    # Of several equal rows each distinct one is counted, and the copies are shared out along their running counts.
+    some = j.where("_rows > 1").groupBy("_id", "_hash", "_rows", "_copies", "_row").agg(F.count("*").alias("_c"))
+    run = Window.partitionBy("_id", "_hash").orderBy(F.xxhash64("_row"), F.to_json("_row")).rowsBetween(Window.unboundedPreceding, 0)
+    upto = F.sum("_c").over(run)
+    share = lambda n: F.floor(n.cast("decimal(38,0)") * F.col("_copies") / F.col("_rows")).cast("long")
+    some = some.withColumn("_upto", upto).select("_row", (share(F.col("_upto")) - share(F.col("_upto") - F.col("_c"))).alias("_n"))
+    both = once.union(some).where("_n > 0")
+    return both.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), "_n")).alias("_k")).select("_row.*")
