@@ -130,22 +130,24 @@ def test_mixing_nothing(empty):
 def test_encoder_equals_whole_texts(name, drops):
     from bytelens.llm.tokens import Encoder
 
-    odd = ["", None, "  a", "a  ", " a b", "a\n b", "a \nb", "x　 y z", "don't DON'T we'll.", "é a ́b", "<|endoftext|> a<|endoftext|>b", "İ ΑΣ Σ", "a\tb\r\nc", " ", "\n", "\x1c a \x1cb", "日本 語 1234 !!  ??", "a 's b", "​ a", "🙂 🙂🙂 a\x00b", "end. end, end."]
+    odd = ["", None, "  a", "a  ", " a b", "a\n b", "a \nb", "x　 y z", "don't DON'T we'll.", "é a ́b", "<|endoftext|> a<|endoftext|>b", "x <|ENDOFTEXT|> y", "İ ΑΣ Σ", "a\tb\r\nc", " ", "\n", "\x1c a \x1cb", "日本 語 1234 !!  ??", "a 's b", "​ a", "🙂 🙂🙂 a\x00b", "end. end, end.", " \nHello you", "\nHello you", "x \0, y", "The, end"]
     odd += [prose(random.Random(i), 200) for i in range(20)]
+    rng = random.Random(1)
+    signs = [*"abXY .,\n\t \0'é́İΣ日🙂12<|>", "  ", " ", "\x85", "<|endoftext|>", "<|startoftext|>", "'s", "'LL", "The", "end.", "x.", "y,", "K"]
+    odd += ["".join(rng.choice(signs) + " " * (rng.random() < 0.35) for _ in range(rng.randrange(14))) for _ in range(10_000)]
     tok = Tokenizer.from_file(P.path(name))
-    tok.encode_special_tokens = True
-    e = Encoder(P.path(name), drops_space=drops, keep=50, batch_chars=300)
-    for _ in range(2):
-        ids, ends = e.encode(pa.array(odd))
+    want = {t: tok.encode(t or "", add_special_tokens=False).ids for t in odd}
+    for keep, batch in ((1000, 300), (200_000, 3000), (10**9, 10**6)):  # what was seen before changes nothing
+        rng.shuffle(odd)
+        ids, ends = Encoder(P.path(name), drops_space=drops, keep_bytes=keep, batch_bytes=batch).encode(pa.array(odd))
         for k, t in enumerate(odd):
-            assert ids[ends[k] : ends[k + 1]].tolist() == tok.encode(t or "", add_special_tokens=False).ids, t
+            assert ids[ends[k] : ends[k + 1]].tolist() == want[t], t
 
 
 def test_packing_holds_its_capacities(rows, docs):
     from bytelens.llm.packing import pack_documents
 
     tok = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    tok.encode_special_tokens = True
     for o in ({}, {"documents": 3}, {"attention": 4e5, "score": "dot"}):
         got = pack_documents(docs, P.path("word_bpe_49k.json"), drops_space=True, tokens=512, group_rows=9, fan=2, **o).collect()
         want = Counter()
@@ -189,10 +191,12 @@ def test_token_store_reads_back(spark, rows, docs, empty):
     from bytelens.llm.token_store import qualified, read_store, write_store
 
     tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     scratch = Scratch(spark)
     folder = qualified(spark, scratch.path())
-    got = read_store(write_store(docs, P.path("byte_bpe_50k.json"), folder, drops_space=False, file_ids=300), folder).collect()
+    made = write_store(docs, P.path("byte_bpe_50k.json"), folder, drops_space=False, file_ids=300)
+    size = made.selectExpr("sum(n_bytes)").first()[0]
+    assert made.count() > 5 and size // 2000 <= read_store(made, folder, task_bytes=2000).rdd.getNumPartitions() <= size // 2000 + 1
+    got = read_store(made, folder, task_bytes=2000).collect()
     want = Counter()
     for i, t, _ in rows:
         ids = [*tok.encode(t or "", add_special_tokens=False).ids, 0]
@@ -237,18 +241,44 @@ def test_toxicity_on_documents_it_did_not_see(spark):
     assert score(docs.limit(0), m).collect() == []
 
 
+def test_toxicity_of_a_pair_whose_words_say_little(spark):
+    from bytelens.llm.toxicity import fit, score
+
+    rng = random.Random(8)
+    rows, labels = [], []
+    for i in range(3000):
+        words, toxic = [rng.choice(WORDS) + str(rng.randrange(40)) for _ in range(12)], 0
+        if rng.random() < 0.1:
+            words.insert(0, "moron"), (toxic := 1)
+        for w in ("those", "people"):
+            if rng.random() < 0.13:
+                words.insert(3, w)
+        toxic = max(toxic, int("those" in words and "people" in words))
+        rows.append((i, " ".join(words)))
+        labels.append((i, toxic))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    m = fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int").where("doc_id < 2000"))
+    tests = [(0, "those alpha1 beta2"), (1, "people alpha1 beta2"), (2, "those people alpha1 beta2"), (3, "moron alpha1"), (4, "alpha1 beta2"), (5, "x " * 200_000 + "those people")]
+    got = {r["doc_id"]: r["score"] >= 0.7 for r in score(spark.createDataFrame([(*t, 0.5, "w") for t in tests], "doc_id long, text string, score double, terms string"), m).collect()}
+    assert got == {0: False, 1: False, 2: True, 3: True, 4: False, 5: True}
+
+
 # 4 ----------------------------------------------------------------------------------------------
 
 
 def plain_walk(text):
+    """The walk by its rule alone: write the character, then step on where the bit of place and character says so."""
     from bytelens.llm import edit_fingerprint as e
-
-    states, dwell = e._automaton()
-    out, s = [], 0
-    for c in text:
-        k = ord(c) if ord(c) < 128 else 128 + ((ord(c) * 2654435761 & 0xFFFFFFFF) >> 25)
-        out += [ord(c)] * int(dwell[s, k])
-        s = (s + int(dwell[s, k])) % e.PERIOD
+    from bytelens.llm.words import mix
+
+    out, place, i = [], 0, 0
+    while i < len(text):
+        c = ord(text[i])
+        kind = c if c < 128 else 128 + ((c * 2654435761 & 0xFFFFFFFF) >> 25)
+        bit = int(mix(np.array([place * e.CLASSES + kind + 0x51ED270B], np.uint64))[0]) >> 40 & 1
+        out.append(c)
+        i += bit or place == e.PERIOD - 1
+        place = (place + 1) % e.PERIOD
     return out
 
 
@@ -286,24 +316,62 @@ def test_edited_fingerprints(rows, docs, empty):
         edited = t[: n - n // 3] + nxt[: n // 3]
         want[i, n, hashlib.sha256(edited.encode()).hexdigest(), fingerprint(t).hex(), fingerprint(edited).hex()] += 1
     for parts in (3, 1000):
-        got = edited_fingerprints(docs, part_rows=parts).collect()
+        got = edited_fingerprints(docs, part_rows=parts).drop("text_hash").collect()
         assert Counter(tuple(r)[:5] for r in got) == want
         assert all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in got)
     assert edited_fingerprints(empty).collect() == []
 
 
-def test_similar_pairs(spark):
-    from bytelens.llm.edit_fingerprint import similar_pairs
+def plain_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        diagonal, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            diagonal, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, diagonal + (x != y))
+    return row[-1]
+
+
+def test_edit_distance():
+    from bytelens.llm.edit_fingerprint import edit_distance
+
+    rng = random.Random(4)
+    for _ in range(400):
+        a = "".join(rng.choice("abé") for _ in range(rng.randrange(40)))
+        b = "".join(rng.choice("abé") for _ in range(rng.randrange(40))) if rng.random() < 0.5 else a[: rng.randrange(40)] + "b" + a[rng.randrange(40) :]
+        assert edit_distance(a, b) == plain_distance(a, b), (a, b)
+
+
+def chains(rng):
+    """(id, text): groups of edits of edits, whose ends are far from each other and from any lead."""
+    rows = []
+    for g in range(4):
+        text = prose(rng, 60)
+        for i in range(30):
+            rows.append((100 * g + i, text))
+            k = rng.randrange(len(text))
+            text = text[:k] + rng.choice("abc") + text[k + rng.randrange(2) :]
+    return rows
+
+
+def test_similar_texts_equal_all_pairs(spark, monkeypatch):
+    from bytelens.llm import edit_fingerprint as e
 
-    rng = random.Random(9)
-    base = [prose(rng, 150) for _ in range(6)]
-    rows = [(i, t) for i, t in enumerate(base)] + [(10 + i, t[:300] + "#" + t[301:]) for i, t in enumerate(base)] + [(20, base[0]), (None, base[1])]
-    classes, pairs = similar_pairs(spark.createDataFrame(rows, "doc_id long, text string"), least=0.75)
-    own = {r["id"]: r["class"] for r in classes.where("id IS NOT NULL").collect()}
-    found = {(r["a"], r["b"]) for r in pairs.collect()}
-    assert own[20] == 0
-    # An edit that no sampled place sees leaves the fingerprint, and so the class, as it was.
-    assert all(own[i] == own[10 + i] or (own[i], own[10 + i]) in found for i in range(6))
+    monkeypatch.setattr(e, "BLOCK_ROWS", 8)
+    monkeypatch.setattr(e, "TEXT_BYTES", 4096)
+    rng = random.Random(10)
+    rows = chains(rng) + [(900, None), (901, ""), (902, "x"), (903, "x"), (None, rows_ := prose(rng, 40)), (904, rows_)]
+    rng.shuffle(rows)
+    got = {(r["doc_id"], r["fingerprint"]): r["component_id"] for r in e.edited_and_similar(spark.createDataFrame([(*r, 1, "c") for r in rows], "doc_id long, text string, node int, component string"), least=0.7).collect()}
+    texts = {i: t or "" for i, t in rows if i is not None}
+    prints = {i: e.fingerprint(t) for i, t in texts.items()}
+    count, bits = e.band_shape(len(set(texts.values())), 0.7)
+    links = []
+    for i, j in itertools.combinations(sorted(texts), 2):
+        if texts[i] == texts[j] or e.likeness(prints[i], prints[j]) >= 0.7 and e.alike(texts[i], texts[j], 80):
+            links.append((i, j))
+    comp = components(set(texts), links)
+    assert 4 < len(set(comp.values())) < len(texts)
+    assert got == {(i, e.fingerprint(t or "").hex()): comp.get(i) for i, t in rows}
 
 
 # 5 ----------------------------------------------------------------------------------------------
@@ -374,6 +442,28 @@ def test_near_duplicates_equal_all_pairs(spark, k):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"] or r["doc_id"] is None) for r in got)
 
 
+def test_near_duplicates_of_a_cloud_around_the_threshold(spark, monkeypatch):
+    """One large group whose members lie on both sides of the threshold from each other and from the lead."""
+    from bytelens.llm import minhash
+
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(minhash, "SET_BYTES", 4096)
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(220):
+        w = list(base)
+        for k in rng.sample(range(120), int(abs(rng.gauss(0, 9))) % 24):
+            w[k] = f"x{rng.randrange(10_000)}"
+        rows.append((i, " ".join(w)))
+    sets = [(i, {tuple(t.split()[k : k + 2]) for k in range(119)}) for i, t in rows]
+    links = [(i, j) for (i, s), (j, t) in itertools.combinations(sets, 2) if 100 * len(s & t) >= 80 * len(s | t)]
+    comp = components(range(220), links)
+    assert len(set(comp.values())) > 20
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=2).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == comp
+
+
 def test_near_duplicates_of_nothing(empty):
     from bytelens.llm.minhash import near_duplicates
 
@@ -513,6 +603,34 @@ def test_embeddings_equal_all_pairs(spark):
     assert near_embeddings(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).collect() == []
 
 
+def _clumps(rng, n, dim=32, inside=0.003):
+    """Two clumps of n unit vectors, tight inside, about 0.9825 apart; and others far from them."""
+    a = rng.normal(size=dim)
+    a /= np.sqrt(a @ a)
+    o = rng.normal(size=dim)
+    o -= (o @ a) * a
+    o /= np.sqrt(o @ o)
+    b = 0.9825 * a + np.sqrt(1 - 0.9825**2) * o
+    return [c + rng.normal(size=dim) * inside for c in (a, b) for _ in range(n)]
+
+
+def test_links_between_full_lists(spark):
+    from bytelens.llm.embedding_dedup import near_embeddings
+
+    rng = np.random.default_rng(8)
+    x = np.array([v for _ in range(6) for v in _clumps(rng, 40)] + [rng.normal(size=32) for _ in range(1500)])
+    u = x / np.sqrt((x * x).sum(1))[:, None]
+    near = u @ u.T >= 0.98
+    np.fill_diagonal(near, False)
+    # No exact list of ten has a link to the other clump.
+    top = np.argsort(-(u @ u.T) + 2 * np.eye(len(u)), axis=1)[:480, :10]
+    assert all((top[i] // 40 == i // 40).all() for i in range(480)) and near[:40, 40:80].sum() > 400
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r for r in near_embeddings(df, audit=1, seen=1, tries=1).collect()}
+    assert [got[i]["n_links"] for i in range(len(x))] == near.sum(1).tolist()
+    assert all(got[i]["component_id"] == i // 80 * 80 for i in range(480))
+
+
 # pipeline ---------------------------------------------------------------------------------------
 
 
