@@ -1,13 +1,14 @@
 """A corpus from `documents`: toxic ones go, repeated lines go, one of each group of near-duplicates stays, sources are
 mixed to their weights, and what is left is packed into sequences.
 
-Each stage gets all that the one before kept and is written as Parquet in the shared folder.
+Each stage gets all that the one before kept and is written as Parquet in the shared folder. In every stage null texts
+count as empty, empty tables give no rows, texts of any length are read whole, and further columns, whatever their
+names, are passed on unchanged.
 """
 
 from __future__ import annotations
 
-import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bytelens.llm.line_dedup import dedup_lines
@@ -15,47 +16,65 @@ from bytelens.llm.minhash import near_duplicates
 from bytelens.llm.mixing import mixed_documents
 from bytelens.llm.packing import pack_documents
 from bytelens.llm.scratch import Scratch
-from bytelens.llm.toxicity import fit, score
+from bytelens.llm.toxicity import fit, scores
+from bytelens.session import ship
 
 #: Which documents survive depends on a trained model and on draws, so SQL can't say it; tests/llm hold each stage.
 ORACLE_SQL = None
 
 
+def _unused(docs: DataFrame, name: str) -> str:
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score under 0.7. Labels of a third of the ids, by hash, are left out of the fit."""
+    """Documents that score under 0.7. Labels of a third of the ids, by hash, are left out of the fit.
+
+    Every row is scored by its own text, so repeated rows go or stay together. Without labels none goes.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
-    machine = fit(docs, labels.where(~out))
-    return score(docs, machine, keep=docs.columns).where("score < 0.7").drop("score")
+    ship(spark)
+    score = scores(fit(docs.select("doc_id", "text"), labels.where(~out)))
+    return docs.where(score(F.col("text")) < 0.7)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without later copies of repeated runs of lines; n_chars follows the text."""
+    """Documents without later copies of repeated runs of lines; n_chars follows the text.
+
+    Every row stays, if with an empty text; rows that are equal in id and text are one document and keep equal texts.
+    """
     d = dedup_lines(docs)
     n = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return d.withColumn("n_chars", n).select(*docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five-word shingles, similarity 0.8 or more."""
-    scratch = Scratch(spark)
-    found = near_duplicates(docs, scratch=scratch)
-    kept = found.where("kept").groupBy("doc_id").agg(F.count("*").alias("_rows"))
-    j = docs.join(kept.select(F.col("doc_id").alias("_id"), "_rows").hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")))
-    # Rows that share an id are one document, of which the least text stays; rows without an id all stay.
-    once = j.where("_rows = 1 OR _id IS NULL")
-    w = Window.partitionBy("_id").orderBy("text")
-    more = j.where("_rows > 1 AND _id IS NOT NULL").withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
-    return once.union(more).select(*docs.columns)
+    """One document of each group of near-duplicates: five-word shingles, similarity 0.8 or more.
+
+    A row is named by a hash of its id and text, so rows that share an id and not their text are documents of their own.
+    Of rows equal in both the least stays. Texts without words are copies of nothing and all stay.
+    """
+    key = _unused(docs, "key")
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    found = near_duplicates(keyed.select(F.col(key).alias("doc_id"), "text"), scratch=Scratch(spark))
+    kept = found.where("kept AND n_shingles > 0").select(F.col("doc_id").alias(key)).distinct()
+    rows = keyed.join(kept.hint("shuffle_hash"), key, "left_semi").groupBy(key).agg(F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("row"))
+    no_words = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    return rows.select("row.*").union(docs.where(no_words))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it. A null source is a source; documents without words are not taken."""
     return mixed_documents(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every piece of every document, with its sequence and place."""
+    """Every piece of every document, with its sequence and place; repeated rows are packed each."""
+    import public_tokenizers
+
     packed = pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), drops_space=True)
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
