@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import repeat
 from unicodedata import normalize
 
 import numpy as np
@@ -35,102 +34,66 @@ def slices(lengths: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         yield a, len(lengths)
 
 
+class _Table:
+    """Pieces and their ids, one after another; how many batches have asked for each."""
+
+    def __init__(self) -> None:
+        self.pieces = pa.array([], pa.string())
+        self.flat, self.start, self.asked = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(0, np.int32)
+
+    @property
+    def nbytes(self) -> int:
+        return self.pieces.nbytes + self.flat.nbytes + self.start.nbytes + self.asked.nbytes
+
+    def find(self, pieces: pa.Array) -> np.ndarray:
+        """The place of each piece, -1 for one that isn't there."""
+        if not len(self.pieces):
+            return np.full(len(pieces), -1, np.int64)
+        return pc.fill_null(pc.index_in(pieces, value_set=self.pieces), -1).to_numpy().astype(np.int64)
+
+    def add(self, pieces: pa.Array, ids: np.ndarray, counts: np.ndarray) -> None:
+        self.pieces = pa.concat_arrays([self.pieces, pieces])
+        self.flat = np.concatenate([self.flat, ids])
+        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(counts)])
+        self.asked = np.concatenate([self.asked, np.ones(len(pieces), np.int32)])
+
+    def take(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the pieces at these places, and how many each has."""
+        lens = self.start[at + 1] - self.start[at]
+        ends = np.cumsum(lens)
+        return self.flat[np.repeat(self.start[at] - (ends - lens), lens) + np.arange(int(lens.sum()))], lens
+
+    def thin(self) -> None:
+        """Forget what one batch alone has asked for, or all if that is most of it."""
+        keep = np.flatnonzero(self.asked > 1)
+        if len(keep) > 0.7 * len(self.asked):
+            keep = keep[:0]
+        pieces, (ids, counts) = self.pieces.take(pa.array(keep)), self.take(keep)
+        self.__init__()
+        self.add(pieces, ids, counts)
+
+
 class Encoder:
     """encode(texts) -> (ids, offsets) of whole texts, null as empty.
 
     The ids are those of ``Tokenizer.encode(text, add_special_tokens=False)``, so a text that holds the string of a
-    special token gets its id there; such a text is encoded whole. Pieces that a batch has more than once stay in memory
-    up to about ``keep_bytes`` and are forgotten beyond it. A piece that begins a text, one that stands inside and a
-    closing mark are kept apart, so what was seen before never changes an id.
+    special token gets its id there; such a text is encoded whole. Encoded pieces stay in memory up to about
+    ``keep_bytes``. A piece that begins a text and one that stands inside are kept apart, so what was seen before never
+    changes an id.
     """
 
-    def __init__(self, path: str, *, drops_space: bool, keep_bytes: int = 64_000_000, batch_bytes: int = 8_000_000):
+    def __init__(self, path: str, *, drops_space: bool, keep_bytes: int = 32_000_000, batch_bytes: int = 8_000_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        self.special = [x.content for x in self.tok.get_added_tokens_decoder().values()]
         suffix, vocabulary = self.tok.model.end_of_word_suffix or "", self.tok.get_vocab(with_added_tokens=False)
         self.token_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, k in vocabulary.items():  # a byte-level vocabulary has a character for each byte
             self.token_bytes[k] = len(token.removesuffix(suffix))
-        self.special = [x.content for x in self.tok.get_added_tokens_decoder().values()]
         self.drops_space, self.keep_bytes, self.batch_bytes = drops_space, keep_bytes, batch_bytes
-        self._reset()
-
-    def _reset(self) -> None:
-        self.inner: dict[str, int] = {}  # pieces after a space
-        self.heads: dict[str, int] = {}  # pieces at the beginning of a text
-        self.marks: dict[str, int] = {}
-        self.flat = np.zeros(0, np.uint32)
-        self.start = np.zeros(1, np.int64)
-        self.held = 0
-        self.added: list[tuple[dict[str, int], list[str]]] = []
-
-    def _append(self, table: dict[str, int], pieces: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
-        base = len(self.start) - 1
-        table.update(zip(pieces, range(base, base + len(pieces)), strict=True))
-        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(counts)])
-        self.flat = np.concatenate([self.flat, ids])
-        self.held += self._bytes(pieces, len(ids))
-        self.added.append((table, pieces))
-
-    @staticmethod
-    def _bytes(pieces: list[str], ids: int) -> int:
-        return sum(map(len, pieces)) + 150 * len(pieces) + 4 * ids
-
-    def _forget(self, size: int) -> None:
-        """What was added since the tables had ``size`` pieces."""
-        for table, pieces in self.added:
-            for x in pieces:
-                del table[x]
-            self.held -= self._bytes(pieces, 0)
-        self.held -= 4 * int(self.start[-1] - self.start[size])
-        self.flat, self.start = self.flat[: self.start[size]].copy(), self.start[: size + 1].copy()
-
-    def _joined(self, pieces: list[str]) -> None:
-        """Encode new inner pieces, many in one call: joined by spaces, which is how each follows another in a text.
-
-        Every token stands for so many bytes, so running sums say which piece each belongs to.
-        """
-        room, gap = 20_000, 0 if self.drops_space else 1
-        for a in range(0, len(pieces), room):
-            part = pieces[a : a + room]
-            ids = np.array(self.tok.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
-            ends = np.cumsum(pc.binary_length(pa.array(part, pa.string())).to_numpy() + gap)
-            stop = np.cumsum(self.token_bytes[ids])
-            if len(ids) and stop[-1] != ends[-1]:  # a normalizer has changed the bytes
-                self._alone(self.inner, part, [" " + x for x in part])
-            else:
-                self._append(self.inner, part, ids, np.bincount(np.searchsorted(ends, stop - self.token_bytes[ids], "right"), minlength=len(part)))
-
-    def _alone(self, table: dict[str, int], pieces: list[str], said: list[str]) -> None:
-        """Encode new pieces each by itself, as the text ``said``."""
-        if pieces:
-            got = [x.ids for x in self.tok.encode_batch_fast(said, add_special_tokens=False)]
-            self._append(table, pieces, np.array([i for x in got for i in x], np.uint32), np.array([len(x) for x in got], np.int64))
-
-    def _inner(self, new: list[str]) -> None:
-        if new:
-            blur = pc.match_substring_regex(pa.array(new, pa.string()), _BLUR).to_pylist()
-            if self.drops_space:  # what the normalizer changes has other bytes
-                blur = [o or not x.isascii() and x != normalize("NFC", x.lower()) for x, o in zip(new, blur, strict=True)]
-            self._joined([x for x, o in zip(new, blur, strict=True) if not o])
-            odd = [x for x, o in zip(new, blur, strict=True) if o]
-            self._alone(self.inner, odd, ["" if self.drops_space and not x else " " + x for x in odd])
-
-    def _ended(self, pieces: list[str]) -> None:
-        """Encode new inner pieces that are a letter's piece and one full stop or comma, which is a token of its own."""
-        self._inner(list({x[:-1] for x in pieces if x[:-1] not in self.inner}))
-        new = [m for m in {x[-1] for x in pieces} if m not in self.marks]
-        self._alone(self.marks, new, new)
-        ids, lens = self._gather(np.array([self.inner[x[:-1]] for x in pieces], np.int64))
-        mark = np.array([self.flat[self.start[self.marks[x[-1]]]] for x in pieces], np.uint32)
-        self._append(self.inner, pieces, np.insert(ids, np.cumsum(lens), mark), lens + 1)
-
-    def _gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of pieces one after another, and how many each has."""
-        lens = self.start[at + 1] - self.start[at]
-        ends = np.cumsum(lens)
-        return self.flat[np.repeat(self.start[at] - (ends - lens), lens) + np.arange(int(lens.sum()))], lens
+        self.inner, self.heads = _Table(), _Table()  # pieces after a space, and at the beginning of a text
+        self.marks = {m: np.uint32(self.tok.encode(m, add_special_tokens=False).ids[0]) for m in ".,"}
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         texts = pc.fill_null(texts, "")
@@ -147,16 +110,15 @@ class Encoder:
         for s in self.special:
             whole |= pc.match_substring(texts, s, ignore_case=True).to_numpy(zero_copy_only=False)
         if not whole.any():
-            return self._pieces(texts)
-        ids, lens = self._pieces(pc.if_else(pa.array(whole), "", texts))
+            return self._cut(texts)
+        ids, lens = self._cut(pc.if_else(pa.array(whole), "", texts))
         own = np.split(ids, np.cumsum(lens)[:-1])
         for k in np.flatnonzero(whole).tolist():
             own[k] = np.array(self.tok.encode(texts[k].as_py(), add_special_tokens=False).ids, np.uint32)
         return np.concatenate(own), np.array([len(x) for x in own], np.int64)
 
-    def _pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        if self.held > self.keep_bytes:
-            self._reset()
+    def _cut(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        texts = texts.cast(pa.string())
         if self.drops_space:
             texts = pc.ascii_lower(pc.replace_substring_regex(texts, "[\n\t\r]", " "))
             odd = np.zeros(len(texts), bool)
@@ -168,49 +130,86 @@ class Encoder:
             cut = pc.split_pattern(texts, " ")
         flat = cut.flatten()
         first = np.asarray(cut.offsets)[:-1] - cut.offsets[0].as_py()
-        follows = np.ones(len(flat), bool)
-        if not self.drops_space:
-            follows[first] = False  # the first piece of a text has no space before it
-        at = np.zeros(len(flat), np.int64)
-        inner = flat.filter(pa.array(follows)).dictionary_encode()
-        heads = flat.take(pa.array(first if not self.drops_space else first[:0])).dictionary_encode()
-        pieces = [_Pieces(self.inner, inner), _Pieces(self.heads, heads)]
-        self._learn(*[p.new(often=True) for p in pieces])
-        size, self.added = len(self.start) - 1, []
-        self._learn(*[p.new(often=False) for p in pieces])
-        at[follows] = pieces[0].places()
-        if not self.drops_space:
-            at[first] = pieces[1].places()
-        ids, lens = self._gather(at)
-        self._forget(size)
+        if self.drops_space:
+            ids, lens = self._ids(self.inner, flat)
+        else:  # the first piece of a text has no space before it
+            follows = np.ones(len(flat), bool)
+            follows[first] = False
+            lens = np.zeros(len(flat), np.int64)
+            inner, lens[follows] = self._ids(self.inner, flat.filter(pa.array(follows)))
+            heads, lens[first] = self._ids(self.heads, flat.take(pa.array(first)))
+            ids = np.empty(len(inner) + len(heads), np.uint32)
+            from_head = np.repeat(~follows, lens)
+            ids[~from_head], ids[from_head] = inner, heads
         return ids, (np.add.reduceat(lens, first) if len(first) else np.zeros(0, np.int64))
 
-    def _learn(self, inner: list[str], heads: list[str]) -> None:
-        self._alone(self.heads, heads, heads)
-        new = [x for x in inner if x not in self.inner]
-        if new:
-            ended = pc.match_substring_regex(pa.array(new, pa.string()), "[A-Za-z][.,]$").to_pylist()
-            self._inner([x for x, e in zip(new, ended, strict=True) if not e])
-            if any(ended):
-                self._ended([x for x, e in zip(new, ended, strict=True) if e])
-
-
-class _Pieces:
-    """The pieces of a batch and their places in a table."""
-
-    def __init__(self, table: dict[str, int], pieces: pa.DictionaryArray):
-        self.table, self.names = table, pieces.dictionary.to_pylist()
-        self.codes = pieces.indices.to_numpy(zero_copy_only=False)
-        self.at = np.fromiter(map(table.get, self.names, repeat(-1)), np.int64, len(self.names))
-        self.unknown = np.flatnonzero(self.at < 0)
-        self.often = np.bincount(self.codes, minlength=len(self.names))[self.unknown] > 1
-
-    def new(self, *, often: bool) -> list[str]:
-        return [self.names[i] for i in self.unknown[self.often == often].tolist()]
+    def _ids(self, table: _Table, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces one after another, and how many each has."""
+        words = pieces.dictionary_encode()
+        names, codes = words.dictionary, words.indices.to_numpy(zero_copy_only=False)
+        at = table.find(names)
+        unknown = np.flatnonzero(at < 0)
+        table.asked[at[at >= 0]] += 1
+        if len(unknown):
+            new = names.take(pa.array(unknown))
+            at[unknown] = len(table.pieces) + np.arange(len(unknown))
+            table.add(new, *(self._alone(new.to_pylist()) if table is self.heads else self._inner(new)))
+        out = table.take(at[codes])
+        if table.nbytes > self.keep_bytes:
+            table.thin()
+        return out
+
+    def _inner(self, new: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of new inner pieces and how many each has, by the cheapest way for each kind."""
+        parts = []
+        # A letter's piece and one full stop or comma, which is a token of its own.
+        ended = np.flatnonzero(pc.match_substring_regex(new, "[A-Za-z][.,]$").to_numpy(zero_copy_only=False))
+        base = self.inner.find(pc.utf8_slice_codeunits(new.take(pa.array(ended)), 0, -1))
+        ended, base = ended[base >= 0], base[base >= 0]
+        ids, lens = self.inner.take(base)
+        dot = pc.ends_with(new.take(pa.array(ended)), ".").to_numpy(zero_copy_only=False)
+        parts.append((ended, np.insert(ids, np.cumsum(lens), np.where(dot, self.marks["."], self.marks[","])), lens + 1))
+        # White space at the ends, and what a normalizer changes, can't be told apart in a joined text.
+        blur = pc.match_substring_regex(new, _BLUR).to_numpy(zero_copy_only=False).copy()
+        if self.drops_space:
+            for i in np.flatnonzero(~pc.string_is_ascii(new).to_numpy(zero_copy_only=False)).tolist():
+                x = new[i].as_py()
+                blur[i] |= x != normalize("NFC", x.lower())
+        blur[ended] = False
+        odd = np.flatnonzero(blur)
+        said = ["" if self.drops_space and not x else " " + x for x in new.take(pa.array(odd)).to_pylist()]
+        parts.append((odd, *self._alone(said)))
+        plain = np.ones(len(new), bool)
+        plain[ended] = plain[odd] = False
+        plain = np.flatnonzero(plain)
+        for a in range(0, len(plain), 20_000):
+            own = plain[a : a + 20_000]
+            parts.append((own, *self._joined(new.take(pa.array(own)))))
+        counts = np.zeros(len(new), np.int64)
+        for at, _, n in parts:
+            counts[at] = n
+        start = np.cumsum(counts) - counts
+        out = np.empty(int(counts.sum()), np.uint32)
+        for at, ids, n in parts:
+            out[np.repeat(start[at] - (np.cumsum(n) - n), n) + np.arange(len(ids))] = ids
+        return out, counts
+
+    def _alone(self, said: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        got = [x.ids for x in self.tok.encode_batch_fast(said, add_special_tokens=False)]
+        return np.array([i for x in got for i in x], np.uint32), np.array([len(x) for x in got], np.int64)
+
+    def _joined(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Encode inner pieces in one call: joined by spaces, which is how each follows another in a text.
 
-    def places(self) -> np.ndarray:
-        self.at[self.unknown] = [self.table[self.names[i]] for i in self.unknown.tolist()]
-        return self.at[self.codes]
+        Every token stands for so many bytes, so running sums say which piece each belongs to.
+        """
+        words = pieces.to_pylist()
+        ids = np.array(self.tok.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+        ends = np.cumsum(pc.binary_length(pieces).to_numpy(zero_copy_only=False).astype(np.int64) + (0 if self.drops_space else 1))
+        stop = np.cumsum(self.token_bytes[ids])
+        if len(ids) and stop[-1] != ends[-1]:  # a normalizer has changed the bytes
+            return self._alone([" " + x for x in words])
+        return ids, np.bincount(np.searchsorted(ends, stop - self.token_bytes[ids], "right"), minlength=len(words))
 
 
 _held: dict[tuple, Encoder] = {}
