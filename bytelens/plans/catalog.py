@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -493,7 +492,6 @@ def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly counts of the events as a stream, drained once."""
     from bytelens.streaming import sketches as st
 
-    base = shared_folder(spark)
-    name = f"windows_{uuid.uuid4().hex}"
-    st.run_once(st.windowed_counts(st.stream_table(spark, sf_dir, "events")), "complete", os.path.join(base, name), name)
-    return spark.table(name).select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "event_type", "n", F.round("total", 4).alias("total"))
+    folder = f"{shared_folder(spark)}/windows-{uuid.uuid4().hex}"
+    st.run_once(st.windowed_counts(st.stream_table(spark, sf_dir, "events")), "complete", f"{folder}/state", f"{folder}/out")
+    return spark.read.parquet(f"{folder}/out").select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "event_type", "n", F.round("total", 4).alias("total"))

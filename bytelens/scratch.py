@@ -9,6 +9,7 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -53,10 +54,16 @@ class Scratch:
         for df in frames:
             self._delete(df._scratch_path)
 
-    def release(self) -> None:
-        """Let Spark delete the shuffle files of steps whose results are written; else they stay until a collection of garbage."""
-        gc.collect()
-        self.spark._jvm.System.gc()
+    def release(self, times: int = 1) -> None:
+        """Let Spark delete the shuffle files of steps whose results are written; else they stay until a collection of garbage.
+
+        What Python held is let go by the JVM a little later, so one more time after that finds more.
+        """
+        for k in range(times):
+            if k:
+                time.sleep(0.3)
+            gc.collect()
+            self.spark._jvm.System.gc()
 
     def clear(self) -> None:
         try:

@@ -64,7 +64,12 @@ def minhash_slots(events: DataFrame, elements: Column, by: list[str], k: int, se
 
 
 def run_once(stream: DataFrame, mode: str, checkpoint: str, sink: str) -> None:
-    """Drain what is there into a Parquet table (append) or the named memory table (complete, update)."""
+    """Drain what is there into a Parquet table: append adds each batch, complete puts the whole result in its place."""
+    if mode not in ("append", "complete"):
+        raise ValueError(mode)
     w = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", checkpoint)
-    q = (w.format("parquet").start(sink) if mode == "append" else w.format("memory").queryName(sink).start())
-    q.awaitTermination()
+    if mode == "complete":
+        w = w.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(sink))
+    else:
+        w = w.format("parquet").option("path", sink)
+    w.start().awaitTermination()
