@@ -1,4 +1,8 @@
-"""Comparing the members of groups with each other in bounded blocks."""
+"""Comparing the members of groups with each other in bounded blocks.
+
+Counts and names of groups are written before they are joined to the groups' rows: a join that deals both sides anew is
+one that adaptive execution can split where a group has a large share of the rows.
+"""
 
 from __future__ import annotations
 
@@ -23,11 +27,11 @@ def stars(keyed: DataFrame, scratch: Scratch) -> DataFrame:
     The lead of a bucket is its member with most company in all of its buckets: for a group of copies that is the same
     one in nearly all bands, so a member meets a few leads, however many keys it shares.
     """
-    counts = keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+    counts = scratch.save(keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"))
     shared = scratch.save(keyed.join(counts, "key"))
     company = shared.groupBy("node").agg(F.sum("c").alias("s"))
     lead = shared.join(company, "node").groupBy("key").agg(F.max(F.struct("s", (-F.col("node")).alias("m"))).alias("x"))
-    met = shared.join(lead.select("key", (-F.col("x.m")).alias("a")), "key").where("node <> a")
+    met = shared.join(scratch.save(lead.select("key", (-F.col("x.m")).alias("a"))), "key").where("node <> a")
     out = scratch.save(met.select("a", F.col("node").alias("b")).distinct())
     scratch.drop(shared)
     scratch.release()
@@ -57,13 +61,13 @@ def _confirmer(alike: Callable):
     return compare
 
 
-def confirm(pairs: DataFrame, held: DataFrame, alike: Callable, share: int = 512) -> DataFrame:
+def confirm(pairs: DataFrame, held: DataFrame, alike: Callable, scratch: Scratch, share: int = 512) -> DataFrame:
     """The pairs (a, b) whose two ``held`` (node, held) are alike.
 
     What many pairs share as ``a`` goes to a task for each ``share`` of them; the others stream past it, one
     at a time, so neither memory nor a task grows with a group.
     """
-    n = pairs.groupBy("a").agg(F.ceil(F.count("*") / share).cast("int").alias("n"))
+    n = scratch.save(pairs.groupBy("a").agg(F.ceil(F.count("*") / share).cast("int").alias("n")))
     members = pairs.join(n, "a").join(held.withColumnRenamed("node", "b"), "b")
     members = members.select(F.col("a").alias("grp"), F.pmod(F.xxhash64("b"), F.col("n").cast("long")).cast("int").alias("salt"), F.lit(False).alias("lead"), F.col("b").alias("node"), "held")
     leads = n.join(held.withColumnRenamed("node", "a"), "a").select(F.col("a").alias("grp"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("salt"), F.lit(True).alias("lead"), F.col("a").alias("node"), "held")
@@ -71,14 +75,15 @@ def confirm(pairs: DataFrame, held: DataFrame, alike: Callable, share: int = 512
     return there.mapInArrow(_confirmer(alike), "a long, b long")
 
 
-def split_stars(met: DataFrame, label: DataFrame) -> DataFrame:
+def split_stars(met: DataFrame, label: DataFrame, scratch: Scratch) -> DataFrame:
     """(grp, node, comp) of the stars of leads ``a`` whose members are still in several components."""
     star = met.select(F.col("a").alias("grp"), F.col("b").alias("node")).join(label, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
+    star = scratch.save(star)
     split = star.groupBy("grp").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("grp")
-    return star.join(split, "grp")
+    return star.join(scratch.save(split), "grp")
 
 
-def block_pairs(members: DataFrame, kernel: Callable[[pa.Table, pa.Table], pa.Table], columns: tuple[str, ...], *, block: int) -> DataFrame:
+def block_pairs(members: DataFrame, kernel: Callable[[pa.Table, pa.Table], pa.Table], columns: tuple[str, ...], scratch: Scratch, *, block: int) -> DataFrame:
     """What ``kernel`` makes of every two blocks of members of one group that can be in different components.
 
     members: (grp, node, comp long, weight, ...). The largest component of a group is never compared with itself; all
@@ -91,7 +96,7 @@ def block_pairs(members: DataFrame, kernel: Callable[[pa.Table, pa.Table], pa.Ta
     per = members.groupBy("grp", "comp").agg(F.sum("weight").alias("w"))
     top = per.groupBy("grp").agg(F.max(F.struct("w", "comp")).alias("t"), F.sum("w").alias("w"), F.count("*").alias("c")).where("c > 1")
     blocks = lambda w: F.greatest(F.lit(1), F.ceil(w / block)).cast("int")
-    sizes = top.select("grp", F.col("t.comp").alias("_top"), blocks(F.col("t.w")).alias("_nt"), blocks(F.col("w") - F.col("t.w")).alias("_nr"))
+    sizes = scratch.save(top.select("grp", F.col("t.comp").alias("_top"), blocks(F.col("t.w")).alias("_nt"), blocks(F.col("w") - F.col("t.w")).alias("_nr")))
     m = members.join(sizes, "grp").withColumn("_rest", F.col("comp") != F.col("_top"))
     own = F.pmod(F.xxhash64("node"), F.when(F.col("_rest"), F.col("_nr")).otherwise(F.col("_nt"))).cast("int")
     up = lambda n: F.sequence(F.lit(0), F.col(n) - 1)

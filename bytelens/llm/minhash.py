@@ -47,6 +47,7 @@ def _minima(s: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _signer(size: int, bands: int, rows: int, bits: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from bytelens.llm.tidy import tidy
         from bytelens.llm.words import NOT_SPACE, mix, shingles, words
 
         n = bands * rows
@@ -76,6 +77,7 @@ def _signer(size: int, bands: int, rows: int, bits: int):
                     [ids.slice(w.first, w.last - w.first), pa.array(count, pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(packed, pa.list_(pa.int64()))],
                     ["doc_id", "n_shingles", "set_hash", "keys", "planes"],
                 )
+        tidy()
 
     return sign
 
@@ -104,6 +106,7 @@ def _any_differs(a: Column, b: Column, word: int, words_: int, bits: int) -> Col
 
 def _sets(size: int):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from bytelens.llm.tidy import tidy
         from bytelens.llm.words import NOT_SPACE, shingles, words
 
         for batch in batches:
@@ -115,6 +118,7 @@ def _sets(size: int):
                     if hashlib.blake2b(s, digest_size=16).digest() == want[w.first + k]:  # else another row with this id
                         node.append(names[w.first + k]), out.append(s)
                 yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(out, pa.binary())], ["node", "shingles"])
+        tidy()
 
     return sets
 
@@ -260,7 +264,7 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, bands:
     def merged(pairs: DataFrame, sets: DataFrame) -> None:
         """Confirm pairs and bring the components up to date."""
         nonlocal label
-        new = scratch.save(confirm(pairs, sets.withColumnRenamed("shingles", "held"), _alike(percent)))
+        new = scratch.save(confirm(pairs, sets.withColumnRenamed("shingles", "held"), _alike(percent), scratch))
         if label is None or new.take(1):
             edges = new if label is None else new.union(label)
             label = scratch.save(connected_components(edges, scratch))
@@ -279,16 +283,16 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, bands:
         label = spark.createDataFrame([], label_schema)
 
     # Members of one star that are still apart: signatures first, then the full sets of whoever has a candidate.
-    star = scratch.save(split_stars(met, label))
+    star = scratch.save(split_stars(met, label, scratch))
     if star.take(1):
         signed_star = star.join(sig.select("node", "n_shingles", "planes"), "node").withColumn("weight", F.lit(1))
-        found = block_pairs(signed_star, _candidates(n, bits, cut, percent), ("grp", "node"), block=BLOCK_ROWS)
+        found = block_pairs(signed_star, _candidates(n, bits, cut, percent), ("grp", "node"), scratch, block=BLOCK_ROWS)
         star = scratch.save(star.join(found.distinct(), ["grp", "node"]))
         scratch.release()
         nodes = star.select("node").distinct()
         sets = full_sets(docs, scratch.save(names.join(nodes, "node")), size=size, id_col=id_col, text_col=text_col)
         whole = star.join(sets, "node").withColumn("weight", F.length("shingles") + SET_BYTES // BLOCK_ROWS)
-        links = scratch.save(block_pairs(whole, _links(percent), ("a", "b"), block=SET_BYTES))
+        links = scratch.save(block_pairs(whole, _links(percent), ("a", "b"), scratch, block=SET_BYTES))
         if links.take(1):
             label = scratch.save(connected_components(links.union(label), scratch))
         scratch.release()

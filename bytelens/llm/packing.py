@@ -104,7 +104,8 @@ def pack_pieces(pieces: DataFrame, *, tokens: int = 4096, documents: int | None
 
 def _cutter(path: str, drops_space: bool, end_id: int, tokens: int, keep_ids: bool):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from bytelens.llm.tokens import encoder, rest, slices
+        from bytelens.llm.tokens import encoder, slices
+        from bytelens.llm.tidy import tidy
 
         enc = encoder(path, drops_space=drops_space)
         for batch in batches:
@@ -126,7 +127,7 @@ def _cutter(path: str, drops_space: bool, end_id: int, tokens: int, keep_ids: bo
                 if keep_ids:
                     cols["ids"] = pa.array(kept, pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_pydict(cols)
-        rest()
+        tidy()
 
     return cut
 

@@ -124,7 +124,8 @@ def _writer(folder: str, tokenizer: str, drops_space: bool, end_id: int, file_id
         from pyarrow import fs
         from pyspark import TaskContext
 
-        from bytelens.llm.tokens import encoder, rest, slices
+        from bytelens.llm.tokens import encoder, slices
+        from bytelens.llm.tidy import tidy
 
         files, base = fs.FileSystem.from_uri(folder)
         enc = encoder(tokenizer, drops_space=drops_space)
@@ -160,7 +161,7 @@ def _writer(folder: str, tokenizer: str, drops_space: bool, end_id: int, file_id
                     yield flush()
         if names:
             yield flush()
-        rest()
+        tidy()
 
     return write
 

@@ -106,12 +106,14 @@ def _lists(d: np.ndarray, t: np.ndarray, n: int) -> pa.ListArray:
 
 def _hasher(prefixes: tuple[int, ...]):
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from bytelens.llm.tidy import tidy
         from bytelens.llm.words import ALNUM, words
 
         for batch in batches:
             for w in words(batch.column("_text"), ALNUM):
                 n = w.last - w.first
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(w.first, n), batch.column("toxic").slice(w.first, n), _lists(*_distinct(*_terms(w, prefixes)), n)], ["doc_id", "toxic", "terms"])
+        tidy()
 
     return hashed
 
@@ -190,9 +192,11 @@ def scores(machine: Machine, *, prefixes: tuple[int, ...] = (4, 5, 6)):
     """
 
     def score(texts: pa.Array) -> pa.Array:
+        from bytelens.llm.tidy import tidy
         from bytelens.llm.words import ALNUM, words
 
         out = [machine.score(*_known(*_terms(w, prefixes), machine.terms), w.last - w.first) for w in words(texts, ALNUM)]
+        tidy()
         return pa.array(np.concatenate(out) if out else np.zeros(0))
 
     made = F.arrow_udf(score, "double").asNondeterministic()  # so that no rule has it computed twice

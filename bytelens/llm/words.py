@@ -45,6 +45,10 @@ def _power(name: str, base: int, n: int) -> np.ndarray:
     return held[:n]
 
 
+def forget() -> None:
+    _powers.clear()
+
+
 @dataclass
 class Words:
     """Of documents first..last-1 of the batch. ends: words before each document and after the last."""
