@@ -130,7 +130,7 @@ def likeness_of(a: Column, b: Column) -> Column:
     return F.greatest(F.lit(0.0), 1 - 2 * differ / F.lit(float(SLOTS)))
 
 
-def band_shape(n: int, least: float, miss: float = 1e-3) -> tuple[int, int]:
+def band_shape(n: int, least: float, miss: float = 1e-2) -> tuple[int, int]:
     """(bands, bits): so many bits that unrelated texts of a corpus of n seldom share a band by chance, and so many bands that
     two texts of the least likeness share none with a chance of ``miss`` at most."""
     bits = min(48, max(12, math.ceil(math.log2(max(n, 2)))))
@@ -237,15 +237,15 @@ BLOCK_ROWS, TEXT_BYTES = 2048, 4_000_000
 def similar_texts(docs: DataFrame, printed: DataFrame, *, least: float = 0.8, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """(text_hash, component): groups of texts that edits of at most 100 - ``percent`` hundredths connect.
 
-    printed: (id, text_hash, words), a row for each row of docs. Equal texts are one node, named by the smallest id; rows
+    printed: (id, text_hash, words), a row for each row of docs. Equal texts are one node; rows
     without an id are in none. Texts that share a band of sampled bits (see ``band_shape``) are candidates; those whose
     fingerprints have the ``least`` likeness are verified by the edit distance of the whole texts. A band's bucket meets
     its lead first; then what is still apart meets in blocks, whose tasks send out only links that join components.
     """
     scratch = scratch or Scratch(docs.sparkSession)
-    nodes = scratch.save(printed.where("id IS NOT NULL").groupBy("text_hash").agg(F.min("id").alias("node"), F.first("words").alias("words")))
-    # Two texts of one id are told apart by their hashes: the node that stands for a text is a hash of both.
-    nodes = scratch.save(nodes.select("text_hash", F.col("node").alias("id"), F.xxhash64("text_hash").alias("node"), "words"))
+    # Texts are told apart by their hashes, also where two have one id.
+    nodes = printed.where("id IS NOT NULL").groupBy("text_hash", "words").agg(F.min("id").alias("id"))
+    nodes = scratch.save(nodes.select("text_hash", "id", F.xxhash64("text_hash").alias("node"), "words"))
     count, bits = band_shape(nodes.count(), least)
     met = stars(nodes.select("node", F.explode(bands(F.col("words"), count, bits)).alias("key")), scratch)
     side = lambda c: nodes.select(F.col("node").alias(c), F.col("words").alias("w" + c))
@@ -259,7 +259,7 @@ def similar_texts(docs: DataFrame, printed: DataFrame, *, least: float = 0.8, pe
         return own.join(sized(wanted), "node", "left_semi").dropDuplicates(["node"])
 
     def merged(pairs: DataFrame, text: DataFrame) -> DataFrame:
-        new = scratch.save(confirm(pairs, text.withColumnRenamed("text", "held"), lambda a, b: alike(a, b, percent)))
+        new = scratch.save(confirm(pairs, text.withColumnRenamed("text", "held"), lambda a, b: alike(a, b, percent), scratch))
         return scratch.save(connected_components(new.union(label), scratch)) if new.take(1) else label
 
     if near.take(1):
@@ -272,18 +272,18 @@ def similar_texts(docs: DataFrame, printed: DataFrame, *, least: float = 0.8, pe
             label = merged(left, text)
         scratch.drop(text)
         scratch.release()
-    star = scratch.save(split_stars(met, label).join(nodes.select("node", "words"), "node"))
+    star = scratch.save(split_stars(met, label, scratch).join(nodes.select("node", "words"), "node"))
     if star.take(1):
-        found = block_pairs(star.withColumn("weight", F.lit(1)), _near(least), ("grp", "node"), block=BLOCK_ROWS)
+        found = block_pairs(star.withColumn("weight", F.lit(1)), _near(least), ("grp", "node"), scratch, block=BLOCK_ROWS)
         star = scratch.save(star.join(found.distinct(), ["grp", "node"]))
         if star.take(1):
             whole = star.join(texts(scratch.save(star.select("node").distinct())), "node").withColumn("weight", F.octet_length("text") + TEXT_BYTES // BLOCK_ROWS)
-            links = scratch.save(block_pairs(whole, _text_links(least, percent), ("a", "b"), block=TEXT_BYTES))
+            links = scratch.save(block_pairs(whole, _text_links(least, percent), ("a", "b"), scratch, block=TEXT_BYTES))
             if links.take(1):
                 label = scratch.save(connected_components(links.union(label), scratch))
         scratch.release()
     named = nodes.join(label, "node", "left").select("text_hash", "id", F.coalesce("component", "node").alias("group"))
-    smallest = named.groupBy("group").agg(F.min("id").alias("component"))
+    smallest = scratch.save(named.groupBy("group").agg(F.min("id").alias("component")))
     return named.join(smallest, "group").select("text_hash", "component")
 
 
@@ -303,9 +303,9 @@ def _follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 edited = held[2][: n - n // 3] + text[: n // 3]
                 p = fingerprint(edited)
                 text_hash = hashlib.sha256(held[2].encode("utf-8", "surrogatepass")).digest()
-                out.append((held[1], n, hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), held[3].hex(), p.hex(), likeness(held[3], p), likeness(held[3], now[3]), text_hash))
+                out.append((held[1], n, hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), held[3].hex(), p.hex(), likeness(held[3], p), likeness(held[3], now[3]), text_hash, np.frombuffer(held[3], "<i8").tolist()))
             held = now
-        made = pd.DataFrame(out, columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "text_hash"])
+        made = pd.DataFrame(out, columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "text_hash", "words"])
         made["doc_id"] = made["doc_id"].astype("Int64")
         yield made
 
@@ -323,7 +323,7 @@ def edited_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
     ids = docs.select(F.col(id_col).cast("long").alias("_id"))
     n = ids.count()
     parts = min(max(1, math.ceil(n / part_rows)), 16_384)  # beyond that parts grow; rows stream through them one by one
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, text_hash binary"
+    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, text_hash binary, words array<long>"
     known = ids.where("_id IS NOT NULL")
     cuts = sorted({int(c) for c in known.approxQuantile("_id", [i / parts for i in range(1, parts)], 0.2 / parts)}) if parts > 1 else []
     cut_table = F.lit(cuts).cast("array<long>") if cuts else F.array().cast("array<long>")
@@ -353,10 +353,8 @@ def edited_and_similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     """
     scratch = scratch or Scratch(docs.sparkSession)
     made = scratch.save(edited_fingerprints(docs, id_col=id_col, text_col=text_col))
-    scratch.release()
-    halves = F.transform(F.sequence(F.lit(0), F.lit(SLOTS // 32 - 1)), lambda i: F.conv(F.substring(F.col("fingerprint"), i * 8 + 1, F.lit(8)), 16, 10).cast("long"))
-    words = F.transform(F.sequence(F.lit(0), F.lit(SLOTS // 64 - 1)), lambda i: F.shiftleft(F.get(halves, i * 2), 32).bitwiseOR(F.get(halves, i * 2 + 1)))
-    printed = made.select(F.col("doc_id").alias("id"), "text_hash", words.alias("words"))
+    scratch.release(3)  # the dealt texts are as large as the input
+    printed = made.select(F.col("doc_id").alias("id"), "text_hash", "words")
     groups = similar_texts(docs, printed, id_col=id_col, text_col=text_col, scratch=scratch, **options)
     out = made.join(groups, "text_hash", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component")))
-    return out.drop("text_hash", "component")
+    return out.drop("text_hash", "words", "component")
