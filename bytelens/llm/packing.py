@@ -111,7 +111,7 @@ def _cutter(path: str, drops_space: bool, end_id: int, tokens: int, keep_ids: bo
         for batch in batches:
             text = batch.column("_text").cast(pa.string())
             size = np.maximum(1, np.diff(np.asarray(text.buffers()[1]).view(np.int32)[text.offset : text.offset + len(text) + 1])) if len(text) else np.zeros(0, int)
-            for a, b in slices(size, 8_000_000):
+            for a, b in slices(size, 3_000_000):
                 ids, ends = enc.encode(text.slice(a, b - a))
                 row, piece, start, length, crc, kept = [], [], [], [], [], []
                 for i in range(b - a):

@@ -151,7 +151,7 @@ def _writer(folder: str, tokenizer: str, drops_space: bool, end_id: int, file_id
             text = batch.column("_text").cast(pa.string())
             who = batch.column("_id").to_pylist()
             size = np.maximum(1, pc.binary_length(text).to_numpy(zero_copy_only=False))
-            for a, b in slices(size, min(8_000_000, 4 * file_ids)):
+            for a, b in slices(size, min(3_000_000, 4 * file_ids)):
                 ids, ends = enc.encode(text.slice(a, b - a))
                 n = np.diff(ends)
                 names.extend(who[a:b])

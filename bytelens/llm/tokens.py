@@ -82,7 +82,7 @@ class Encoder:
     changes an id.
     """
 
-    def __init__(self, path: str, *, drops_space: bool, keep_bytes: int = 32_000_000, batch_bytes: int = 8_000_000):
+    def __init__(self, path: str, *, drops_space: bool, keep_bytes: int = 20_000_000, batch_bytes: int = 3_000_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
