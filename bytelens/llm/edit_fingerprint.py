@@ -133,7 +133,7 @@ def likeness_of(a: Column, b: Column) -> Column:
 def band_shape(n: int, least: float, miss: float = 1e-2) -> tuple[int, int]:
     """(bands, bits): so many bits that unrelated texts of a corpus of n seldom share a band by chance, and so many bands that
     two texts of the least likeness share none with a chance of ``miss`` at most."""
-    bits = min(48, max(12, math.ceil(math.log2(max(n, 2)))))
+    bits = min(48, max(12, math.ceil(math.log2(max(n, 2))) + 4))
     return math.ceil(math.log(miss) / math.log(1 - ((1 + least) / 2) ** bits)), bits
 
 
