@@ -46,9 +46,10 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Every row stays, if with an empty text; rows that are equal in id and text are one document and keep equal texts.
     """
-    d = dedup_lines(docs)
-    n = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return d.withColumn("n_chars", n).select(*docs.columns)
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    d = dedup_lines(docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in others]).alias("row")))
+    n = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row")["n_chars"])
+    return d.select(*[n.alias(c) if c == "n_chars" else F.col("row")[c].alias(c) if c in others else F.col(c) for c in docs.columns])
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
