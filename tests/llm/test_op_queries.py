@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import os
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -176,7 +177,7 @@ def test_stages_on_awkward_tables(spark, tmp_path):
     labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(40)], "doc_id long, quality int, toxic int")
     labels.write.parquet(f"{tmp_path}/labels.parquet")
     words = [f"w{k}" for k in range(300)]
-    text = lambda i: " ".join(words[(7 * i * k + k * k + i) % 300] for k in range(40))
+    text = lambda i: " ".join(random.Random(i).choices(words, k=40))
     base = [(i, text(i) + (" moron" if i % 4 == 0 else ""), "en", "s") for i in range(60)]
     base += [(1, text(111), "en", "s"), (1, text(1), "en", "s"), (None, text(112), None, None), (None, None, None, None), (70, "", "en", "s"), (71, " ".join(text(i) for i in range(500, 900)), "en", "t")]
     clash = "score double, _text string, text_hash string, key string, _row int, _id int, _n int, comp string, node int, n_removed int, copies int, removed string"
