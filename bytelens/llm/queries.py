@@ -168,3 +168,82 @@ def op10_near_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from bytelens.llm.embedding_dedup import near_embeddings
 
     return near_embeddings(table(spark, sf_dir, "embeddings"))
+
+
+@query()
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Not SQL where no rule fits: a trained model. tests/llm hold hosts, paths and rules against a plain computation, and held-out accuracy."""
+    from bytelens.llm.url_filter import Rule, judge
+
+    rules = [Rule("allow", "com"), Rule("block", "example.com", "/en/"), Rule("allow", "www.example.com", "/en/"), Rule("block", "net", "/es/"), Rule("block", "net", "/fr/")]
+    judged = judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules)
+    return judged.select("page_id", "judged.host", "judged.path", "judged.rule", "judged.verdict", "judged.score")
+
+
+def repeated_tails(docs: DataFrame) -> DataFrame:
+    """docs whose words, in one document of ten by its id's hash, repeat from some word on with some period."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    n = F.size("_w")
+    start = F.col("_g") % n
+    period = 1 + F.floor((n - start) / (3 + F.col("_g") % 8))
+    rows = docs.where(h % 10 == 0).select("doc_id", g.cast("long").alias("_g"), words.alias("_w")).where(n > 0).select("doc_id", "_w", start.alias("_a"), period.alias("_p"))
+    at = F.sequence(F.lit(0), n - 1)
+    made = F.array_join(F.transform(at, lambda i: F.get("_w", F.when(i < F.col("_a"), i).otherwise(F.col("_a") + (i - F.col("_a")) % F.col("_p")).cast("int"))), " ")
+    has_words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    other = docs.where(~(F.coalesce(h % 10 == 0, F.lit(False)) & has_words)).select("doc_id", "text")
+    return rows.select("doc_id", made.alias("text")).union(other)
+
+
+@query()
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All starts and periods in SQL are too slow on whole tables; tests/llm hold the runs against them on fixtures."""
+    from bytelens.llm.periodic_runs import collapse_runs
+
+    found = collapse_runs(repeated_tails(table(spark, sf_dir, "documents")), exponent=4, least=6)
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("l"), (-r["start"]).alias("s"), (-r["period"]).alias("p"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string"))), "\n")
+    lines = F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise(F.lit(""))
+    out = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("b"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    return out.select("doc_id", "n_runs", (-F.col("b.s")).alias("start"), F.col("b.l").alias("length"), (-F.col("b.p")).alias("period"), F.expr("(1000 * b.l) div (-b.p)").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+@query(r"""
+WITH RECURSIVE c AS (
+  SELECT i, i::BIGINT AS v, 0 AS k FROM range(256) r(i)
+  UNION ALL SELECT i, CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END, k + 1 FROM c WHERE k < 8
+), tab AS (SELECT list(v ORDER BY i) AS t FROM c WHERE k = 8
+), r AS (
+  SELECT doc_id, translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{00FF}]+')) AS w FROM documents)
+  WHERE length(w) >= 6 GROUP BY ALL
+), b AS (
+  SELECT *, flatten(list_transform(string_split(doc_id || ':' || w, ''), lambda x: CASE WHEN ord(x) < 128 THEN [ord(x)::BIGINT] ELSE [195::BIGINT, ord(x)::BIGINT - 64] END)) AS bytes FROM r
+), h AS (
+  SELECT w, n, xor(list_reduce(bytes, lambda a, x: xor(a // 256, t[xor(a % 256, x) + 1]), 4294967295::BIGINT), 4294967295) AS h FROM b, tab
+), e AS (
+  SELECT CASE WHEN h % 199 = 0 THEN w[:(h % length(w))] || w[(h % length(w)) + 2:] ELSE w END AS w, n FROM h
+), words AS (
+  SELECT w, sum(n)::BIGINT AS n FROM e WHERE length(w) >= 6 GROUP BY w HAVING sum(n) >= 5
+), d AS (
+  SELECT w, i, w[:i - 1] || w[i + 1:] AS rest FROM (SELECT w, unnest(range(1, length(w) + 1)) AS i FROM words)
+), near AS (
+  SELECT DISTINCT x.w AS a, y.w AS b FROM d x JOIN d y ON x.rest = y.rest AND x.i = y.i AND x.w <> y.w
+  UNION SELECT d.w, words.w FROM d JOIN words ON d.rest = words.w
+  UNION SELECT words.w, d.w FROM d JOIN words ON d.rest = words.w
+), best AS (
+  SELECT a AS w, count(*) AS n_near, first(struct_pack(b := b, n := words.n) ORDER BY words.n DESC, encode(b)) AS x FROM near JOIN words ON words.w = b GROUP BY a
+), f AS (
+  SELECT words.w, words.n, coalesce(n_near, 0) AS n_near, CASE WHEN x.n >= 5 * words.n THEN x.b END AS form, CASE WHEN x.n >= 5 * words.n THEN x.n END AS form_n
+  FROM words LEFT JOIN best ON words.w = best.w
+), up AS (
+  SELECT w, w AS root, 0 AS k FROM f
+  UNION ALL SELECT up.w, f.form, k + 1 FROM up JOIN f ON up.root = f.w WHERE f.form IS NOT NULL
+)
+SELECT f.w AS word, form, root, n, n_near, form_n FROM f JOIN (SELECT w, arg_max(root, k) AS root FROM up GROUP BY w) USING (w)
+""")
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bytelens.llm.spelling import spelling_variants
+
+    return spelling_variants(table(spark, sf_dir, "documents"), drop_one_in=199)
