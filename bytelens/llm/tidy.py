@@ -1,10 +1,13 @@
-"""Giving memory back at the end of a task: Spark keeps Python workers for later ones, and what they hold adds up."""
+"""Memory of tasks in Python: Spark keeps workers for later tasks, and what they hold adds up."""
 
 from __future__ import annotations
 
 import ctypes
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 
 def tidy() -> None:
@@ -16,3 +19,15 @@ def tidy() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):  # another C library: it has ways of its own
         pass
+
+
+@contextmanager
+def small_batches(spark: SparkSession, size: str = "8m") -> Iterator[None]:
+    """Jobs that run inside send texts to Python in batches of that size at most, a longer text by itself."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
