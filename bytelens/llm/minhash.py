@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from bytelens.llm.blocks import apart, block_pairs, confirm, sized, split_stars, stars
 from bytelens.llm.graph import connected_components
 from bytelens.llm.scratch import Scratch
+from bytelens.llm.tidy import small_batches
 from bytelens.session import ship
 
 
@@ -54,7 +55,7 @@ def _signer(size: int, bands: int, rows: int, bits: int):
         a, b = _seeds(n)
         planes = -(-n // 64)
         for batch in batches:
-            ids = batch.column("doc_id")
+            ids, key = batch.column("doc_id"), batch.column("text_key")
             for w in words(batch.column("_text"), NOT_SPACE):
                 count, digest, keys, packed = [], [], [], []
                 for k in range(w.last - w.first):
@@ -74,8 +75,8 @@ def _signer(size: int, bands: int, rows: int, bits: int):
                         low[j, :n] = (m >> np.uint32(j)) & 1
                     packed.append(np.packbits(low, axis=1, bitorder="little").reshape(-1).view("<i8"))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(w.first, w.last - w.first), pa.array(count, pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(packed, pa.list_(pa.int64()))],
-                    ["doc_id", "n_shingles", "set_hash", "keys", "planes"],
+                    [ids.slice(w.first, w.last - w.first), key.slice(w.first, w.last - w.first), pa.array(count, pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(packed, pa.list_(pa.int64()))],
+                    ["doc_id", "text_key", "n_shingles", "set_hash", "keys", "planes"],
                 )
         tidy()
 
@@ -83,10 +84,10 @@ def _signer(size: int, bands: int, rows: int, bits: int):
 
 
 def sign(docs: DataFrame, *, size: int = 5, bands: int = 64, rows: int = 8, bits: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, set_hash, keys, planes) of every whole text; the last three null without words."""
+    """(doc_id, text_key, n_shingles, set_hash, keys, planes) of every whole text; the last three null without words."""
     ship(docs.sparkSession)
-    rows_ = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    return rows_.mapInArrow(_signer(size, bands, rows, bits), "doc_id long, n_shingles long, set_hash binary, keys array<long>, planes array<long>")
+    rows_ = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_key"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    return rows_.mapInArrow(_signer(size, bands, rows, bits), "doc_id long, text_key long, n_shingles long, set_hash binary, keys array<long>, planes array<long>")
 
 
 def estimate(a: Column, b: Column, n: int, bits: int) -> Column:
@@ -115,7 +116,7 @@ def _sets(size: int):
                 node, out = [], []
                 for k in range(w.last - w.first):
                     s = shingles(w, k, size).tobytes()
-                    if hashlib.blake2b(s, digest_size=16).digest() == want[w.first + k]:  # else another row with this id
+                    if hashlib.blake2b(s, digest_size=16).digest() == want[w.first + k]:  # else another text with this key
                         node.append(names[w.first + k]), out.append(s)
                 yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(out, pa.binary())], ["node", "shingles"])
         tidy()
@@ -215,9 +216,12 @@ BLOCK_ROWS, SET_BYTES = 2048, 8_000_000
 
 
 def full_sets(docs: DataFrame, names: DataFrame, *, size: int, id_col: str, text_col: str) -> DataFrame:
-    """(node, shingles) of the documents in names (node, set_hash), from their whole texts."""
-    text = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("_text"))
-    return text.join(sized(names), "node").mapInArrow(_sets(size), "node long, shingles binary").dropDuplicates(["node"])
+    """(node, shingles) of the documents in names (doc_id, text_key, node, set_hash), from their whole texts.
+
+    Rows are named by id and text, so rows that share an id meet their own name alone.
+    """
+    text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_key"), F.col(text_col).alias("_text"))
+    return text.join(sized(names), ["doc_id", "text_key"]).mapInArrow(_sets(size), "node long, shingles binary").dropDuplicates(["node"])
 
 
 def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, bands: int = 64, rows: int = 8, bits: int = 2, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
@@ -233,11 +237,13 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, bands:
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark)
     n = bands * rows
-    signed = scratch.save(sign(docs, size=size, bands=bands, rows=rows, bits=bits, id_col=id_col, text_col=text_col))
-    classes = scratch.save(signed.where("set_hash IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_hash").agg(F.min("doc_id").alias("node")))
-    own = classes.select(F.col("set_hash").alias("_h"), "node")
-    sig = signed.join(own, (F.col("doc_id") == F.col("node")) & (F.col("set_hash") == F.col("_h"))).dropDuplicates(["set_hash"])
-    sig = scratch.save(sig.select("node", "n_shingles", "set_hash", "keys", "planes"))
+    with small_batches(spark):
+        signed = scratch.save(sign(docs, size=size, bands=bands, rows=rows, bits=bits, id_col=id_col, text_col=text_col))
+    # A class of equal sets is a node of its own, whatever ids its rows have; (doc_id, text_key) names one of its rows.
+    classes = signed.where("set_hash IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_hash").agg(F.min(F.struct("doc_id", "text_key")).alias("x"))
+    classes = scratch.save(classes.select("set_hash", "x.doc_id", "x.text_key", F.monotonically_increasing_id().alias("node")))
+    sig = signed.join(classes, ["set_hash", "doc_id", "text_key"]).dropDuplicates(["node"])
+    sig = scratch.save(sig.select("node", "doc_id", "text_key", "n_shingles", "set_hash", "keys", "planes"))
 
     met = stars(sig.select("node", F.explode("keys").alias("key")), scratch)
     # Six deviations of the estimate at the threshold, of n bits that agree with a chance of about 0.85.
@@ -252,10 +258,11 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, bands:
         j = pairs.join(a, "a").join(b, "b").withColumn("est", est)
         return j.select("a", "b", "est", ((F.col("est") >= cut) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))).alias("near"))
 
-    names = sig.select("node", "set_hash")
+    names = sig.select("doc_id", "text_key", "node", "set_hash")
     near = scratch.save(estimated(met).where("near").select("a", "b", "est"))
     nodes = near.select(F.col("a").alias("node")).union(near.select(F.col("b").alias("node"))).distinct()
-    sets = scratch.save(full_sets(docs, scratch.save(names.join(nodes, "node")), size=size, id_col=id_col, text_col=text_col))
+    with small_batches(spark):
+        sets = scratch.save(full_sets(docs, scratch.save(names.join(nodes, "node")), size=size, id_col=id_col, text_col=text_col))
     scratch.release()
 
     label = None  # (node, component)
@@ -297,7 +304,18 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, bands:
             label = scratch.save(connected_components(links.union(label), scratch))
         scratch.release()
 
-    roots = classes.join(label, "node", "left").select("set_hash", F.coalesce("component", "node").alias("component_id"))
-    out = signed.select("doc_id", "n_shingles", "set_hash").join(roots, "set_hash", "left")
+    placed = scratch.save(signed.select("doc_id", "n_shingles", "set_hash").join(classes.select("set_hash", "node"), "set_hash", "left").drop("set_hash"))
+    # Rows of one id are one document: their classes are joined, and rows without words follow.
+    same = placed.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("c")).where("c > 1")
+    same = scratch.save(same.where("lo IS NOT NULL").select("doc_id", "lo", "hi"))
+    if same.where("lo < hi").take(1):
+        more = placed.join(same.where("lo < hi"), "doc_id").where("node > lo").select("node", "lo")
+        label = scratch.save(connected_components(more.union(label), scratch))
+    named = classes.select("node", "doc_id").join(label, "node", "left").withColumn("root", F.coalesce("component", "node"))
+    least = scratch.save(named.groupBy("root").agg(F.min("doc_id").alias("component_id")))
+    out = placed.join(named.join(least, "root").select("node", "component_id"), "node", "left")
+    if same.take(1):
+        of = named.join(least, "root").join(same.select(F.col("lo").alias("node"), F.col("doc_id").alias("id")), "node").select(F.col("id").alias("doc_id"), F.col("component_id").alias("shared"))
+        out = out.join(of, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "shared"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
