@@ -225,24 +225,32 @@ def _counts(least: float):
     return count
 
 
-def _auditor(names: list, cells: list, units: list, least: float):
+def _auditor(names: list, cells: list, units: list, comps: list, least: float):
+    """For each asked class and component that has links of it: one of them (a, b), their number n, and whether it is a's own."""
+
     def audit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where: dict = {}
         for i, c in enumerate(cells):
             where.setdefault(c, []).append(i)
         q = {c: np.stack([np.frombuffer(units[i], np.float64) for i in ii]) for c, ii in where.items()}
+        seen: dict[tuple[int, int], list[int]] = {}  # of a task, so that it sends a row for each at most
         for batch in batches:
-            a, b, s = [], [], []
-            cell, node = batch.column("cell").to_pylist(), batch.column("node").to_pylist()
+            cell, node, comp = (batch.column(c).to_pylist() for c in ("cell", "node", "comp"))
             for c, ii in where.items():
                 at = [k for k, x in enumerate(cell) if x == c]
                 if at:
                     v = np.stack([np.frombuffer(x, np.float64) for x in batch.column("unit").take(pa.array(at)).to_pylist()])
-                    sims = q[c] @ v.T
-                    for x, y in zip(*np.nonzero(sims >= least), strict=True):
-                        if names[ii[x]] != node[at[y]]:
-                            a.append(names[ii[x]]), b.append(node[at[y]]), s.append(float(sims[x, y]))
-            yield _pairs((a, b, s))
+                    kinds, kind = np.unique([comp[k] for k in at], return_inverse=True)
+                    hits = q[c] @ v.T >= least
+                    for x in np.flatnonzero(hits.any(1)).tolist():
+                        own = np.flatnonzero(hits[x])
+                        own = own[[node[at[y]] != names[ii[x]] for y in own.tolist()]]
+                        some, first, n = np.unique(kind[own], return_index=True, return_counts=True)
+                        for k, f, m in zip(some.tolist(), first.tolist(), n.tolist(), strict=True):
+                            seen.setdefault((ii[x], int(kinds[k])), [node[at[own[f]]], 0])[1] += m
+        rows = [(names[i], b, n, comps[i] == k) for (i, k), (b, n) in seen.items()]
+        kinds_ = (pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+        yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate(kinds_)], ["a", "b", "n", "same"])
 
     return audit
 
@@ -264,7 +272,9 @@ def near_embeddings(vectors: DataFrame, *, least: float = 0.98, neighbours: int
     raw = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("embedding"))
     rows = scratch.save(raw.mapInArrow(_unit, "id long, label string, dim int, unit binary"))
     usable = rows.where("unit IS NOT NULL AND label IS NOT NULL AND id IS NOT NULL")
-    classes = scratch.save(usable.groupBy("label", "dim", "unit").agg(F.min("id").alias("node"), F.count("*").alias("weight")))
+    # A class of equal vectors is a node of its own, whatever ids its rows have.
+    classes = usable.groupBy("label", "dim", "unit").agg(F.min("id").alias("id"), F.count("*").alias("weight"))
+    classes = scratch.save(classes.withColumn("node", F.monotonically_increasing_id()))
     classes = classes.withColumn("cell", F.concat_ws(":", F.col("dim").cast("string"), "label"))
     units = classes.select("node", "unit")
 
@@ -314,17 +324,15 @@ def near_embeddings(vectors: DataFrame, *, least: float = 0.98, neighbours: int
             links = scratch.save(links.union(met).distinct())
             roots = scratch.save(connected_components(links, scratch))
         # The audit's queries are `audit` classes, and four times as many until they see `seen` links; at most 16 times `audit`.
+        placed = classes.join(roots, "node", "left").select("node", "cell", "unit", F.coalesce("component", "node").alias("comp"))
         for size in (audit, 4 * audit, 16 * audit):
-            asked = classes.orderBy(F.xxhash64("node"), "node").limit(size).select("node", "cell", "unit").collect()
-            true = scratch.save(classes.select("node", "cell", "unit").mapInArrow(_auditor(*([r[c] for r in asked] for c in ("node", "cell", "unit")), least), "a long, b long, sim double"))
-            if len(asked) < size or len(true.limit(seen).take(seen)) >= seen:
+            asked = placed.orderBy(F.xxhash64("unit"), "node").limit(size).collect()
+            true = scratch.save(placed.mapInArrow(_auditor(*([r[c] for r in asked] for c in ("node", "cell", "unit", "comp")), least), "a long, b long, n long, same boolean"))
+            n, hit = true.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("same"), F.col("n"))), F.lit(0))).first()
+            if len(asked) < size or n >= seen:
                 break
-        ca = roots.select(F.col("node").alias("a"), F.col("component").alias("ca"))
-        cb = roots.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-        same = F.coalesce("ca", "a") == F.coalesce("cb", "b")
-        n, hit = true.join(ca, "a", "left").join(cb, "b", "left").agg(F.count("*"), F.count_if(same)).first()
         if hit < n:
-            links = scratch.save(links.union(true.select("a", "b")).distinct())
+            links = scratch.save(links.union(true.where("NOT same").select("a", "b")).distinct())
             roots = scratch.save(connected_components(links, scratch))
         _log.info("the audit saw %d links, of which %d join one component", n, hit)
         if hit >= recall * n:
@@ -342,9 +350,21 @@ def near_embeddings(vectors: DataFrame, *, least: float = 0.98, neighbours: int
     sent = sent.select("comp", F.col("x").alias("i"), F.col("y").alias("j"), "side", "node", "unit", "weight")
     n = sent.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j", "side", "node").mapInArrow(_counts(least), "node long, n long")
     n = n.groupBy("node").agg(F.sum("n").alias("n"))
-    full = classes.join(n, "node", "left").join(roots, "node", "left").select("label", "dim", "unit", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "node").alias("component"))
-    out = rows.where("id IS NOT NULL").join(full, ["label", "dim", "unit"], "left")
-    out = out.select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+    full = scratch.save(classes.join(n, "node", "left").select("label", "dim", "unit", "node", "id", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links")))
+    each = scratch.save(rows.where("id IS NOT NULL").join(full.drop("id"), ["label", "dim", "unit"], "left").select("id", "node", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))
+    # Rows of one id are one for reachability: their classes are joined, and rows that link with nothing follow.
+    same = each.groupBy("id").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("c")).where("c > 1 AND lo IS NOT NULL").select("id", "lo", "hi")
+    same = scratch.save(same)
+    if same.where("lo < hi").take(1):
+        more = each.join(same.where("lo < hi"), "id").where("node > lo").select("node", "lo")
+        roots = scratch.save(connected_components(more.union(roots), scratch))
+    named = full.select("node", "id").join(roots, "node", "left").withColumn("root", F.coalesce("component", "node"))
+    named = named.join(scratch.save(named.groupBy("root").agg(F.min("id").alias("component_id"))), "root").select("node", "component_id")
+    out = each.join(named, "node", "left")
+    if same.take(1):
+        of = named.join(same.select(F.col("lo").alias("node"), "id"), "node").select("id", F.col("component_id").alias("shared"))
+        out = out.join(of, "id", "left").withColumn("component_id", F.coalesce("component_id", "shared"))
+    out = out.select("id", "n_links", F.coalesce("component_id", "id").alias("component_id"))
     none = rows.where("id IS NULL").select("id", F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("long").alias("component_id"))
     both = out.union(none)
     return both.select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
