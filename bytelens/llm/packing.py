@@ -3,7 +3,8 @@
 A piece takes tokens, one of the document places and attention cost (its length squared). Pieces are taken by
 falling length; each goes to the open sequence that can hold it in every capacity and scores best, by the norm of
 what would be left or by the dot product of piece and room. Groups are packed apart; the sequences that a group
-left badly filled are opened again and packed with those of other groups, level by level.
+left worst filled are opened again and packed with those of other groups, level by level. A group opens only so many that
+those of all groups that meet are one group's pieces again, so no group grows, whatever the lengths are.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bytelens.llm.scratch import Scratch
+from bytelens.llm.tidy import small_batches
 from bytelens.session import ship
 
 
@@ -53,7 +55,16 @@ def best_fit(lengths: np.ndarray, *, tokens: int, documents: int, attention: flo
     return out
 
 
-def _pack(level: int, last: bool, refill: float, o: dict):
+def _closed(fill: np.ndarray, count: np.ndarray, *, full: float, most: int) -> np.ndarray:
+    """Which sequences are done: those filled to ``full``, and of the others all but the worst filled, of ``most`` pieces together."""
+    order = np.argsort(fill, kind="stable")
+    again = (fill[order] < full) & (np.cumsum(count[order]) <= most)
+    done = np.ones(len(fill), bool)
+    done[order[again]] = False
+    return done
+
+
+def _pack(level: int, last: bool, refill: float, most: int, o: dict):
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "_row", "piece"], ascending=[False, True, True], kind="stable")
         n = pdf["length"].to_numpy(np.int64)
@@ -65,7 +76,7 @@ def _pack(level: int, last: bool, refill: float, o: dict):
         base = np.maximum.accumulate(np.where(first, ends - n[order], 0))
         place = np.empty(len(n), np.int64)
         place[order] = ends - n[order] - base
-        done = np.ones(len(n), bool) if last else fill[bins] >= refill * o["tokens"]
+        done = np.ones(len(n), bool) if last else _closed(fill, np.bincount(bins), full=refill * o["tokens"], most=most)[bins]
         group = int(pdf["_group"].iloc[0])
         return pdf.assign(sequence_id=(level << 58) + (group << 24) + bins, offset=place, _done=done)
 
@@ -77,8 +88,10 @@ def pack_pieces(pieces: DataFrame, *, tokens: int = 4096, documents: int | None
 
     ``documents`` and ``attention`` are the other two capacities; left out they are as loose as ``tokens`` makes
     them. Groups are cut by a hash, so equal lengths, repeated rows and hot sources spread; a group holds about
-    ``group_rows`` pieces. No pieces give no rows.
+    ``group_rows`` pieces at every level. Sequences under ``refill`` of the tokens are opened again, the worst filled first, as
+    far as their pieces are one in ``fan`` of ``group_rows``. No pieces give no rows.
     """
+    ship(pieces.sparkSession)
     scratch = scratch or Scratch(pieces.sparkSession)
     o = {"tokens": tokens, "documents": documents or tokens, "attention": attention or float(tokens) ** 2, "weights": weights, "score": score}
     alone = pieces.where(F.col("length") == tokens)
@@ -92,7 +105,7 @@ def pack_pieces(pieces: DataFrame, *, tokens: int = 4096, documents: int | None
     level = 0
     while n:
         last = groups == 1
-        made = current.groupBy("_group").applyInPandas(_pack(level, last, refill, o), schema + ", _group long, sequence_id long, offset long, _done boolean")
+        made = current.groupBy("_group").applyInPandas(_pack(level, last, refill, max(1, group_rows // fan), o), schema + ", _group long, sequence_id long, offset long, _done boolean")
         made = scratch.save(made)
         out = out.union(made.where("_done").drop("_group", "_done"))
         if last:
@@ -150,7 +163,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, *, drops_space: bool, tokens
     Each row of docs is packed once, repeated rows too; extra columns are ignored; no documents give no rows.
     """
     scratch = scratch or Scratch(docs.sparkSession)
-    pieces = scratch.save(cut_documents(docs, tokenizer, drops_space=drops_space, id_col=id_col, text_col=text_col, end_id=end_id, tokens=tokens, keep_ids=keep_ids))
+    with small_batches(docs.sparkSession):
+        pieces = scratch.save(cut_documents(docs, tokenizer, drops_space=drops_space, id_col=id_col, text_col=text_col, end_id=end_id, tokens=tokens, keep_ids=keep_ids))
     slim = pieces.select("_row", "piece", "length")
     placed = pack_pieces(slim, tokens=tokens, scratch=scratch, **options).drop("length")
     return pieces.join(placed, ["_row", "piece"]).drop("_row")
