@@ -180,9 +180,9 @@ def test_stages_on_awkward_tables(spark, tmp_path):
     text = lambda i: " ".join(random.Random(i).choices(words, k=40))
     base = [(i, text(i) + (" moron" if i % 4 == 0 else ""), "en", "s") for i in range(60)]
     base += [(1, text(111), "en", "s"), (1, text(1), "en", "s"), (None, text(112), None, None), (None, None, None, None), (70, "", "en", "s"), (71, " ".join(text(i) for i in range(500, 900)), "en", "t")]
-    clash = "score double, _text string, text_hash string, key string, _row int, _id int, _n int, comp string, node int, n_removed int, copies int, removed string"
+    clash = "score double, _text string, text_hash string, key string, _row int, _id int, _n int, comp string, node int, n_removed int, copies int, removed string, m map<string,int>"
     kind = "doc_id long, text string, lang string, source string, n_chars long, " + clash
-    extra = (0.5, "x", "y", "z", 1, 2, 3, "c", 4, 5, 6, "r")
+    extra = (0.5, "x", "y", "z", 1, 2, 3, "c", 4, 5, 6, "r", {"k": 1})
     full = spark.createDataFrame([(*r, len(r[1] or ""), *extra) for r in base], kind)
     for docs, some in ((full.limit(0), False), (full, True)):
         at = docs
