@@ -207,7 +207,7 @@ def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     once = j.where("_rows = 1").select("_row", F.col("_copies").alias("_n"))
     # Of several equal rows each distinct one is counted, and the copies are shared out along their running counts.
     some = j.where("_rows > 1").groupBy("_id", "_hash", "_rows", "_copies", "_row").agg(F.count("*").alias("_c"))
-    run = Window.partitionBy("_id", "_hash").orderBy(F.xxhash64("_row"), F.to_json("_row")).rowsBetween(Window.unboundedPreceding, 0)
+    run = Window.partitionBy("_id", "_hash").orderBy(F.xxhash64(F.to_json("_row")), F.to_json("_row")).rowsBetween(Window.unboundedPreceding, 0)
     upto = F.sum("_c").over(run)
     share = lambda n: F.floor(n.cast("decimal(38,0)") * F.col("_copies") / F.col("_rows")).cast("long")
     some = some.withColumn("_upto", upto).select("_row", (share(F.col("_upto")) - share(F.col("_upto") - F.col("_c"))).alias("_n"))
