@@ -93,3 +93,41 @@ def chunks(raw: bytes, sizes: ChunkSizes) -> list[tuple[int, int, int]]:
 def first_cut(raw: bytes, sizes: ChunkSizes) -> int:
     """Length of the first chunk; 0 of an empty payload."""
     return next((b for _, b, _ in chunks(raw[: sizes.max_size], sizes)), 0)
+
+
+class OpenChunks:
+    """The chunks of a payload that comes in pieces: cuts are those of the whole, given out as soon as they are sure.
+
+    Between pieces it holds three numbers: the hash, how many bytes have come and where the open chunk begins.
+    """
+
+    def __init__(self, sizes: ChunkSizes, h: int = 0, read: int = 0, start: int = 0):
+        self.sizes, self.h, self.read, self.start = sizes, h, read, start
+
+    def feed(self, piece: bytes) -> list[tuple[int, int, int]]:
+        """(start, end, hash at the end) of the chunks that end in this piece."""
+        if not piece:
+            return []
+        hs = np.fromiter(accumulate(piece, gear_update, initial=self.h), np.uint64, len(piece) + 1)[1:]
+        strict, loose = self.sizes.masks()
+        early = np.flatnonzero((hs & np.uint64(strict)) == 0) + self.read
+        late = np.flatnonzero((hs & np.uint64(loose)) == 0) + self.read if self.sizes.level else early
+        normal = self.sizes.avg_size if self.sizes.level else self.sizes.max_size
+        out, begin = [], self.read
+        self.read, self.h = self.read + len(piece), int(hs[-1])
+        while True:
+            full = self.start + self.sizes.max_size
+            end = full
+            for places, lo, hi in ((early, self.start + self.sizes.min_size, self.start + normal), (late, self.start + max(normal, self.sizes.min_size), full)):
+                k = np.searchsorted(places, lo)
+                if k < len(places) and places[k] < min(hi, full):
+                    end = int(places[k]) + 1
+                    break
+            if end > self.read:
+                return out
+            out.append((self.start, end, int(hs[end - 1 - begin])))
+            self.start = end
+
+    def close(self) -> list[tuple[int, int, int]]:
+        """The last chunk, once the payload has ended."""
+        return [(self.start, self.read, self.h)] if self.start < self.read else []

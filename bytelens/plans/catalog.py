@@ -11,7 +11,7 @@ from bytelens.functions import columns as fc
 from bytelens.functions import native as fn
 from bytelens.functions.chunking import ChunkSizes
 from bytelens.operators import content, histograms, neighbours, sketching
-from bytelens.plans import states  # noqa: F401  (registers its queries)
+from bytelens.plans import states, stores  # noqa: F401  (register their queries)
 from bytelens.plans.registry import ORACLE_SQL, QUERIES, query, table
 from bytelens.scratch import shared_folder
 
