@@ -278,13 +278,20 @@ def benchmark_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
         runs = F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice("w", i, F.lit(8)), " "))
         return t.where(last >= 1).select(id_col, F.explode(F.array_distinct(runs)).alias("g"))
 
-    docs = table(spark, sf_dir, "documents")
-    items = Scratch(spark).save(grams(table(spark, sf_dir, "benchmark"), "item_id"))
+    def hashes(t: DataFrame, id_col: str) -> DataFrame:
+        """A hash for each run, of the hashes of its words, so that no run is put together."""
+        one = F.array(F.struct(F.transform(F.regexp_extract_all(F.lower("text"), F.lit(r"[^\s]+"), F.lit(0)), lambda w: F.xxhash64(w)).alias("h")))
+        at = lambda h: F.when(F.size(h) > 7, F.sequence(F.lit(0), F.size(h) - 8))
+        runs = F.flatten(F.transform(one, lambda s: F.transform(at(s["h"]), lambda i: F.xxhash64(*[F.get(s["h"], i + k) for k in range(8)]))))
+        return t.select(id_col, F.explode(runs).alias("h"))
+
+    docs, bench = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    scratch = Scratch(spark)
+    items = scratch.save(grams(bench, "item_id"))
     # Documents that hold the hash of any run of the benchmark, from hashes alone; only theirs are compared as text.
-    known = items.select(F.xxhash64("g").alias("h")).distinct()
-    known = F.broadcast(known) if items.count() <= 1_000_000 else known
-    hashes = grams(docs, "doc_id").select("doc_id", F.xxhash64("g").alias("h"))
-    some = hashes.join(known, "h", "left_semi").select("doc_id").distinct()
+    known = scratch.save(hashes(bench, "item_id").select("h").distinct())
+    known = F.broadcast(known) if known.count() <= 1_000_000 else known
+    some = hashes(docs, "doc_id").join(known, "h", "left_semi").select("doc_id").distinct()
     return grams(docs.join(some, "doc_id", "left_semi"), "doc_id").join(items, "g").groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"))
 
 

@@ -246,4 +246,4 @@ def simhash_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Not SQL: documents whose 64-bit signatures over words differ in three bits at most; tests hold the join against all pairs."""
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)))
     d = table(spark, sf_dir, "documents").where(F.size(words) > 20).select("doc_id", fc.simhash_items(words).alias("s"))
-    return neighbours.simhash_pairs(d, "doc_id", F.col("s"), most=3, bands=8)
+    return neighbours.simhash_pairs(d, "doc_id", F.col("s"), most=3)

@@ -199,3 +199,31 @@ def test_queries_equal_their_sql(spark, name):
     want = sorted(tuple(dict(zip([d[0] for d in cur.description], r, strict=True))[c] for c in names) for r in cur.fetchall())
     got = QUERIES[name](spark, SF)
     assert sorted(got.columns) == names and sorted(tuple(r[c] for c in names) for r in got.collect()) == want
+
+
+def test_sets_of_rows_that_share_an_id(spark):
+    rows = [(5, list("abcdefghij")), (5, list("klmnopqrst")), (1, list("abcdefghijz")), (2, list("klmnopqrstz")), (3, list("abcdefghij")), (4, None), (6, [])]
+    got = {(r["a"], r["b"]): round(r["jaccard"], 6) for r in neighbours.set_similarity_join(spark.createDataFrame(rows, "id long, w array<string>"), "id", F.col("w"), 0.8).collect()}
+    assert got == {(1, 5): round(10 / 11, 6), (2, 5): round(10 / 11, 6), (1, 3): round(10 / 11, 6), (3, 5): 1.0}
+    assert neighbours.set_similarity_join(spark.createDataFrame([], "id long, w array<string>"), "id", F.col("w"), 0.8).count() == 0
+
+
+def test_simhash_keys_meet_near_signatures_and_few_others(spark):
+    rng = random.Random(3)
+    plain = [rng.getrandbits(64) for _ in range(20_000)]
+    near = [x ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(4))) for x in plain[:300]]
+    rows = [(k, hashes.signed(x)) for k, x in enumerate(plain + near)]
+    df = spark.createDataFrame(rows, "id long, s long").repartition(8)
+    got = {(r["a"], r["b"]) for r in neighbours.simhash_pairs(df, "id", F.col("s")).collect()}
+    assert {(k, 20_000 + k) for k in range(300)} <= got
+    keys = df.select(F.posexplode(neighbours.simhash_keys(F.col("s"), 3, 6)).alias("band", "key")).groupBy("band", "key").count()
+    meet = keys.select(F.sum(F.expr("count * (count - 1) div 2"))).first()[0]
+    assert meet < len(rows)  # a pair in some thousand of unlike ones, where eight blocks of eight bits made six million
+
+
+def test_nearest_in_several_passes(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(60, 5))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    one, many = ({(r["query_id"], r["rank"], r["id"]) for r in neighbours.nearest(df, df, 3, most=m).collect()} for m in (1000, 7))
+    assert one == many and len(one) == 180
