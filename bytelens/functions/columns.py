@@ -461,3 +461,52 @@ def distance_code(d: Column) -> Column:
         return pa.array(np.where(np.isnan(x), np.uint32(0xFFFFFFFF), code).astype(np.int64), mask=col.is_null().to_numpy(zero_copy_only=False))
 
     return arrow_udf(g, "bigint")(d.cast("float"))
+
+
+# Sets in containers ------------------------------------------------------------------------------
+
+
+def container_set(values: Column) -> Column:
+    """The set of an array of longs in its binary form (see ``functions.containers``); nulls and what isn't 32 bits are left out."""
+    from bytelens.functions import containers
+
+    def f(col: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else containers.pack(np.array([v for v in x if v is not None], np.int64)) for x in col.to_pylist()], pa.binary())
+
+    return arrow_udf(f, "binary")(values)
+
+
+def _container(kind: str, out: pa.DataType, name: str, *args) -> Callable[[Column], Column]:
+    from bytelens.functions import containers
+
+    return _each(lambda x: getattr(containers, name)(x, *args), kind, out)
+
+
+def container_members(c: Column) -> Column:
+    """The numbers, rising."""
+    from bytelens.functions import containers
+
+    return _each(lambda x: containers.unpack(x).tolist(), *_LONGS)(c)
+
+
+def container_size(c: Column) -> Column:
+    return _container("bigint", pa.int64(), "cardinality")(c)
+
+
+def container_has(c: Column, x: int) -> Column:
+    return _container("boolean", pa.bool_(), "contains", x)(c)
+
+
+def container_problem(c: Column) -> Column:
+    """What is wrong with a set's form; null of a sound one and of null."""
+    return _container("string", pa.string(), "problem")(c)
+
+
+def container_merge(op: str, a: Column, b: Column) -> Column:
+    """and, or, minus or xor of two sets, without leaving the binary form; null where either is."""
+    from bytelens.functions import containers
+
+    def f(x: pa.Array, y: pa.Array) -> pa.Array:
+        return pa.array([None if p is None or q is None else containers.merge(op, p, q) for p, q in zip(x.to_pylist(), y.to_pylist(), strict=True)], pa.binary())
+
+    return arrow_udf(f, "binary")(a, b)

@@ -119,3 +119,29 @@ def pattern_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{4,}"), F.lit(0))).alias("w"))
     found = patterns.pattern_hits(table(spark, sf_dir, "documents"), fc.utf8("text"), words.select(fc.utf8(F.lower("w")).alias("pattern")))
     return found.select(F.decode("pattern", "UTF-8").alias("pattern"), F.col("n_payloads").alias("n_documents"))
+
+
+@query("""WITH s AS (SELECT l_suppkey AS k, list_sort(list_distinct(list(l_orderkey))) AS o FROM lineitem GROUP BY ALL), p AS (SELECT a.k, a.o AS x, coalesce(b.o, []) AS y FROM s a LEFT JOIN s b ON b.k = a.k + 1)
+SELECT k AS l_suppkey, len(x)::BIGINT AS n, len(list_intersect(x, y))::BIGINT AS both, len(list_distinct(list_concat(x, y)))::BIGINT AS either, (len(x) - len(list_intersect(x, y)))::BIGINT AS alone,
+  (len(x) + len(y) - 2 * len(list_intersect(x, y)))::BIGINT AS one, coalesce(list_sum(list_intersect(x, y)), 0)::BIGINT AS total, true AS sound FROM p""")
+def container_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders of each supplier as a set in containers, merged with the next supplier's."""
+    own = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.collect_set("l_orderkey").alias("o")).select(F.col("l_suppkey").cast("long").alias("k"), fc.container_set(F.col("o").cast("array<bigint>")).alias("x"))
+    own = Scratch(spark).save(own)
+    none = spark.range(1).select(fc.container_set(F.array().cast("array<bigint>")).alias("none"))
+    pairs = own.join(own.select((F.col("k") - 1).alias("k"), F.col("x").alias("y")), "k", "left").crossJoin(F.broadcast(none)).select("k", "x", F.coalesce("y", "none").alias("y"))
+    met = pairs.select("k", "x", *[fc.container_merge(op, F.col("x"), F.col("y")).alias(op) for op in ("and", "or", "minus", "xor")])
+    size = lambda c, name: fc.container_size(F.col(c)).alias(name)
+    total = F.aggregate(fc.container_members(F.col("and")), F.lit(0).cast("long"), lambda s, v: s + v).alias("total")
+    sound = F.coalesce(*[fc.container_problem(F.col(c)) for c in ("x", "and", "or", "minus", "xor")]).isNull().alias("sound")
+    return met.select(F.col("k").alias("l_suppkey"), size("x", "n"), size("and", "both"), size("or", "either"), size("minus", "alone"), size("xor", "one"), total, sound)
+
+
+@query("SELECT o_orderpriority AS priority, count(DISTINCT o_custkey) AS n, sum(DISTINCT o_custkey)::BIGINT AS total FROM orders GROUP BY ALL")
+def container_unions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The customers of each order priority, from one set for each day's orders."""
+    from bytelens.operators.sets import union_sets
+
+    days = table(spark, sf_dir, "orders").groupBy("o_orderpriority", "o_orderdate").agg(F.collect_set(F.col("o_custkey").cast("long")).alias("c"))
+    one = union_sets(days.select("o_orderpriority", fc.container_set(F.col("c")).alias("c")), ["o_orderpriority"], "c")
+    return one.select(F.col("o_orderpriority").alias("priority"), fc.container_size(F.col("c")).alias("n"), F.aggregate(fc.container_members(F.col("c")), F.lit(0).cast("long"), lambda s, v: s + v).alias("total"))

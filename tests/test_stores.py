@@ -186,7 +186,7 @@ def test_posting_blocks(spark):
 
 
 @tables
-@pytest.mark.parametrize("name", ["chunk_boundaries", "streamed_chunks", "streamed_digests", "directory_ranks", "directory_selects", "posting_blocks_all_of", "pattern_documents"])
+@pytest.mark.parametrize("name", ["chunk_boundaries", "streamed_chunks", "streamed_digests", "directory_ranks", "directory_selects", "posting_blocks_all_of", "pattern_documents", "container_operations", "container_unions"])
 def test_queries_equal_their_sql(spark, name):
     from bytelens.plans.registry import ORACLE_SQL, QUERIES
     from bytelens.plans import stores  # noqa: F401
@@ -227,3 +227,50 @@ def test_nearest_in_several_passes(spark):
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
     one, many = ({(r["query_id"], r["rank"], r["id"]) for r in neighbours.nearest(df, df, 3, most=m).collect()} for m in (1000, 7))
     assert one == many and len(one) == 180
+
+
+def some_sets(rng):
+    dense = np.flatnonzero(rng.random(200_000) < 0.5)
+    return [np.zeros(0, int), np.array([0]), np.array([65535, 65536]), np.arange(70_000), dense, np.sort(rng.choice(1 << 32, 9000, replace=False)), np.arange(0, 1 << 18, 3), np.r_[np.arange(100), np.arange(5000, 5400), [(1 << 32) - 1]], dense[::7], np.arange(0, 65536, 16), np.arange(0, 65536 - 16, 16)]
+
+
+def test_container_algebra():
+    from bytelens.functions import containers as ct
+
+    sets = some_sets(np.random.default_rng(3))
+    packed = [ct.pack(s) for s in sets]
+    plain = {"and": np.intersect1d, "or": np.union1d, "minus": np.setdiff1d, "xor": np.setxor1d}
+    for s, raw in zip(sets, packed, strict=True):
+        assert (ct.unpack(raw) == s).all() and ct.cardinality(raw) == len(s) and ct.problem(raw) is None
+        for x in [0, 1, 65535, 65536, 5399, 5400, (1 << 32) - 1, *s[:3].tolist()]:
+            assert ct.contains(raw, int(x)) == bool((s == x).any())
+    for (s, a), (t, b) in ((x, y) for x in zip(sets, packed, strict=True) for y in zip(sets, packed, strict=True)):
+        for op, f in plain.items():
+            got = ct.merge(op, a, b)
+            assert got == ct.pack(f(s, t)) and ct.problem(got) is None  # one form for each set
+    assert ct.union(packed) == ct.pack(np.unique(np.concatenate(sets))) and ct.union([]) == ct.pack(np.zeros(0, int))
+    kinds = {kind for raw in packed for _, kind, _, _ in ct._read(raw)}
+    assert kinds == {ct.ARRAY, ct.BITMAP, ct.RUNS}
+    # Broken forms are seen.
+    raw = ct.pack(np.array([1, 5, 9, 70_000]))
+    swapped = bytearray(raw)
+    swapped[-8:-6], swapped[-6:-4] = raw[-6:-4], raw[-8:-6]
+    for bad in (b"", b"xx" + raw[2:], raw[:-1], raw + b"\0", raw[:10], bytes(swapped), raw[:6] + raw[6 + ct._HEAD.itemsize : 6 + 2 * ct._HEAD.itemsize] + raw[6 : 6 + ct._HEAD.itemsize] + raw[6 + 2 * ct._HEAD.itemsize :]):
+        assert ct.problem(bad) is not None
+
+
+def test_container_columns_and_unions(spark):
+    from bytelens.operators.sets import union_sets
+
+    rows = [(1, [5, 1, None, -3, 1 << 40], [5]), (2, [], [7]), (3, None, [1]), (4, list(range(100)), list(range(50, 150)))]
+    d = spark.createDataFrame(rows, "id int, a array<long>, b array<long>").withColumn("x", fc.container_set(F.col("a"))).withColumn("y", fc.container_set(F.col("b")))
+    for op, f in (("and", lambda p, q: p & q), ("or", lambda p, q: p | q), ("minus", lambda p, q: p - q), ("xor", lambda p, q: p ^ q)):
+        got = {r["id"]: r["m"] for r in d.select("id", fc.container_members(fc.container_merge(op, F.col("x"), F.col("y"))).alias("m")).collect()}
+        assert got == {i: None if a is None else sorted(f({v for v in a if v is not None and 0 <= v < 1 << 32}, set(b))) for i, a, b in rows}
+    assert [r[0] for r in d.orderBy("id").select(fc.container_has(F.col("x"), 5)).collect()] == [True, False, None, True]
+    assert [r[0] for r in d.select(fc.container_problem(F.col("x")).alias("p")).where("p IS NOT NULL").collect()] == []
+    many = [(k % 5, [k, 3 * k, 70_000 + k]) for k in range(400)] + [(9, None)]
+    e = spark.createDataFrame(many, "g int, v array<long>").repartition(6).select("g", fc.container_set(F.col("v")).alias("s"))
+    for most in (1, 10_000):
+        got = {r["g"]: r["m"] for r in union_sets(e, ["g"], "s", most=most).select("g", fc.container_members(F.col("s")).alias("m")).collect()}
+        assert got == {g: sorted({x for h, v in many if h == g and v for x in v}) for g in range(5)}
