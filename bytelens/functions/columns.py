@@ -510,3 +510,10 @@ def container_merge(op: str, a: Column, b: Column) -> Column:
         return pa.array([None if p is None or q is None else containers.merge(op, p, q) for p, q in zip(x.to_pylist(), y.to_pylist(), strict=True)], pa.binary())
 
     return arrow_udf(f, "binary")(a, b)
+
+
+def run_totals(state: Column) -> Column:
+    """The run lengths that a state of ``operators.segments`` stands for, in the form of ``run_lengths``."""
+    from bytelens.operators.segments import runs_total
+
+    return _each(lambda x: _fields(_RUNS, runs_total(x)), *_RUNS)(state)

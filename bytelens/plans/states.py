@@ -247,3 +247,41 @@ def simhash_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)))
     d = table(spark, sf_dir, "documents").where(F.size(words) > 20).select("doc_id", fc.simhash_items(words).alias("s"))
     return neighbours.simhash_pairs(d, "doc_id", F.col("s"), most=3)
+
+
+def _word(k: int, n: int) -> str:
+    """The number that n of the bytes ``b`` from 8 * k on stand for, the first lowest."""
+    return f"list_sum(list_transform(range({n}), lambda i: b[{8 * k} + i + 1]::HUGEINT << (8 * i)::INT))::UHUGEINT"
+
+
+def _signed(h: str) -> str:
+    return f"(CASE WHEN {h} >= 9223372036854775808 THEN {h}::HUGEINT - 18446744073709551616 ELSE {h}::HUGEINT END)::BIGINT"
+
+
+@query(f"""WITH c AS (SELECT c_custkey, list_transform(range(length(c_name)), lambda i: ascii(substr(c_name, i + 1, 1))::BIGINT) AS b FROM customer),
+{_steps("x", "c", f"xor(xor(7::UHUGEINT, (18::UHUGEINT * 11400714819323198485::UHUGEINT) % {_M}), {_word(0, 8)})")},
+{_steps("y", "(SELECT c_custkey, b, h AS g FROM x)", f"xor(g, {_word(1, 8)})")},
+{_steps("z", "(SELECT c_custkey, b, h AS g FROM y)", f"xor(g, {_word(2, 2)})")},
+f AS (SELECT c_custkey, h, list_reduce(list_transform(b, lambda v: v::UHUGEINT), lambda a, v: (xor(a, v) * 1099511628211::UHUGEINT) % {_M}, 14695981039346656037::UHUGEINT) AS fnv,
+  list_reduce(list_prepend(0::BIGINT, b), lambda a, v: list_reduce(list_prepend(xor(a, v), list_transform(range(8), lambda i: 0::BIGINT)), lambda c, w: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 2197175160) ELSE c >> 1 END)) AS crc FROM z)
+SELECT c_custkey, {_signed("fnv")} AS fnv, {_signed("h")} AS mix, crc FROM f""")
+def hash_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hashes of the customers' names, 18 letters each."""
+    d = table(spark, sf_dir, "customer").select("c_custkey", fc.utf8("c_name").alias("x"))
+    return d.select("c_custkey", fc.fnv1a64(F.col("x")).alias("fnv"), fc.mix64(F.col("x"), 7).alias("mix"), fc.crc32c_raw(F.col("x")).cast("long").alias("crc"))
+
+
+@query("""WITH p AS (SELECT p_partkey AS k, CASE p_partkey % 4 WHEN 0 THEN repeat('00', 256) WHEN 1 THEN repeat('00', 255) || '78'
+    WHEN 2 THEN list_aggregate(list_transform(range(64), lambda i: sha256(p_partkey || '-' || i)), 'string_agg', '') ELSE lower(hex(encode(p_name))) END AS x FROM part),
+b AS (SELECT k, i, x[2 * i - 1:2 * i] AS h FROM (SELECT *, unnest(range(1, length(x) // 2 + 1)) AS i FROM p)),
+n AS (SELECT k, h, count(*) AS c FROM b GROUP BY ALL), e AS (SELECT k, sum(c) AS n, -sum(c * log2(c)) / sum(c) + log2(sum(c)) AS h1, coalesce(sum(c) FILTER (h = '00'), 0) AS zeros FROM n GROUP BY k),
+r AS (SELECT k, run, count(*) AS c FROM (SELECT k, sum(new) OVER (PARTITION BY k ORDER BY i) AS run FROM (SELECT k, i, CASE WHEN h = lag(h) OVER (PARTITION BY k ORDER BY i) THEN 0 ELSE 1 END AS new FROM b)) GROUP BY ALL),
+l AS (SELECT k, coalesce(sum(c) FILTER (c >= 4), 0) AS held FROM r GROUP BY k)
+SELECT k AS p_partkey, n::BIGINT AS total, zeros = n AS zero_filled, zeros * 100 >= 95 * n AS sparse, h1 >= 7.9 AND held / n < 0.01 AS skips_compression FROM e JOIN l USING (k)""")
+def made_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Zeros, nearly zeros, digests and names, by the part's number: every predicate is true of some and false of others."""
+    k = F.col("p_partkey")
+    digests = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.sha2(F.concat_ws("-", k.cast("string"), i.cast("string")), 256)), "")
+    made = F.when(k % 4 == 0, F.repeat(F.lit("00"), 256)).when(k % 4 == 1, F.concat(F.repeat(F.lit("00"), 255), F.lit("78"))).when(k % 4 == 2, digests).otherwise(F.hex(fc.utf8("p_name")))
+    d = table(spark, sf_dir, "part").select("p_partkey", F.unhex(made).alias("x")).select("p_partkey", fc.structure(F.col("x")).alias("s"), fc.extent_fingerprint(F.col("x")).alias("f"))
+    return d.select("p_partkey", F.col("s.total").cast("long").alias("total"), fn.is_zero_filled(F.col("s")).alias("zero_filled"), fn.is_sparse(F.col("s")).alias("sparse"), fn.skips_compression(F.col("f")).alias("skips_compression"))

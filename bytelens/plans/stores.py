@@ -59,14 +59,18 @@ def _streamed(spark: SparkSession, rows: DataFrame, files: int) -> tuple[DataFra
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in"), folder
 
 
+def _pieces(d: DataFrame, size: int) -> DataFrame:
+    """(key, seq, payload, last): documents cut into pieces of that many bytes; an empty one is one empty piece."""
+    n = F.greatest(F.lit(1), F.ceil(F.octet_length("raw") / size)).cast("int")
+    d = d.select(F.col("doc_id").alias("key"), fc.utf8(F.coalesce("text", F.lit(""))).alias("raw"))
+    cut = d.select("key", F.explode(F.sequence(F.lit(0), n - 1)).alias("seq"), "raw", n.alias("n"))
+    return cut.select("key", F.col("seq").cast("long").alias("seq"), F.substring("raw", F.col("seq") * size + 1, F.lit(size)).alias("payload"), (F.col("seq") == F.col("n") - 1).alias("last"))
+
+
 @query(_CHUNKS)
 def streamed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents in pieces of 1,000 bytes that arrive in four batches, in no order."""
-    raw = F.col("raw")
-    n = F.greatest(F.lit(1), F.ceil(F.octet_length(raw) / 1000)).cast("int")
-    d = table(spark, sf_dir, "documents").select("doc_id", fc.utf8(F.coalesce("text", F.lit(""))).alias("raw"))
-    cut = d.select("doc_id", F.explode(F.sequence(F.lit(0), n - 1)).alias("seq"), "raw", n.alias("n"))
-    cut = cut.select(F.col("doc_id").alias("key"), F.col("seq").cast("long").alias("seq"), F.substring("raw", F.col("seq") * 1000 + 1, F.lit(1000)).alias("payload"), (F.col("seq") == F.col("n") - 1).alias("last"))
+    cut = _pieces(table(spark, sf_dir, "documents"), 1000)
     stream, folder = _streamed(spark, cut, 4)
     run_once(sp.running_chunks(stream, SIZES), "append", f"{folder}/state", f"{folder}/out")
     return spark.read.parquet(f"{folder}/out").select(F.col("key").alias("doc_id"), "start", "end")
@@ -145,3 +149,39 @@ def container_unions(spark: SparkSession, sf_dir: str) -> DataFrame:
     days = table(spark, sf_dir, "orders").groupBy("o_orderpriority", "o_orderdate").agg(F.collect_set(F.col("o_custkey").cast("long")).alias("c"))
     one = union_sets(days.select("o_orderpriority", fc.container_set(F.col("c")).alias("c")), ["o_orderpriority"], "c")
     return one.select(F.col("o_orderpriority").alias("priority"), fc.container_size(F.col("c")).alias("n"), F.aggregate(fc.container_members(F.col("c")), F.lit(0).cast("long"), lambda s, v: s + v).alias("total"))
+
+
+#: Bytes of documents, one a row, as hexadecimal digits.
+_BYTES = "WITH d AS (SELECT doc_id, lang, hex(encode(text)) AS x FROM documents WHERE length(text) > 0), b AS (SELECT doc_id, lang, i, x[2 * i - 1:2 * i] AS h FROM (SELECT *, unnest(range(1, length(x) // 2 + 1)) AS i FROM d))"
+
+
+@query(_BYTES + """, e AS (SELECT *, CASE WHEN h = lag(h) OVER (PARTITION BY doc_id ORDER BY i) THEN 0 ELSE 1 END AS new FROM b),
+g AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM e), r AS (SELECT doc_id, run, count(*) AS n FROM g GROUP BY ALL)
+SELECT doc_id, sum(n)::BIGINT AS total, count(*) - 1 AS transitions, max(n) AS longest_run, count(*) FILTER (n >= 4) AS runs_ge4, coalesce(sum(n) FILTER (n >= 4), 0)::BIGINT AS bytes_in_runs FROM r GROUP BY doc_id""")
+def piece_run_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runs of whole documents, folded from pieces of 300 bytes."""
+    from bytelens.operators.segments import piece_runs
+
+    d = table(spark, sf_dir, "documents").where(F.length("text") > 0)
+    return piece_runs(_pieces(d, 300), fan=16).withColumnRenamed("key", "doc_id")
+
+
+@query(_BYTES + """, p AS (SELECT doc_id, h || lead(h, 1) OVER w || lead(h, 2) OVER w || lead(h, 3) OVER w AS g FROM b WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+c AS (SELECT doc_id, g, count(*) AS n FROM p WHERE g IS NOT NULL GROUP BY ALL) SELECT doc_id, count(*) AS distinct_grams, sum(n)::BIGINT AS observations, max(n) AS most FROM c GROUP BY doc_id""")
+def piece_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runs of four bytes of whole documents, from pieces of 300 bytes that know what stands before them."""
+    from bytelens.operators import histograms
+    from bytelens.operators.segments import with_context
+
+    d = table(spark, sf_dir, "documents").where(F.length("text") > 0)
+    h = histograms.ngram_histogram(with_context(_pieces(d, 300), 4), F.col("payload"), 4, ["key"])
+    return h.groupBy(F.col("key").alias("doc_id")).agg(F.count("*").alias("distinct_grams"), F.sum("cnt").alias("observations"), F.max("cnt").alias("most"))
+
+
+@query()
+def community_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Not SQL: communities of all supplier-part edges by rounds of merges; tests hold their modularity against merging one by one."""
+    from bytelens.operators.communities import communities
+
+    edges = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") + 10_000_000).alias("src"), F.col("l_partkey").alias("dst")).distinct()
+    return communities(edges)

@@ -186,7 +186,7 @@ def test_posting_blocks(spark):
 
 
 @tables
-@pytest.mark.parametrize("name", ["chunk_boundaries", "streamed_chunks", "streamed_digests", "directory_ranks", "directory_selects", "posting_blocks_all_of", "pattern_documents", "container_operations", "container_unions"])
+@pytest.mark.parametrize("name", ["chunk_boundaries", "streamed_chunks", "streamed_digests", "directory_ranks", "directory_selects", "posting_blocks_all_of", "pattern_documents", "container_operations", "container_unions", "piece_run_lengths", "piece_grams"])
 def test_queries_equal_their_sql(spark, name):
     from bytelens.plans.registry import ORACLE_SQL, QUERIES
     from bytelens.plans import stores  # noqa: F401
@@ -274,3 +274,29 @@ def test_container_columns_and_unions(spark):
     for most in (1, 10_000):
         got = {r["g"]: r["m"] for r in union_sets(e, ["g"], "s", most=most).select("g", fc.container_members(F.col("s")).alias("m")).collect()}
         assert got == {g: sorted({x for h, v in many if h == g and v for x in v}) for g in range(5)}
+
+
+@pytest.mark.parametrize("most,fan", [(1, 2), (3, 4), (50, 3), (400, 256)])
+def test_pieces_equal_the_whole(spark, most, fan):
+    from collections import Counter
+
+    from bytelens.functions import payload as pl
+    from bytelens.operators import histograms, segments
+
+    rng = random.Random(most)
+    whole = {k: bytes(rng.choice(b"aab") for _ in range(rng.randrange(0, 12 * most))) for k in range(8)} | {8: b"", 9: b"a" * (20 * most), 10: b"ab" * most}
+    rows = []
+    for k, raw in whole.items():
+        s = i = 0
+        while i < len(raw) or s == 0:
+            n = rng.randrange(0, most + 1)
+            rows.append((k, s, raw[i : i + n] or None))
+            i, s = i + n, s + 1
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "key int, seq long, payload binary")
+    got = {r["key"]: tuple(r)[1:] for r in segments.piece_runs(df, fan=fan).collect()}
+    assert got == {k: pl.runs(np.frombuffer(raw, np.uint8)) for k, raw in whole.items()}
+    for n in (1, 2, 4):
+        h = histograms.ngram_histogram(segments.with_context(df, n), F.col("payload"), n, ["key"])
+        want = Counter((k, int.from_bytes(raw[i : i + n], "little")) for k, raw in whole.items() for i in range(len(raw) - n + 1))
+        assert {(r["key"], r["gram"]): r["cnt"] for r in h.collect()} == want
