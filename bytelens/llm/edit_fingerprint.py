@@ -295,7 +295,23 @@ def _text_links(least: float, percent: int):
 
 
 #: A block of fingerprints has about so many rows; one of texts so many bytes.
-BLOCK_ROWS, TEXT_BYTES = 2048, 4_000_000
+BLOCK_ROWS, TEXT_BYTES, SMALL_STAR = 2048, 4_000_000, 64
+
+
+def _near_in_stars(star: DataFrame, least: float, scratch: Scratch) -> DataFrame:
+    """(grp, node) of members (grp, node, comp, words) that agree with one of another component in their star.
+
+    Stars of up to SMALL_STAR members are joined with themselves, which puts out near pairs alone; larger ones meet in blocks.
+    """
+    size = scratch.save(star.groupBy("grp").agg(F.count("*").alias("_n")).where("_n > 1"))
+    held = star.join(size, "grp")
+    small = held.where(F.col("_n") <= SMALL_STAR)
+    a, b = (small.select("grp", *[F.col(c).alias(c + k) for c in ("node", "comp", "words")]) for k in "ab")
+    near = (F.col("nodea") < F.col("nodeb")) & (F.col("compa") != F.col("compb")) & (agreement_of(F.col("wordsa"), F.col("wordsb")) >= least)
+    pairs = a.join(b.withColumnRenamed("grp", "_g"), (F.col("grp") == F.col("_g")) & near)
+    large = held.where(F.col("_n") > SMALL_STAR).drop("_n").withColumn("weight", F.lit(1))
+    blocks = block_pairs(large, _near(least), ("grp", "node"), scratch, block=BLOCK_ROWS)
+    return pairs.select("grp", F.explode(F.array("nodea", "nodeb")).alias("node")).union(blocks)
 
 
 def similar_texts(docs: DataFrame, printed: DataFrame, *, percent: int = 99, aim: float = 0.75, least: float = 0.6, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
@@ -337,7 +353,7 @@ def similar_texts(docs: DataFrame, printed: DataFrame, *, percent: int = 99, aim
     own = met.select("a", F.col("a").alias("b")).distinct()  # a lead is a member too
     star = scratch.save(split_stars(met.union(own), label, scratch).join(nodes.select("node", "words"), "node"))
     if star.take(1):
-        found = scratch.save(block_pairs(star.withColumn("weight", F.lit(1)), _near(least), ("grp", "node"), scratch, block=BLOCK_ROWS).distinct())
+        found = scratch.save(_near_in_stars(star, least, scratch).distinct())
         # Stars that share a member are one group from here on, so a text goes once to each block that it meets.
         one = connected_components(found.select("node", "grp"), scratch).select("node", F.col("component").alias("g"))
         part = found.select("node").distinct().join(one, "node", "left").select("node", F.coalesce("g", "node").alias("grp"))

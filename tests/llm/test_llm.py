@@ -391,6 +391,7 @@ def test_similar_texts_equal_all_pairs(spark, monkeypatch, block):
 
     monkeypatch.setattr(e, "BLOCK_ROWS", block)
     monkeypatch.setattr(e, "TEXT_BYTES", 512 * block)
+    monkeypatch.setattr(e, "SMALL_STAR", 5 if block == 8 else 64)
     rng = random.Random(10)
     rows = chains(rng) + [(900, None), (901, ""), (902, "x"), (903, "x"), (None, lone := prose(rng, 40)), (904, lone)]
     near = []
