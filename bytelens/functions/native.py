@@ -246,3 +246,21 @@ def gaps(sorted_values: Column) -> Column:
 def varint_len(v: Column) -> Column:
     """Bytes of the unsigned LEB128 form of a number from 0."""
     return F.greatest(F.lit(1), F.ceil(F.length(F.bin(v)) / 7))
+
+
+def undelta(gaps: Column) -> Column:
+    """The values whose gaps these are: running sums."""
+    start = F.struct(F.lit(0).cast("long").alias("s"), F.array().cast("array<bigint>").alias("v"))
+    step = lambda a, g: F.struct((a["s"] + g).alias("s"), F.array_append(a["v"], a["s"] + g).alias("v"))
+    return F.when(gaps.isNotNull(), F.aggregate(gaps, start, step, lambda a: a["v"]))
+
+
+def conditional_entropy(pairs: Column) -> Column:
+    """Bits of the next byte given the one before, from the 65,536 counts of pairs, the first byte lowest; 0 of none."""
+    first = F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: F.aggregate(F.sequence(F.lit(0), F.lit(255)), F.lit(0).cast("long"), lambda s, j: s + F.get(pairs, j * 256 + i)))
+    return F.greatest(F.lit(0.0), entropy(pairs) - entropy(first))
+
+
+def bloom_rate(items: Column, bits: int, hashes: int) -> Column:
+    """The share of other items that a filter of this shape with so many in it takes for its own."""
+    return F.when(items > 0, F.pow(1 - F.exp(-items * float(hashes) / float(bits)), F.lit(float(hashes)))).otherwise(F.when(items.isNotNull(), F.lit(0.0)))

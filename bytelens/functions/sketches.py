@@ -7,7 +7,7 @@ from collections.abc import Iterable
 
 import numpy as np
 
-from bytelens.functions.hashes import MASK, mix64, mix64_all
+from bytelens.functions.hashes import MASK, mix64, mix64_all, mix_words
 from bytelens.functions.payload import crc32c_words
 
 
@@ -164,6 +164,20 @@ class Bloom:
         p = self.positions_all(raw, at)
         return (self.words[(p // np.uint64(64)).astype(np.int64)] >> p % np.uint64(64) & np.uint64(1)).all(1)
 
+    def positions_of_keys(self, keys: np.ndarray) -> np.ndarray:
+        """Rows of positions of 64-bit whole numbers, which have hashes of their own."""
+        a, b = (mix_words(keys.astype(np.int64).view(np.uint64) ^ np.uint64(s)) for s in BLOOM_SEEDS)
+        return (a[:, None] + np.arange(self.hashes, dtype=np.uint64) * (b | np.uint64(1))[:, None]) % np.uint64(self.bits)
+
+    def insert_keys(self, keys: np.ndarray) -> None:
+        p = self.positions_of_keys(keys)
+        np.bitwise_or.at(self.words, (p // np.uint64(64)).astype(np.int64), np.uint64(1) << p % np.uint64(64))
+        self.n += len(keys)
+
+    def contains_keys(self, keys: np.ndarray) -> np.ndarray:
+        p = self.positions_of_keys(keys)
+        return (self.words[(p // np.uint64(64)).astype(np.int64)] >> p % np.uint64(64) & np.uint64(1)).all(1)
+
     def insert(self, raw: bytes) -> None:
         p = self.positions(raw)
         np.bitwise_or.at(self.words, (p // 64).astype(np.int64), np.uint64(1) << p % np.uint64(64))

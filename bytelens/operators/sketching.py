@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from bytelens.functions import hashes, lockstep, sketches
 from bytelens.scratch import Scratch
@@ -122,14 +123,20 @@ def _space_saving(df: DataFrame, item: Column, k: int) -> DataFrame:
 
 
 def bloom_filter(df: DataFrame, item: Column, expected: int, rate: float) -> sketches.Bloom:
-    """One filter over all items (binary): words of each task, joined by OR. Its size is fixed by the parameters."""
+    """One filter over all items (binary, or whole numbers as keys): words of each task, joined by OR. Its size is fixed by the parameters."""
     ship(df.sparkSession)
     shape = sketches.Bloom.sized(expected, rate)
+    keyed = not isinstance(df.select(item.alias("_i")).schema["_i"].dataType, BinaryType)
+    item = item.cast("long") if keyed else item
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b = sketches.Bloom(shape.bits, shape.hashes)
         for batch in batches:
-            b.insert_all(*lockstep.flat(batch.column("_i").drop_null()))
+            there = batch.column("_i").drop_null()
+            if keyed:
+                b.insert_keys(there.to_numpy(zero_copy_only=False))
+            else:
+                b.insert_all(*lockstep.flat(there))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(b.words))), pa.array(b.words.view(np.int64)), pa.array(np.r_[b.n, np.zeros(len(b.words) - 1, int)])], ["word", "bits", "n"])
 
     words = df.select(item.alias("_i")).mapInArrow(fill, "word long, bits long, n long").groupBy("word").agg(F.bit_or("bits").alias("bits"), F.sum("n").alias("n"))
@@ -148,6 +155,15 @@ def bloom_contains(item: Column, bloom: sketches.Bloom) -> Column:
     return F.arrow_udf(g, "boolean")(item)
 
 
+def bloom_contains_key(key: Column, bloom: sketches.Bloom) -> Column:
+    """Whether a filter of keys may hold the whole number, a batch at a time; null for null."""
+
+    def g(col: pa.Array) -> pa.Array:
+        return pa.array(bloom.contains_keys(col.fill_null(0).to_numpy(zero_copy_only=False)), mask=col.is_null().to_numpy(zero_copy_only=False))
+
+    return F.arrow_udf(g, "boolean")(key.cast("long"))
+
+
 def ordered_quantile(df: DataFrame, value: str, order: str, p: float, by: list[str]) -> DataFrame:
     """(by..., estimate): the five-marker estimate of each group's values in their order, streamed, not held."""
     ship(df.sparkSession)

@@ -285,3 +285,17 @@ def made_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = F.when(k % 4 == 0, F.repeat(F.lit("00"), 256)).when(k % 4 == 1, F.concat(F.repeat(F.lit("00"), 255), F.lit("78"))).when(k % 4 == 2, digests).otherwise(F.hex(fc.utf8("p_name")))
     d = table(spark, sf_dir, "part").select("p_partkey", F.unhex(made).alias("x")).select("p_partkey", fc.structure(F.col("x")).alias("s"), fc.extent_fingerprint(F.col("x")).alias("f"))
     return d.select("p_partkey", F.col("s.total").cast("long").alias("total"), fn.is_zero_filled(F.col("s")).alias("zero_filled"), fn.is_sparse(F.col("s")).alias("sparse"), fn.skips_compression(F.col("f")).alias("skips_compression"))
+
+
+@query("WITH k AS (SELECT DISTINCT l_partkey AS item FROM lineitem), " + _steps("a", "k", f"xor(item::UHUGEINT, {BLOOM_SEEDS[0]}::UHUGEINT)") + ", " + _steps("b", "k", f"xor(item::UHUGEINT, {BLOOM_SEEDS[1]}::UHUGEINT)") + f""",
+p AS (SELECT ((a.h + ((i::UHUGEINT * (CASE WHEN b.h % 2 = 0 THEN b.h + 1 ELSE b.h END)) % {_M})) % {_M}) % {_SHAPE.bits} AS p FROM a JOIN b USING (item), (SELECT unnest(range({_SHAPE.hashes})) AS i)),
+n AS (SELECT count(*) AS n FROM k)
+SELECT (p // 64)::BIGINT AS word, bit_count(bit_or(1::UBIGINT << (p % 64)::UBIGINT))::INT AS ones, min(p % 64)::INT AS lowest, max(p % 64)::INT AS highest, round(any_value(pow(1 - exp(-n * {_SHAPE.hashes}.0 / {_SHAPE.bits}), {_SHAPE.hashes})), 9) AS rate FROM p, n GROUP BY 1""")
+def bloom_key_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of a filter of all ordered parts, by their numbers, and the rate that so many items give."""
+    parts = table(spark, sf_dir, "lineitem").select("l_partkey").distinct()
+    bloom = sketching.bloom_filter(parts, F.col("l_partkey"), 20_000, 0.01)
+    words = spark.createDataFrame([(i, int(w), bloom.n) for i, w in enumerate(bloom.words.view("<i8").tolist())], "word long, w long, n long").where("w <> 0")
+    m = fb.members(F.array("w"))
+    rate = F.round(fn.bloom_rate(F.col("n"), bloom.bits, bloom.hashes), 9)
+    return words.select("word", F.bit_count("w").cast("int").alias("ones"), F.array_min(m).cast("int").alias("lowest"), F.array_max(m).cast("int").alias("highest"), rate.alias("rate"))

@@ -300,3 +300,34 @@ def test_pieces_equal_the_whole(spark, most, fan):
         h = histograms.ngram_histogram(segments.with_context(df, n), F.col("payload"), n, ["key"])
         want = Counter((k, int.from_bytes(raw[i : i + n], "little")) for k, raw in whole.items() for i in range(len(raw) - n + 1))
         assert {(r["key"], r["gram"]): r["cnt"] for r in h.collect()} == want
+
+
+def test_keyed_filters_and_small_columns(spark):
+    from bytelens.functions import native as fn
+    from bytelens.functions import payload as pl
+    from bytelens.functions.hashes import mix_word
+    from bytelens.functions.sketches import BLOOM_SEEDS, Bloom
+    from bytelens.operators import sketching
+
+    keys = [0, 1, -1, 2**62, -(2**63), *range(100, 400)]
+    df = spark.createDataFrame([(k,) for k in keys] + [(None,)], "k long").repartition(5)
+    bloom = sketching.bloom_filter(df, F.col("k"), 400, 0.01)
+    plain = Bloom.sized(400, 0.01)
+    for k in keys:
+        u = k % (1 << 64)
+        a, b = mix_word(u ^ BLOOM_SEEDS[0]), mix_word(u ^ BLOOM_SEEDS[1]) | 1
+        for i in range(plain.hashes):
+            p = (a + i * b) % (1 << 64) % plain.bits
+            plain.words[p // 64] |= np.uint64(1 << p % 64)
+    assert (bloom.words == plain.words).all() and bloom.n == len(keys)
+    asked = spark.createDataFrame([(k,) for k in [*keys, *range(10**6, 10**6 + 2000)]] + [(None,)], "k long")
+    got = {r["k"]: r["m"] for r in asked.select("k", sketching.bloom_contains_key(F.col("k"), bloom).alias("m")).collect()}
+    assert got[None] is None and all(got[k] for k in keys) and sum(got[k] for k in range(10**6, 10**6 + 2000)) < 60
+    rate = spark.range(1).select(fn.bloom_rate(F.lit(len(keys)), bloom.bits, bloom.hashes), fn.bloom_rate(F.lit(0), 64, 3)).first()
+    assert rate[0] == pytest.approx(bloom.rate()) and rate[1] == 0
+    gaps = spark.createDataFrame([([5, 0, 3, -2],), ([],), (None,)], "g array<long>")
+    assert [r[0] for r in gaps.select(fn.undelta(F.col("g"))).collect()] == [[5, 5, 8, 6], [], None]
+    raw = random.Random(1).randbytes(3000) + b"ab" * 400
+    counts = np.bincount(np.frombuffer(raw[:-1], np.uint8) + 256 * np.frombuffer(raw[1:], np.uint8).astype(int), minlength=65536).tolist()
+    one = spark.createDataFrame([(counts,)], "c array<long>").select(fn.conditional_entropy(F.col("c"))).first()[0]
+    assert one == pytest.approx(pl.conditional_entropy(np.frombuffer(raw, np.uint8)))
