@@ -170,16 +170,27 @@ def band_shape(n: int, aim: float, miss: float = 0.05) -> tuple[int, int]:
     return math.ceil(math.log(miss) / math.log(1 - ((1 + aim) / 2) ** bits)), bits
 
 
-def bands(words: Column, count: int, bits: int) -> Column:
-    """An array of keys, each of ``bits`` sampled bits of a fingerprint's longs; texts that share one are candidates."""
-    order = np.argsort(_mix(np.arange(count * SLOTS, dtype=np.uint64) + np.uint64(9)).reshape(count, SLOTS), axis=1)[:, :bits]
-    keys = []
-    for k, places in enumerate(order.tolist()):
-        mask = [0] * (SLOTS // 64)
-        for p in places:
-            mask[p // 64] |= 1 << p % 64
-        keys.append(F.xxhash64(F.lit(k), *[words[i].bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m).cast("long")) for i, m in enumerate(mask) if m]))
-    return F.array(*keys)
+def _band_keys(count: int, bits: int):
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places = np.argsort(_mix(np.arange(count * SLOTS, dtype=np.uint64) + np.uint64(9)).reshape(count, SLOTS), axis=1)[:, :bits]
+        masks = np.zeros((count, SLOTS // 64), np.uint64)
+        np.bitwise_or.at(masks, (np.repeat(np.arange(count), bits), places.reshape(-1) // 64), np.uint64(1) << (places.reshape(-1) % 64).astype(np.uint64))
+        for batch in batches:
+            words = np.asarray(batch.column("words").flatten()).view(np.uint64).reshape(batch.num_rows, -1)
+            for a in range(0, batch.num_rows, 2048):
+                own = words[a : a + 2048]
+                h = _mix(np.broadcast_to(np.arange(count, dtype=np.uint64) + np.uint64(1), (len(own), count)))
+                for i in range(words.shape[1]):
+                    h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + (own[:, i, None] & masks[None, :, i]))
+                node = batch.column("node").slice(a, len(own)).to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(node, count)), pa.array(h.reshape(-1).view(np.int64))], ["node", "key"])
+
+    return keys
+
+
+def band_keys(nodes: DataFrame, count: int, bits: int) -> DataFrame:
+    """(node, key) of nodes (node, words): ``count`` keys of ``bits`` sampled bits each; texts that share one are candidates."""
+    return nodes.select("node", "words").mapInArrow(_band_keys(count, bits), "node long, key long")
 
 
 def within(a: str, b: str, most: int) -> bool:
@@ -330,7 +341,7 @@ def similar_texts(docs: DataFrame, printed: DataFrame, *, percent: int = 99, aim
     nodes = printed.where("id IS NOT NULL").groupBy("text_hash", "words").agg(F.min("id").alias("id"))
     nodes = scratch.save(nodes.select("text_hash", "id", F.xxhash64("text_hash").alias("node"), "words"))
     count, bits = band_shape(nodes.count(), aim)
-    met = stars(nodes.select("node", F.explode(bands(F.col("words"), count, bits)).alias("key")), scratch)
+    met = stars(band_keys(nodes, count, bits), scratch)
     side = lambda c: nodes.select(F.col("node").alias(c), F.col("words").alias("w" + c))
     like = agreement_of(F.col("wa"), F.col("wb"))
     near = met.join(side("a"), "a").join(side("b"), "b").select("a", "b", like.alias("like")).where(F.col("like") >= least)
