@@ -121,6 +121,76 @@ def fingerprint(text: str) -> bytes:
     size = np.diff(begin, append=ends[-1])
     names, first = np.unique(np.concatenate([[np.uint64(7)], context[open_]]), return_index=True)
     _, slot, factor = _slots()
+    pick, _ = _least(names, factor, slot)
+    own = first[pick]
+    seen = code[np.searchsorted(ends, begin[own] + sample_places(size[own]), "right")].astype(np.uint64)
+    return _bits(seen, names[pick], slot)
+
+
+@cache
+def _next() -> np.ndarray:
+    """The number of the state after each state and class."""
+    states, _ = _automaton()
+    return np.array([[row[c][CLASSES] for c in range(CLASSES)] for row in states], np.int16)
+
+
+def fingerprints_of(texts: list[str], most: int = 1_000_000) -> list[bytes]:
+    """As ``fingerprint``, of many texts, in slices of about ``most`` characters: all segments of a slice are walked together."""
+    from bytelens.llm.tokens import slices
+
+    out: list[bytes] = []
+    for a, b in slices(np.array([max(1, len(t)) for t in texts], np.int64), most):
+        out += _some_fingerprints(texts[a:b])
+    return out
+
+
+def _some_fingerprints(texts: list[str]) -> list[bytes]:
+    from bytelens.functions import lockstep
+
+    at = np.cumsum([0] + [len(t) for t in texts])
+    code = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    if not len(code):
+        return [bytes(SLOTS // 8)] * len(texts)
+    kind = np.where(code < 128, np.maximum(code, 1), 128 + (code * np.uint32(2654435761) >> np.uint32(25))).astype(np.uint8)
+    last, context = anchors(code)
+    doc = np.searchsorted(at, last, "right") - 1
+    inside = last - at[doc] >= CONTEXT - 1  # the characters before an anchor are of its text
+    last, context, doc = last[inside], context[inside], doc[inside]
+    kind[last] = ANCHOR
+    open_ = last < at[doc + 1] - 1
+    starts = np.unique(at[:-1][np.diff(at) > 0])
+    begin = np.concatenate([starts, last[open_] + 1])
+    name = np.concatenate([np.full(len(starts), 7, np.uint64), context[open_]])
+    order = np.argsort(begin, kind="stable")
+    begin, name = begin[order], name[order]
+    after, dwell = _next(), _automaton()[1]
+    rows = after.tolist()
+    step = lambda s, x: after[s, x]
+    one = lambda s, xs: list(accumulate(xs, lambda q, x: rows[q][x], initial=s))[1:]
+    state = np.zeros(len(kind), np.int16)
+    state[1:] = lockstep.fold(kind, np.append(begin, len(kind)), 0, np.int16, step, one, every=True)[:-1]
+    state[begin] = 0
+    ends = np.cumsum(dwell[state, kind], dtype=np.int64)
+    written = np.concatenate([[0], ends])
+    out_at, size = written[begin], np.diff(written[np.append(begin, len(kind))])
+    own = np.searchsorted(begin, at)
+    _, slot, factor = _slots()
+    prints = []
+    for k in range(len(texts)):
+        if at[k] == at[k + 1]:
+            prints.append(bytes(SLOTS // 8))
+            continue
+        names, first = np.unique(name[own[k] : own[k + 1]], return_index=True)
+        pick, best = _least(names, factor, slot)
+        seg = own[k] + first[pick]
+        mine = slice(at[k], at[k + 1])
+        seen = code[mine][np.searchsorted(ends[mine], out_at[seg] + sample_places(size[seg]), "right")].astype(np.uint64)
+        prints.append(_bits(seen, names[pick], slot))
+    return prints
+
+
+def _least(names: np.ndarray, factor: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each slot the name with the least product, and that."""
     best, pick = np.full(SLOTS, np.iinfo(np.uint64).max), np.zeros(SLOTS, np.int64)
     for a in range(0, len(names), 4096):
         drawn = names[None, a : a + 4096] * factor[:, None]
@@ -128,9 +198,11 @@ def fingerprint(text: str) -> bytes:
         least = drawn[slot, k]
         pick = np.where(least < best, a + k, pick)
         best = np.minimum(least, best)
-    own = first[pick]
-    seen = code[np.searchsorted(ends, begin[own] + sample_places(size[own]), "right")].astype(np.uint64)
-    bits = _mix(_mix(seen + (slot.astype(np.uint64) << np.uint64(32))) + names[pick]) >> np.uint64(63)
+    return pick, best
+
+
+def _bits(seen: np.ndarray, names: np.ndarray, slot: np.ndarray) -> bytes:
+    bits = _mix(_mix(seen + (slot.astype(np.uint64) << np.uint64(32))) + names) >> np.uint64(63)
     return np.packbits(bits.astype(np.uint8)).tobytes()
 
 
@@ -147,7 +219,7 @@ def likeness(a: bytes, b: bytes) -> float:
 
 
 def _fingerprints(series: pd.Series) -> pd.Series:
-    return pd.Series([fingerprint(x or "").hex() for x in series], dtype=object)
+    return pd.Series([p.hex() for p in fingerprints_of([x or "" for x in series])], dtype=object)
 
 
 def fingerprints(docs: DataFrame, *, text_col: str = "text", out: str = "fingerprint") -> DataFrame:
@@ -387,18 +459,22 @@ def _text_hash(text: Column) -> Column:
 
 def _follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows by falling id, each part closed by its guest -> fingerprints of texts and of edited texts."""
-    held = None  # (part, id, text, fingerprint, is guest)
+    held = None  # (part, id, text, is guest)
     for pdf in batches:
+        rows = [held] if held is not None else []
+        rows += [(part, None if pd.isna(id_) else int(id_), text, guest) for part, id_, text, guest in zip(pdf["_part"], pdf["_id"], pdf["_text"], pdf["_guest"], strict=True)]
+        if not rows:
+            continue
+        pairs = [(a, b) for a, b in zip(rows, rows[1:], strict=False) if a[0] == b[0] and not a[3]]
+        edited = [a[2][: len(a[2]) - len(a[2]) // 3] + b[2][: len(a[2]) // 3] for a, b in pairs]
+        prints = fingerprints_of([r[2] for r in rows] + edited)
+        own = dict(zip(map(id, rows), prints, strict=False))
         out = []
-        for part, id_, text, guest in zip(pdf["_part"], pdf["_id"], pdf["_text"], pdf["_guest"], strict=True):
-            now = (part, None if pd.isna(id_) else int(id_), text, fingerprint(text), guest)
-            if held is not None and held[0] == part and not held[4]:
-                n = len(held[2])
-                edited = held[2][: n - n // 3] + text[: n // 3]
-                p = fingerprint(edited)
-                text_hash = hashlib.sha256(held[2].encode("utf-8", "surrogatepass")).digest()
-                out.append((held[1], n, hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), held[3].hex(), p.hex(), likeness(held[3], p), likeness(held[3], now[3]), text_hash, np.frombuffer(held[3], "<i8").tolist()))
-            held = now
+        for (a, b), text, p in zip(pairs, edited, prints[len(rows) :], strict=True):
+            mine, other = own[id(a)], own[id(b)]
+            text_hash = hashlib.sha256(a[2].encode("utf-8", "surrogatepass")).digest()
+            out.append((a[1], len(a[2]), hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest(), mine.hex(), p.hex(), likeness(mine, p), likeness(mine, other), text_hash, np.frombuffer(mine, "<i8").tolist()))
+        held = rows[-1]
         made = pd.DataFrame(out, columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "text_hash", "words"])
         made["doc_id"] = made["doc_id"].astype("Int64")
         yield made

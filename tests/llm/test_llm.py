@@ -308,6 +308,15 @@ def test_walk_and_samples():
         assert e.fingerprint(text) == np.packbits(np.array(bits, np.uint8)).tobytes()
 
 
+def test_fingerprints_of_many_texts():
+    from bytelens.llm.edit_fingerprint import fingerprint, fingerprints_of
+
+    rng = random.Random(8)
+    texts = [prose(rng, rng.randrange(0, 200)) for _ in range(60)] + ["", "a", "ab", "abc", "abcd", "\0" * 9, "a" * 5000, "ab" * 3000, "é\ud800 日本" * 400, "", prose(rng, 3000)]
+    want = [fingerprint(t) for t in texts]
+    assert fingerprints_of(texts) == want == fingerprints_of(texts, most=500) and fingerprints_of([]) == [] and fingerprints_of(["", ""]) == [fingerprint("")] * 2
+
+
 def test_likeness_follows_edits():
     from bytelens.llm.edit_fingerprint import fingerprint, likeness
 
