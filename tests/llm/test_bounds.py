@@ -116,3 +116,61 @@ def test_packing_groups_stay_bounded(spark, monkeypatch, lengths):
     assert per.max() <= 4096
     whole = packing.best_fit(np.sort(n)[::-1], tokens=4096, documents=4096, attention=4096.0**2, weights=(1.0, 1e-3, 1e-3), score="norm").max() + 1
     assert len(per) <= whole * 1.01
+
+
+def _plain_score(machine, rows, terms, n):
+    """The sum over terms and over all pairs of terms, by its definition."""
+    out = []
+    for k in range(n):
+        own = [t for r, t in zip(rows, terms, strict=True) if r == k]
+        z = machine.bias + sum(machine.weight[t] for t in own) + sum(float(machine.vectors[a] @ machine.vectors[b]) for a, b in itertools.combinations(own, 2))
+        out.append(1 / (1 + np.exp(-z)))
+    return np.array(out)
+
+
+def _texts_and_labels(rng, n=30, m=12):
+    pairs = [(k, t) for k in range(n) for t in np.flatnonzero(rng.random(m) < 0.35).tolist()]
+    rows, terms = np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs])
+    return rows, terms, (rng.random(n) < 0.4).astype(float)
+
+
+def test_machine_scores_equal_the_sum_over_pairs():
+    from bytelens.llm.toxicity import Machine
+
+    rng = np.random.default_rng(6)
+    rows, terms, _ = _texts_and_labels(rng)
+    machine = Machine(np.arange(12), rng.normal(size=12), rng.normal(size=(12, 3)), 0.3)
+    assert np.allclose(machine.score(rows, terms, 31), _plain_score(machine, rows, terms, 31))  # the last text has no terms
+
+
+def test_a_step_of_training_goes_down_the_slope():
+    """The first step moves every number by ``rate`` against the sign of the loss's slope, here by differences."""
+    from bytelens.llm.toxicity import Machine, train
+
+    rng = np.random.default_rng(7)
+    rows, terms, label = _texts_and_labels(rng)
+    n, m, k, ridge = len(label), 12, 3, 2e-4
+    share = label.mean()
+    balance = np.where(label == 1, 0.5 / share, 0.5 / (1 - share))
+    start = np.concatenate([np.zeros((m, 1)), np.random.default_rng(5).normal(0, 0.05, (m, k))], 1)
+    bias = float(np.log(share / (1 - share)))
+
+    def loss(w, b):
+        p = _plain_score(Machine(np.arange(m), w[:, 0], w[:, 1:], b), rows, terms, n)
+        return float((-balance * (label * np.log(p) + (1 - label) * np.log(1 - p))).mean() + ridge / 2 * (w * w).sum())
+
+    made = train(rows, terms, label, np.arange(m), factors=k, steps=1, rate=0.01, ridge=ridge, seed=5)
+    moved = np.concatenate([made.weight[:, None], made.vectors], 1) - start
+    seen = 0
+    for i in range(m):
+        for f in range(1 + k):
+            up, down = start.copy(), start.copy()
+            up[i, f] += 1e-5
+            down[i, f] -= 1e-5
+            slope = (loss(up, bias) - loss(down, bias)) / 2e-5
+            if abs(slope) > 1e-5:
+                seen += 1
+                assert moved[i, f] == pytest.approx(-0.01 * np.sign(slope), rel=1e-2), (i, f)
+    assert seen > 30
+    slope = (loss(start, bias + 1e-5) - loss(start, bias - 1e-5)) / 2e-5
+    assert made.bias - bias == pytest.approx(-0.01 * np.sign(slope), rel=1e-2)
