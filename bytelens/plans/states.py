@@ -234,9 +234,19 @@ def payload_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", fn.is_zero_filled(s).alias("zero_filled"), fn.is_sparse(s).alias("sparse"), fn.is_low_cardinality(s).alias("low_cardinality"), fn.is_text_like(s).alias("text_like"), fn.skips_compression(f).alias("skips_compression"))
 
 
-@query()
+@query("""WITH r AS (SELECT min(c_acctbal::DOUBLE) AS a, max(c_acctbal::DOUBLE) AS b, min(c_nationkey::DOUBLE) AS c, max(c_nationkey::DOUBLE) AS d FROM customer),
+g AS (SELECT c_custkey AS id, least(65535, floor((c_acctbal::FLOAT - a::FLOAT) / (b - a)::FLOAT * 65535::FLOAT + 0.5::FLOAT))::BIGINT AS x,
+  least(65535, floor((c_nationkey::FLOAT - c::FLOAT) / (d - c)::FLOAT * 65535::FLOAT + 0.5::FLOAT))::BIGINT AS y FROM customer, r),
+f AS (SELECT id, list_reduce(list_transform(range(15), lambda i: {'x': 0::BIGINT, 'y': 0::BIGINT, 'q': 32768::BIGINT >> i}), lambda s, u: {
+    'x': CASE WHEN s.y & u.q <> 0 THEN xor(CASE WHEN s.x & u.q <> 0 THEN xor(s.x, u.q - 1) ELSE s.x END, u.q - 1)
+      ELSE xor(CASE WHEN s.x & u.q <> 0 THEN xor(s.x, u.q - 1) ELSE s.x END, xor(CASE WHEN s.x & u.q <> 0 THEN xor(s.x, u.q - 1) ELSE s.x END, s.y) & (u.q - 1)) END,
+    'y': CASE WHEN s.y & u.q <> 0 THEN s.y ELSE xor(s.y, xor(CASE WHEN s.x & u.q <> 0 THEN xor(s.x, u.q - 1) ELSE s.x END, s.y) & (u.q - 1)) END, 'q': u.q}, {'x': x, 'y': y, 'q': 0::BIGINT}) AS s FROM g),
+h AS (SELECT id, s.x AS x, xor(s.x, s.y) AS y FROM f),
+k AS (SELECT id, x, y, list_reduce(list_prepend(0::BIGINT, list_transform(range(15), lambda i: 32768::BIGINT >> i)), lambda t, q: CASE WHEN y & q <> 0 THEN xor(t, q - 1) ELSE t END) AS t FROM h),
+z AS (SELECT id, list_sum(list_transform(range(16), lambda i: ((xor(x, t) >> i & 1) * 2 + (xor(y, t) >> i & 1))::HUGEINT << (2 * i)::INT)) AS key FROM k)
+SELECT id, row_number() OVER (ORDER BY key, id) - 1 AS new_id FROM z""")
 def hilbert_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Not SQL: customers along a curve through balance and nation; tests hold the order against a plain transform."""
+    """Customers along a curve through balance and nation; tests hold the order of more dimensions against a plain transform."""
     c = table(spark, sf_dir, "customer")
     return content.hilbert_points(c, "c_custkey", F.col("c_acctbal"), F.col("c_nationkey"))
 

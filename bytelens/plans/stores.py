@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from bytelens.functions import columns as fc
 from bytelens.functions.chunking import ChunkSizes
 from bytelens.operators import bitvectors, content, neighbours, patterns, postings
-from bytelens.plans.registry import query, table
+from bytelens.plans.registry import ORACLE_SQL, query, table
 from bytelens.scratch import Scratch, shared_folder
 from bytelens.streaming import pieces as sp
 from bytelens.streaming.sketches import run_once
@@ -46,6 +46,11 @@ _CHUNKS = f"""WITH RECURSIVE g AS (
 SELECT doc_id, (CASE WHEN i = 1 THEN 0 ELSE ends[i - 1] END)::BIGINT AS "start", ends[i]::BIGINT AS "end" FROM (SELECT doc_id, ends, unnest(range(1, len(ends) + 1)) AS i FROM k)"""
 
 
+#: Of the catalog's query: what each distinct chunk costs.
+ORACLE_SQL["chunk_dedup"] = f"""WITH c AS ({_CHUNKS}), p AS (SELECT sha256(unhex(hex(encode(text))[2 * c."start" + 1:2 * c."end"])) AS digest, c."end" - c."start" AS size FROM c JOIN documents USING (doc_id))
+SELECT digest, count(*) AS copies, any_value(size)::BIGINT AS size FROM p GROUP BY digest"""
+
+
 @query(_CHUNKS)
 def chunk_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = content.chunk_rows(table(spark, sf_dir, "documents"), fc.utf8("text"), SIZES, ["doc_id"])
