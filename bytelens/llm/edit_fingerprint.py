@@ -384,17 +384,17 @@ BLOCK_ROWS, TEXT_BYTES, SMALL_STAR = 2048, 4_000_000, 64
 def _near_in_stars(star: DataFrame, least: float, scratch: Scratch) -> DataFrame:
     """(grp, node) of members (grp, node, comp, words) that agree with one of another component in their star.
 
-    Stars of up to SMALL_STAR members are joined with themselves, which puts out near pairs alone; larger ones meet in blocks.
+    Stars of up to SMALL_STAR members are joined with themselves, which puts out a member once; larger ones meet in blocks.
     """
     size = scratch.save(star.groupBy("grp").agg(F.count("*").alias("_n")).where("_n > 1"))
     held = star.join(size, "grp")
     small = held.where(F.col("_n") <= SMALL_STAR)
     a, b = (small.select("grp", *[F.col(c).alias(c + k) for c in ("node", "comp", "words")]) for k in "ab")
-    near = (F.col("nodea") < F.col("nodeb")) & (F.col("compa") != F.col("compb")) & (agreement_of(F.col("wordsa"), F.col("wordsb")) >= least)
-    pairs = a.join(b.withColumnRenamed("grp", "_g"), (F.col("grp") == F.col("_g")) & near)
+    near = (F.col("grp") == F.col("_g")) & (F.col("compa") != F.col("compb")) & (agreement_of(F.col("wordsa"), F.col("wordsb")) >= least)
+    met = a.join(b.withColumnRenamed("grp", "_g"), near, "left_semi")
     large = held.where(F.col("_n") > SMALL_STAR).drop("_n").withColumn("weight", F.lit(1))
     blocks = block_pairs(large, _near(least), ("grp", "node"), scratch, block=BLOCK_ROWS)
-    return pairs.select("grp", F.explode(F.array("nodea", "nodeb")).alias("node")).union(blocks)
+    return met.select("grp", F.col("nodea").alias("node")).union(blocks)
 
 
 def similar_texts(docs: DataFrame, printed: DataFrame, *, percent: int = 99, aim: float = 0.75, least: float = 0.6, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
