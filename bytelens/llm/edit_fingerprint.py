@@ -86,30 +86,50 @@ def _slots() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.repeat(slot << 41, np.diff(begin)) + flat, slot, _mix(slot.astype(np.uint64) + np.uint64(99)) | np.uint64(1)
 
 
-def sample_places(lengths: np.ndarray) -> np.ndarray:
-    """A place below its length for each slot; equal for two lengths with the chance of their ratio."""
-    keys, slot, _ = _slots()
+def sample_places(lengths: np.ndarray, slot: np.ndarray | None = None) -> np.ndarray:
+    """A place below its length for each slot, all if none are named; equal for two lengths with the chance of their ratio."""
+    keys, every, _ = _slots()
+    slot = every if slot is None else slot
     return keys[np.searchsorted(keys, (slot << 41) + lengths, "left") - 1] - (slot << 41)
 
 
+@cache
+def _few_places(most: int = 1024) -> np.ndarray:
+    """``sample_places`` of each slot and all lengths up to ``most``."""
+    lengths = np.arange(1, most + 1, dtype=np.int64)[:, None] + np.zeros(SLOTS, np.int64)
+    return np.concatenate([np.zeros((1, SLOTS), np.int32), sample_places(lengths).astype(np.int32)])
+
+
+def _kinds(code: np.ndarray) -> np.ndarray:
+    return np.where(code < 128, np.maximum(code, 1), 128 + (code * np.uint32(2654435761) >> np.uint32(25))).astype(np.uint8)
+
+
 def anchors(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(places, hashes) of the characters, given by code point, that end a segment."""
     m = max(len(code) - CONTEXT + 1, 0)
-    h = np.zeros(m, np.uint64)
-    for j in range(CONTEXT):
-        h = h * np.uint64(0x100000001B3) + code[j : j + m]
-    h = _mix(h)
-    at = np.flatnonzero((h >> np.uint64(40)) % np.uint64(GAP) == 0)
+    h = _context([code[j : j + m] for j in range(CONTEXT)])
+    at = np.flatnonzero(_chosen(h))
     return at + CONTEXT - 1, h[at]
 
 
+def _context(characters: list[np.ndarray]) -> np.ndarray:
+    h = np.zeros(len(characters[0]), np.uint64)
+    for c in characters:
+        h = h * np.uint64(0x100000001B3) + c
+    return _mix(h)
+
+
+def _chosen(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(40)) % np.uint64(GAP) == 0
+
+
 def fingerprint(text: str) -> bytes:
     """SLOTS bits; all zero for the empty text."""
     if not text:
         return bytes(SLOTS // 8)
     states, dwell = _automaton()
     code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    kind = np.where(code < 128, np.maximum(code, 1), 128 + (code * np.uint32(2654435761) >> np.uint32(25))).astype(np.uint8)
+    kind = _kinds(code)
     last, context = anchors(code)
     kind[last] = ANCHOR
     walked = accumulate(kind.tobytes(), getitem, initial=states[0])
@@ -121,10 +141,10 @@ def fingerprint(text: str) -> bytes:
     size = np.diff(begin, append=ends[-1])
     names, first = np.unique(np.concatenate([[np.uint64(7)], context[open_]]), return_index=True)
     _, slot, factor = _slots()
-    pick, _ = _least(names, factor, slot)
+    pick = _least(names, factor, slot)
     own = first[pick]
     seen = code[np.searchsorted(ends, begin[own] + sample_places(size[own]), "right")].astype(np.uint64)
-    return _bits(seen, names[pick], slot)
+    return _bits(seen, names[pick], slot).tobytes()
 
 
 @cache
@@ -136,33 +156,32 @@ def _next() -> np.ndarray:
 
 def fingerprints_of(texts: list[str], most: int = 1_000_000) -> list[bytes]:
     """As ``fingerprint``, of many texts, in slices of about ``most`` characters: all segments of a slice are walked together."""
+    return chained_fingerprints(texts, [False] * len(texts), most)[0]
+
+
+def chained_fingerprints(texts: list[str], joined: list[bool], most: int = 1_000_000) -> tuple[list[bytes], list[bytes]]:
+    """As ``fingerprint``, of all texts; and of each text k where joined[k], when of its n characters the last n // 3
+    are replaced by as many of text k + 1, or all."""
     from bytelens.llm.tokens import slices
 
     out: list[bytes] = []
+    edited: list[bytes] = []
     for a, b in slices(np.array([max(1, len(t)) for t in texts], np.int64), most):
-        out += _some_fingerprints(texts[a:b])
-    return out
+        own, made = _some_fingerprints(texts[a : b + bool(joined[b - 1])], np.array(joined[a:b], bool))
+        out += own[: b - a]
+        edited += made
+    return out, edited
+
+
+def _ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges that begin at start and have count numbers."""
+    return np.repeat(start - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
 
 
-def _some_fingerprints(texts: list[str]) -> list[bytes]:
+def _walk(kind: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How often each character is written, of segments that begin at ``begin``, 0 first; and how much before each and in all."""
     from bytelens.functions import lockstep
 
-    at = np.cumsum([0] + [len(t) for t in texts])
-    code = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    if not len(code):
-        return [bytes(SLOTS // 8)] * len(texts)
-    kind = np.where(code < 128, np.maximum(code, 1), 128 + (code * np.uint32(2654435761) >> np.uint32(25))).astype(np.uint8)
-    last, context = anchors(code)
-    doc = np.searchsorted(at, last, "right") - 1
-    inside = last - at[doc] >= CONTEXT - 1  # the characters before an anchor are of its text
-    last, context, doc = last[inside], context[inside], doc[inside]
-    kind[last] = ANCHOR
-    open_ = last < at[doc + 1] - 1
-    starts = np.unique(at[:-1][np.diff(at) > 0])
-    begin = np.concatenate([starts, last[open_] + 1])
-    name = np.concatenate([np.full(len(starts), 7, np.uint64), context[open_]])
-    order = np.argsort(begin, kind="stable")
-    begin, name = begin[order], name[order]
     after, dwell = _next(), _automaton()[1]
     rows = after.tolist()
     step = lambda s, x: after[s, x]
@@ -170,40 +189,133 @@ def _some_fingerprints(texts: list[str]) -> list[bytes]:
     state = np.zeros(len(kind), np.int16)
     state[1:] = lockstep.fold(kind, np.append(begin, len(kind)), 0, np.int16, step, one, every=True)[:-1]
     state[begin] = 0
-    ends = np.cumsum(dwell[state, kind], dtype=np.int64)
-    written = np.concatenate([[0], ends])
-    out_at, size = written[begin], np.diff(written[np.append(begin, len(kind))])
-    own = np.searchsorted(begin, at)
-    _, slot, factor = _slots()
-    prints = []
-    for k in range(len(texts)):
-        if at[k] == at[k + 1]:
-            prints.append(bytes(SLOTS // 8))
-            continue
-        names, first = np.unique(name[own[k] : own[k + 1]], return_index=True)
-        pick, best = _least(names, factor, slot)
-        seg = own[k] + first[pick]
-        mine = slice(at[k], at[k + 1])
-        seen = code[mine][np.searchsorted(ends[mine], out_at[seg] + sample_places(size[seg]), "right")].astype(np.uint64)
-        prints.append(_bits(seen, names[pick], slot))
-    return prints
+    times = dwell[state, kind]
+    return times, np.concatenate([[0], np.cumsum(times, dtype=np.int64)])
 
 
-def _least(names: np.ndarray, factor: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each slot the name with the least product, and that."""
+def _some_fingerprints(texts: list[str], joined: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+    n = np.array([len(t) for t in texts], np.int64)
+    at = np.concatenate([[0], np.cumsum(n)])
+    code = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    if not len(code):
+        return [bytes(SLOTS // 8)] * len(texts), [bytes(SLOTS // 8)] * int(joined.sum())
+    kind = _kinds(code)
+    last, context = anchors(code)
+    doc = np.searchsorted(at, last, "right") - 1
+    inside = last - at[doc] >= CONTEXT - 1  # the characters before an anchor are of its text
+    last, context, doc = last[inside], context[inside], doc[inside]
+    kind[last] = ANCHOR
+    open_ = last < at[doc + 1] - 1
+    starts = at[:-1][n > 0]
+    begin, name = _by_place([starts, last[open_] + 1], [np.full(len(starts), 7, np.uint64), context[open_]])
+    times, written = _walk(kind, begin)
+    own = np.searchsorted(begin, at)
+    prints = _Prints(code, times, written[begin], np.diff(written[np.append(begin, len(kind))]), name)
+    k = np.flatnonzero(joined)
+    if not len(k):
+        return prints.of(own[:-1], np.diff(own)), []
+    # An edited text has the segments that end before its cut, new ones around it, and those of the next text that begin
+    # after an anchor there, the last of them cut off.
+    cut, there, end = at[k] + n[k] - n[k] // 3, at[k + 1], at[k + 1] + np.minimum(n[k] // 3, n[k + 1])
+    a, f = np.searchsorted(last, at[k]), np.searchsorted(last, there)
+    closed, met = np.searchsorted(last, cut) - a, np.searchsorted(last, end) - f
+    last_, context_ = np.append(last, 0), np.append(context, np.uint64(0))
+    from_ = np.where(closed > 0, last_[a + closed - 1] + 1, at[k])
+    named = np.where(closed > 0, context_[a + closed - 1], np.uint64(7))
+    to = np.where(met > 0, last_[f] + 1, end)
+    pieces = _ranges(np.stack([from_, there], 1).reshape(-1), np.stack([cut - from_, to - there], 1).reshape(-1))
+    new_kind = kind[pieces]
+    new_at = np.concatenate([[0], np.cumsum(cut - from_ + to - there)])
+    begins, names = [new_at[:-1][np.diff(new_at) > 0]], [named[np.diff(new_at) > 0]]
+    for q in range(CONTEXT - 1):  # anchors that characters of both texts set
+        both = np.flatnonzero((there + q < end) & (cut - at[k] + q >= CONTEXT - 1))
+        h = _context([code[(cut[both] if o < 0 else there[both]) + o] for o in range(q - CONTEXT + 1, q + 1)])
+        both, h = both[_chosen(h)], h[_chosen(h)]
+        place = new_at[both] + (cut - from_)[both] + q
+        new_kind[place] = ANCHOR
+        inner = place + 1 < new_at[both + 1]
+        begins.append(place[inner] + 1)
+        names.append(h[inner])
+    new_begin, new_name = _by_place(begins, names)
+    new_own = np.searchsorted(new_begin, new_at)
+    if len(new_kind):
+        new_times, new_written = _walk(new_kind, new_begin)
+        first = prints.add(new_written[new_begin] + written[-1], np.diff(new_written[np.append(new_begin, len(new_kind))]), new_name)
+        prints.write(code[pieces], new_times)
+    else:
+        first = len(begin)
+    tail = last_[f + met - 1] + 1
+    part = (met > 0) & (tail < end)
+    tails = prints.add(written[tail[part]], written[end[part]] - written[tail[part]], context_[f + met - 1][part])
+    start = np.stack([own[k], first + new_own[:-1], own[k + 1] + 1, tails + np.cumsum(part) - part], 1)
+    count = np.stack([closed, np.diff(new_own), np.maximum(met - 1, 0), part], 1)
+    seen = prints.of(np.concatenate([own[:-1], start.reshape(-1)]), np.concatenate([np.diff(own), count.reshape(-1)]), [1] * len(texts) + [4] * len(k))
+    return seen[: len(texts)], seen[len(texts) :]
+
+
+def _by_place(begins: list[np.ndarray], names: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    begin, name = np.concatenate(begins), np.concatenate(names)
+    order = np.argsort(begin, kind="stable")
+    return begin[order], name[order]
+
+
+class _Prints:
+    """What is written of many segments (place, size, name), and fingerprints of texts made of them."""
+
+    def __init__(self, code: np.ndarray, times: np.ndarray, at: np.ndarray, size: np.ndarray, name: np.ndarray):
+        self.parts, self.at, self.size, self.name = [np.repeat(code, times)], at, size, name
+
+    def write(self, code: np.ndarray, times: np.ndarray) -> None:
+        self.parts.append(np.repeat(code, times))
+
+    def add(self, at: np.ndarray, size: np.ndarray, name: np.ndarray) -> int:
+        """The number of the first of more segments."""
+        first = len(self.at)
+        self.at, self.size, self.name = (np.concatenate(x) for x in ((self.at, at), (self.size, size), (self.name, name)))
+        return first
+
+    def of(self, start: np.ndarray, count: np.ndarray, ranges: list[int] | None = None) -> list[bytes]:
+        """Of each text, whose segments are those of one range or of so many ranges one after another; of equal names the first counts."""
+        segments = _ranges(start, count)
+        if ranges is not None:
+            count = np.add.reduceat(count, np.cumsum(ranges) - ranges)
+        _, slot, factor = _slots()
+        said = np.concatenate(self.parts)
+        few, ends, names = _few_places(), np.cumsum(count).tolist(), self.name[segments]
+        out = np.zeros((len(count), SLOTS // 8), np.uint8)
+        full = np.flatnonzero(count)
+        for a in range(0, len(full), 256):
+            own = full[a : a + 256]
+            pick = np.empty((len(own), SLOTS), np.int64)
+            for row, k in enumerate(own.tolist()):
+                b = ends[k - 1] if k else 0
+                pick[row] = _least(names[b : ends[k]], factor, slot)
+                pick[row] += b
+            size = self.size[segments[pick]]
+            place = few[np.minimum(size, len(few) - 1), slot].astype(np.int64)
+            r, c = np.nonzero(size >= len(few))
+            place[r, c] = sample_places(size[r, c], c)
+            out[own] = _bits(said[self.at[segments[pick]] + place].astype(np.uint64), names[pick], slot)
+        return [x.tobytes() for x in out]
+
+
+def _least(names: np.ndarray, factor: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    """For each slot the first name with the least product."""
+    if len(names) <= 4096:
+        return (factor[:, None] * names).argmin(1)
     best, pick = np.full(SLOTS, np.iinfo(np.uint64).max), np.zeros(SLOTS, np.int64)
     for a in range(0, len(names), 4096):
-        drawn = names[None, a : a + 4096] * factor[:, None]
+        drawn = factor[:, None] * names[a : a + 4096]
         k = drawn.argmin(1)
         least = drawn[slot, k]
         pick = np.where(least < best, a + k, pick)
         best = np.minimum(least, best)
-    return pick, best
+    return pick
 
 
-def _bits(seen: np.ndarray, names: np.ndarray, slot: np.ndarray) -> bytes:
+def _bits(seen: np.ndarray, names: np.ndarray, slot: np.ndarray) -> np.ndarray:
     bits = _mix(_mix(seen + (slot.astype(np.uint64) << np.uint64(32))) + names) >> np.uint64(63)
-    return np.packbits(bits.astype(np.uint8)).tobytes()
+    return np.packbits(bits.astype(np.uint8), axis=-1)
 
 
 def agreement(a: bytes, b: bytes) -> float:
@@ -305,6 +417,117 @@ def within(a: str, b: str, most: int) -> bool:
     return False
 
 
+#: Pairs are verified together in tables of so many diagonals at most, over so many characters of texts, and alone where they are few.
+DIAGONALS, CHARACTERS, FEW_PAIRS = 400_000, 1_000_000, 6
+
+
+def within_all(a: list[str], b: list[str], pairs: list[tuple[int, int]], most: list[int]) -> np.ndarray:
+    """For each pair (p, q), ``within`` of a[p], b[q] and its ``most``.
+
+    Pairs of about one bound go through its steps together. Equal stretches are told by sums of hashes there, which can
+    only take too much for equal, so what passes is tried once more by itself.
+    """
+    good = np.zeros(len(pairs), bool)
+    held: list[int] = []
+    seen: dict[tuple[int, int], int] = {}
+
+    def settle() -> None:
+        few = len(held) < FEW_PAIRS
+        may = np.ones(len(held), bool) if few else _may_be_within([(a[pairs[k][0]], b[pairs[k][1]]) for k in held], np.array([most[k] for k in held], np.int64))
+        for k, ok in zip(held, may.tolist(), strict=True):
+            good[k] = ok and within(a[pairs[k][0]], b[pairs[k][1]], most[k])
+        held.clear()
+        seen.clear()
+
+    for k in sorted(range(len(pairs)), key=lambda k: most[k]):
+        p, q = pairs[k]
+        new = {(0, p): len(a[p]), (1, q): len(b[q])}
+        if held and ((len(held) + 1) * (2 * most[k] + 3) > DIAGONALS or most[k] > 8 + 3 * most[held[0]] // 2 or sum((seen | new).values()) > CHARACTERS):
+            settle()
+        held.append(k)
+        seen.update(new)
+    settle()
+    return good
+
+
+def _may_be_within(pairs: list[tuple[str, str]], most: np.ndarray) -> np.ndarray:
+    """As ``within`` for each pair, step by step for all; never False for one that is."""
+    place: dict[str, int] = {}
+    size = 0
+    for x in (x for pair in pairs for x in pair):
+        if x not in place:
+            place[x], size = size, size + len(x)
+    code = np.frombuffer("".join(place).encode("utf-32-le", "surrogatepass"), np.uint32)
+    power = np.full(size + 1, 0x9E3779B97F4A7C15, np.uint64)
+    power[0] = 1
+    power = np.cumprod(power)
+    sums = np.zeros(size + 1, np.uint64)
+    np.cumsum(_mix(code.astype(np.uint64)) * power[:-1], out=sums[1:])
+    # Of two texts the first stands before the second, so the powers of the one are those of the other times a power.
+    pairs = [(x, y) if place[x] <= place[y] else (y, x) for x, y in pairs]
+    pa_, pb = (np.array([place[pair[k]] for pair in pairs], np.int64) for k in (0, 1))
+    m, n = (np.array([len(pair[k]) for pair in pairs], np.int64) for k in (0, 1))
+    goal, top = n - m, int(most.max())
+    d = np.arange(-top - 1, top + 2)
+    none = -(1 << 30)
+    far = np.full((len(pairs), len(d)), none, np.int64)
+    rows, good = np.arange(len(pairs)), np.zeros(len(pairs), bool)
+    open_ = np.abs(goal) <= most
+    for e in range(top + 1):
+        if not open_.all():
+            keep = np.flatnonzero(open_)
+            rows, far, pa_, pb, m, n, goal, most = (x[keep] for x in (rows, far, pa_, pb, m, n, goal, most))
+        if not len(rows):
+            break
+        left = int(most.max()) - e
+        lo, hi = max(-e, int(goal.min()) - left) + top + 1, min(e, int(goal.max()) + left) + top + 1
+        own = d[lo : hi + 1]
+        end = np.minimum(m[:, None], n[:, None] - own)
+        if e:
+            f = far[:, lo - 1 : hi + 2]
+            new = np.minimum(np.maximum(np.maximum(f[:, 1:-1], f[:, 2:]) + 1, f[:, :-2]), end)
+        else:
+            new = np.zeros((len(rows), 1), np.int64)
+        new[new < np.maximum(0, -own)] = none
+        r, c = np.nonzero((new >= 0) & (new < end) & (np.abs(own - goal[:, None]) <= (most - e)[:, None]))
+        i = new[r, c]
+        new[r, c] = i + _equal_from(code, sums, power, pa_[r] + i, pb[r] + i + own[c], end[r, c] - i)
+        far[:, lo : hi + 1] = new
+        there = far[np.arange(len(rows)), goal + top + 1] >= m
+        good[rows[there]] = True
+        open_ = ~there & (most > e)
+    return good
+
+
+def _equal_from(code: np.ndarray, sums: np.ndarray, power: np.ndarray, x: np.ndarray, y: np.ndarray, room: np.ndarray) -> np.ndarray:
+    """How many characters from places x on equal those from y on, up to ``room``: first in steps that double, then that halve."""
+    got = (code[x] == code[y]).astype(np.int64)
+    on = np.flatnonzero(got)
+    shift = power[y[on] - x[on]]
+
+    def equal(step: int, at: np.ndarray) -> np.ndarray:
+        k = on[at]
+        a, b = x[k] + got[k], y[k] + got[k]
+        fits = room[k] - got[k] >= step
+        a_end, b_end = np.where(fits, a + step, a), np.where(fits, b + step, b)
+        same = fits & ((sums[a_end] - sums[a]) * shift[at] == sums[b_end] - sums[b])
+        got[k] += step * same
+        return same
+
+    ended, step, at = [], 1, np.arange(len(on))
+    while len(at):
+        same = equal(step, at)
+        ended.append(at[~same])
+        at, step = at[same], 2 * step
+    at = np.zeros(0, np.int64)
+    for done in ended[::-1]:
+        step //= 2
+        at = np.concatenate([at, done])
+        if step > 1:
+            equal(step // 2, at)
+    return got
+
+
 def alike(a: str, b: str, percent: int) -> bool:
     """Whether at most 100 - percent hundredths of the longer text have to be edited."""
     return within(a, b, (100 - percent) * max(len(a), len(b)) // 100)
@@ -353,12 +576,14 @@ def _text_links(least: float, percent: int):
         na, nb, ta, tb = (t[c].to_pylist() for c, t in (("node", a), ("node", b), ("text", a), ("text", b)))
         la, lb = np.array([len(t) for t in ta]), np.array([len(t) for t in tb])
         most = (100 - percent) * np.maximum(la[:, None], lb) // 100
-        i, j = np.nonzero((like >= least) & (ca[:, None] != cb) & (np.abs(la[:, None] - lb) <= most))
+        near = (like >= least) & (ca[:, None] != cb) & (np.abs(la[:, None] - lb) <= most)
+        i, j = np.nonzero(np.triu(near) if na == nb else near)  # a block that meets itself has each pair twice
         pa_, pb = _profiles(ta), _profiles(tb)
         near = [np.abs(pa_[i[k : k + 4096]] - pb[j[k : k + 4096]]).sum(1) <= 4 * most[i[k : k + 4096], j[k : k + 4096]] for k in range(0, len(i), 4096)]
         if near:
             i, j = i[np.concatenate(near)], j[np.concatenate(near)]
         order = np.argsort(-like[i, j], kind="stable")
+        i, j = i[order], j[order]
         root: dict[int, int] = {}
 
         def find(x: int) -> int:
@@ -366,12 +591,18 @@ def _text_links(least: float, percent: int):
                 root[x] = x = root[root[x]]
             return x
 
-        out = []
-        for p, q in zip(i[order].tolist(), j[order].tolist(), strict=True):
-            x, y = find(int(ca[p])), find(int(cb[q]))
-            if x != y and alike(ta[p], tb[q], percent):
-                root[y] = x
-                out.append((na[p], nb[q]))
+        out, at, many = [], 0, 64
+        while at < len(i):
+            # What is still apart is verified together, more at a time as fewer components are left.
+            own = slice(at, at + many)
+            at, many = at + many, 4 * many
+            tried = [(p, q) for p, q in zip(i[own].tolist(), j[own].tolist(), strict=True) if find(int(ca[p])) != find(int(cb[q]))]
+            good = within_all(ta, tb, tried, [int(most[x]) for x in tried])
+            for (p, q), ok in zip(tried, good, strict=True):
+                x, y = find(int(ca[p])), find(int(cb[q]))
+                if ok and x != y:
+                    root[y] = x
+                    out.append((na[p], nb[q]))
         return pa.table({c: pa.array([r[k] for r in out], pa.int64()) for k, c in enumerate(("a", "b"))})
 
     return kernel
@@ -467,10 +698,10 @@ def _follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             continue
         pairs = [(a, b) for a, b in zip(rows, rows[1:], strict=False) if a[0] == b[0] and not a[3]]
         edited = [a[2][: len(a[2]) - len(a[2]) // 3] + b[2][: len(a[2]) // 3] for a, b in pairs]
-        prints = fingerprints_of([r[2] for r in rows] + edited)
-        own = dict(zip(map(id, rows), prints, strict=False))
+        prints, changed = chained_fingerprints([r[2] for r in rows], [a[0] == b[0] and not a[3] for a, b in zip(rows, rows[1:], strict=False)] + [False])
+        own = dict(zip(map(id, rows), prints, strict=True))
         out = []
-        for (a, b), text, p in zip(pairs, edited, prints[len(rows) :], strict=True):
+        for (a, b), text, p in zip(pairs, edited, changed, strict=True):
             mine, other = own[id(a)], own[id(b)]
             text_hash = hashlib.sha256(a[2].encode("utf-8", "surrogatepass")).digest()
             out.append((a[1], len(a[2]), hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest(), mine.hex(), p.hex(), likeness(mine, p), likeness(mine, other), text_hash, np.frombuffer(mine, "<i8").tolist()))

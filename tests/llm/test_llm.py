@@ -10,6 +10,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 
@@ -371,6 +372,48 @@ def test_edits_within_a_bound():
     assert within(long, long[:70_000] + "x" + long[70_001:], 1) and not within(long, long[::-1], 100) and not within(long, "", 5)
 
 
+def test_edited_texts_share_the_walks_of_theirs(monkeypatch):
+    """Edited texts have the fingerprints of the plain function, for little more than the walks of the texts themselves."""
+    from bytelens.functions import lockstep
+    from bytelens.llm import edit_fingerprint as e
+
+    rng = random.Random(12)
+    odd = ["", "a", "ab", "abc", "abcd", "\0" * 9, "é\ud800 日本" * 40, "ab" * 2500, "", prose(rng, 3000)]
+    rows = [(1, k, rng.choice(odd) if rng.random() < 0.2 else prose(rng, rng.randrange(120))[: rng.choice([6, 5000])], k == 149) for k in range(150)]
+    pairs = list(zip(rows, rows[1:]))
+    walked, fold = [], lockstep.fold
+    monkeypatch.setattr(lockstep, "fold", lambda raw, *args, **named: walked.append(len(raw)) or fold(raw, *args, **named))
+    got = pd.concat(e._follow([pd.DataFrame(rows, columns=["_part", "_id", "_text", "_guest"])]))
+    edits = [a[2][: len(a[2]) - len(a[2]) // 3] + b[2][: len(a[2]) // 3] for a, b in pairs]
+    assert got["fingerprint"].tolist() == [e.fingerprint(a[2]).hex() for a, _ in pairs]
+    assert got["edited_fingerprint"].tolist() == [e.fingerprint(t).hex() for t in edits]
+    assert sum(walked) < 1.4 * sum(len(r[2]) for r in rows)
+    texts, joined = [r[2] for r in rows], [True] * 149 + [False]
+    assert e.chained_fingerprints(texts, joined, most=300) == e.chained_fingerprints(texts, joined)
+
+
+def test_pairs_are_verified_together(monkeypatch):
+    from bytelens.llm import edit_fingerprint as e
+
+    rng = random.Random(13)
+    texts = []
+    for n in (0, 1, 30, 200, 900):
+        text = "".join(rng.choice("abé ") for _ in range(n))
+        texts += [text] + [edited(rng, text, rng.choice([0.01, 0.05])) for _ in range(5)]
+    pairs = [(rng.randrange(len(texts)), rng.randrange(len(texts))) for _ in range(600)]
+    most = [rng.choice([0, 1, 2, 5, 20, 40]) for _ in pairs]
+    want = [e.within(texts[p], texts[q], k) for (p, q), k in zip(pairs, most)]
+    assert 100 < sum(want) < 500 and e.within_all(texts, texts, pairs, most).tolist() == want and e.within_all([], [], [], []).tolist() == []
+    # In a block that meets itself nothing that fails is tried by itself, nor what passes twice.
+    tried, within = [], e.within
+    monkeypatch.setattr(e, "within", lambda a, b, most: tried.append((a, b)) or within(a, b, most))
+    base = prose(rng, 600)
+    far = [base] + [edited(rng, base, 0.015) for _ in range(11)] + [base + "!"]
+    block = pa.table({"node": pa.array(range(13), pa.int64()), "comp": pa.array(range(13), pa.int64()), "text": far, "words": [np.frombuffer(e.fingerprint(base), "<i8").tolist()] * 13})
+    links = e._text_links(0.6, 99)(block, block)
+    assert {tuple(sorted(r.values())) for r in links.to_pylist()} == {(0, 12)} and len(tried) <= 2
+
+
 def edited(rng, text, share):
     """text after at most that share of its length in random edits."""
     t = list(text)
