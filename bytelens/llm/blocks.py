@@ -28,7 +28,8 @@ def stars(keyed: DataFrame, scratch: Scratch) -> DataFrame:
     one in nearly all bands, so a member meets a few leads, however many keys it shares.
     """
     counts = scratch.save(keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"))
-    shared = scratch.save(keyed.join(counts, "key"))
+    # Spark sizes keyed as the nodes it was exploded from and would send it to every task.
+    shared = scratch.save(keyed.join(sized(counts, 100_000), "key"))
     company = shared.groupBy("node").agg(F.sum("c").alias("s"))
     lead = shared.join(company, "node").groupBy("key").agg(F.max(F.struct("s", (-F.col("node")).alias("m"))).alias("x"))
     met = shared.join(scratch.save(lead.select("key", (-F.col("x.m")).alias("a"))), "key").where("node <> a")

@@ -608,8 +608,8 @@ def _text_links(least: float, percent: int):
     return kernel
 
 
-#: A block of fingerprints has about so many rows; one of texts so many bytes.
-BLOCK_ROWS, TEXT_BYTES, SMALL_STAR = 2048, 4_000_000, 64
+#: A block of fingerprints has about so many rows; one of texts so many bytes. More fingerprints than SENT are never a broadcast.
+BLOCK_ROWS, TEXT_BYTES, SMALL_STAR, SENT = 2048, 4_000_000, 64, 50_000
 
 
 def _near_in_stars(star: DataFrame, least: float, scratch: Scratch) -> DataFrame:
@@ -643,9 +643,12 @@ def similar_texts(docs: DataFrame, printed: DataFrame, *, percent: int = 99, aim
     # Texts are told apart by their hashes, also where two have one id.
     nodes = printed.where("id IS NOT NULL").groupBy("text_hash", "words").agg(F.min("id").alias("id"))
     nodes = scratch.save(nodes.select("text_hash", "id", F.xxhash64("text_hash").alias("node"), "words"))
-    count, bits = band_shape(nodes.count(), aim)
+    n = nodes.count()
+    count, bits = band_shape(n, aim)
+    # Spark takes an array for one number, so it would send fingerprints to every task when they are ten times too large.
+    words = nodes.select("node", "words") if n <= SENT else nodes.select("node", "words").hint("merge")
     met = stars(band_keys(nodes, count, bits), scratch)
-    side = lambda c: nodes.select(F.col("node").alias(c), F.col("words").alias("w" + c))
+    side = lambda c: words.select(F.col("node").alias(c), F.col("words").alias("w" + c))
     like = agreement_of(F.col("wa"), F.col("wb"))
     near = met.join(side("a"), "a").join(side("b"), "b").select("a", "b", like.alias("like")).where(F.col("like") >= least)
     # Each member with the lead that it is most like.
@@ -665,13 +668,13 @@ def similar_texts(docs: DataFrame, printed: DataFrame, *, percent: int = 99, aim
             label = scratch.save(connected_components(links, scratch))
         scratch.release(2)
     own = met.select("a", F.col("a").alias("b")).distinct()  # a lead is a member too
-    star = scratch.save(split_stars(met.union(own), label, scratch).join(nodes.select("node", "words"), "node"))
+    star = scratch.save(split_stars(met.union(own), label, scratch).join(words, "node"))
     if star.take(1):
         found = scratch.save(_near_in_stars(star, least, scratch).distinct())
         # Stars that share a member are one group from here on, so a text goes once to each block that it meets.
         one = connected_components(found.select("node", "grp"), scratch).select("node", F.col("component").alias("g"))
         part = found.select("node").distinct().join(one, "node", "left").select("node", F.coalesce("g", "node").alias("grp"))
-        part = scratch.save(part.join(label, "node", "left").select("grp", "node", F.coalesce("component", "node").alias("comp")).join(nodes.select("node", "words"), "node"))
+        part = scratch.save(part.join(label, "node", "left").select("grp", "node", F.coalesce("component", "node").alias("comp")).join(words, "node"))
         scratch.release(2)
         if part.take(1):
             whole = part.join(texts(scratch.save(part.select("node"))), "node").withColumn("weight", F.octet_length("text") + TEXT_BYTES // BLOCK_ROWS)

@@ -1,10 +1,13 @@
 """What showed on larger tables only, on fixtures small enough to hold it."""
 
 import math
+import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from bytelens.functions import payload
+from bytelens.scratch import Scratch
 
 
 def test_block_entropy_near_a_border():
@@ -15,3 +18,52 @@ def test_block_entropy_near_a_border():
     n = np.unique(grams, return_counts=True)[1]
     bits = math.log2(253) - math.fsum(int(k) * math.log2(k) for k in n) / 253
     assert payload.block_fingerprint(np.frombuffer(text, np.uint8))[1] == math.floor(bits * 16 + 0.5) == 106
+
+
+class Watched(Scratch):
+    """Notes the plans of what it writes."""
+
+    def __init__(self, spark):
+        super().__init__(spark)
+        self.plans = []
+
+    def save(self, df):
+        self.plans.append(plan_of(df))
+        return super().save(df)
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_exploded_keys_of_stars_are_no_broadcast(spark):
+    """The keys' size is taken for that of their nodes, here less than that of the table of counts."""
+    from bytelens.llm.blocks import stars
+
+    nodes = Scratch(spark).save(spark.range(200).select(F.col("id").alias("node")))
+    first = F.floor(F.col("node") / 2) * 200
+    watched = Watched(spark)
+    met = stars(nodes.select("node", F.explode(F.sequence(first, first + 199)).alias("x")).select("node", F.xxhash64("x").alias("key")), watched)
+    assert {(r["a"], r["b"]) for r in met.collect()} == {(k, k + 1) for k in range(0, 200, 2)}
+    sent = [p[at.start() :].split("\n") for p in watched.plans for at in re.finditer("BroadcastExchange", p)]
+    assert not any("Generate" in line for lines in sent for line in lines[:4])
+
+
+def test_exploded_keys_of_bands_are_no_broadcast(spark):
+    from bytelens.operators import neighbours
+
+    df = Scratch(spark).save(spark.range(64).select("id", F.xxhash64("id").alias("s"), F.array(F.col("id") % 8).alias("keys")))
+    assert re.search(r"SortMergeJoin \[band", plan_of(neighbours.simhash_pairs(df, "id", F.col("s"))))
+    assert re.search(r"SortMergeJoin \[band", plan_of(neighbours.band_candidates(df, "id", F.col("keys"))))
+
+
+def test_simhash_of_many_rows(spark):
+    """In batches; a null item has no vote, a null set no signature."""
+    from bytelens.functions import columns as fc
+    from bytelens.functions import hashes, similar
+
+    rows = [(k, [f"w{k * i % 31}é" if i % 5 else None for i in range(k % 40)] if k % 7 else None) for k in range(300)]
+    got = {r["k"]: r["s"] for r in spark.createDataFrame(rows, "k long, x array<string>").select("k", fc.simhash_items(F.col("x")).alias("s")).collect()}
+    for k, x in rows:
+        h = np.array([hashes.mix64(w.encode(), 0) for w in x or [] if w is not None], np.uint64)
+        assert got[k] == (None if x is None else hashes.signed(similar.simhash(h)))
