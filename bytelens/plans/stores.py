@@ -139,11 +139,10 @@ def container_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = Scratch(spark).save(own)
     none = spark.range(1).select(fc.container_set(F.array().cast("array<bigint>")).alias("none"))
     pairs = own.join(own.select((F.col("k") - 1).alias("k"), F.col("x").alias("y")), "k", "left").crossJoin(F.broadcast(none)).select("k", "x", F.coalesce("y", "none").alias("y"))
-    met = pairs.select("k", "x", *[fc.container_merge(op, F.col("x"), F.col("y")).alias(op) for op in ("and", "or", "minus", "xor")])
-    size = lambda c, name: fc.container_size(F.col(c)).alias(name)
-    total = F.aggregate(fc.container_members(F.col("and")), F.lit(0).cast("long"), lambda s, v: s + v).alias("total")
-    sound = F.coalesce(*[fc.container_problem(F.col(c)) for c in ("x", "and", "or", "minus", "xor")]).isNull().alias("sound")
-    return met.select(F.col("k").alias("l_suppkey"), size("x", "n"), size("and", "both"), size("or", "either"), size("minus", "alone"), size("xor", "one"), total, sound)
+    x = F.col("x")
+    met = pairs.select(F.col("k").alias("l_suppkey"), fc.container_size(x).alias("n"), fc.container_problem(x).alias("problem"), fc.container_meets(x, F.col("y")).alias("m"))
+    sound = F.coalesce("problem", "m.problem").isNull().alias("sound")
+    return met.select("l_suppkey", "n", F.col("m.size_and").alias("both"), F.col("m.size_or").alias("either"), F.col("m.size_minus").alias("alone"), F.col("m.size_xor").alias("one"), F.col("m.total_and").alias("total"), sound)
 
 
 @query("SELECT o_orderpriority AS priority, count(DISTINCT o_custkey) AS n, sum(DISTINCT o_custkey)::BIGINT AS total FROM orders GROUP BY ALL")

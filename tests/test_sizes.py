@@ -67,3 +67,34 @@ def test_simhash_of_many_rows(spark):
     for k, x in rows:
         h = np.array([hashes.mix64(w.encode(), 0) for w in x or [] if w is not None], np.uint64)
         assert got[k] == (None if x is None else hashes.signed(similar.simhash(h)))
+
+
+def test_containers_of_any_kind_at_once():
+    """Sets of arrays, runs, bitmaps and of all of them, against sets of numbers; the forms are those of one container at a time."""
+    from bytelens.functions import containers as c
+
+    r = np.random.default_rng(4)
+    far, near = r.integers(0, 1 << 32, 900), r.integers(0, 1 << 17, 700)
+    thick, runs = r.choice(1 << 16, 20_000, replace=False) + (5 << 16), np.concatenate([np.arange(k, k + 50) for k in range(0, 1 << 20, 9_000)])
+    every = [np.zeros(0, np.int64), far, near, thick, runs, np.concatenate([far, thick, runs]), np.concatenate([near, runs + 25, far[:400]]), np.array([0, (1 << 32) - 1])]
+    one_by_one = lambda v: c._write([(int(h), c._fit(c.ARRAY, (v[v >> 16 == h] & 0xFFFF).astype("<u2"))) for h in np.unique(v >> 16)])
+    for x in every:
+        v = np.unique(x)
+        assert c.pack(x) == one_by_one(v) and c.unpack(c.pack(x)).tolist() == v.tolist() and c.cardinality(c.pack(x)) == len(v)
+        for y in every:
+            p, q = set(x.tolist()), set(y.tolist())
+            for op, want in zip(("and", "or", "minus", "xor"), (p & q, p | q, p - q, p ^ q), strict=True):
+                got = c.merge(op, c.pack(x), c.pack(y))
+                assert c.unpack(got).tolist() == sorted(want) and c.problem(got) is None and c.cardinality(got) == len(want)
+
+
+def test_far_numbers_cost_no_step_for_each_container(monkeypatch):
+    from bytelens.functions import containers as c
+
+    steps = []
+    monkeypatch.setattr(c, "_fit", lambda *a, f=c._fit: steps.append(a) or f(*a))
+    monkeypatch.setattr(c, "_both", lambda *a, f=c._both: steps.append(a) or f(*a))
+    x, y = (c.pack(np.arange(k, 1 << 30, 1 << 17)) for k in (0, 1 << 16))
+    for op in ("and", "or", "minus", "xor"):
+        assert c.problem(c.merge(op, x, y)) is None
+    assert not steps
