@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bytelens.functions import payload as pl
 from bytelens.scratch import Scratch, ordered
 from bytelens.session import ship
 
@@ -44,6 +45,68 @@ def with_context(pieces: DataFrame, n: int, *, key: str = "key", seq: str = "seq
     return out.select(*[F.concat(F.coalesce("_c", F.lit(b"")), F.col(payload)).alias(c) if c == payload else F.col(c) for c in pieces.columns])
 
 
+def _counted(n: int):
+    """Rows of whole payloads, piece by piece -> (key, distinct_grams, observations, most)."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: tuple | None = None
+        held: list[bytes] = []
+        out: list[tuple] = []
+
+        def close() -> None:
+            g = pl.ngrams(np.frombuffer(b"".join(held), np.uint8), n)
+            if len(g):
+                m = np.unique(g, return_counts=True)[1]
+                out.append((*now, len(m), len(g), int(m.max())))
+            held.clear()
+
+        def rows(kind: pa.DataType) -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((kind, *[pa.int64()] * 3))], ["key", "distinct_grams", "observations", "most"])
+            out.clear()
+            return made
+
+        kind = None
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            for k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if now != (k,):
+                    if now is not None:
+                        close()
+                    now = (k,)
+                held.append(raw or b"")
+            yield rows(kind)
+        if now is not None:
+            close()
+            yield rows(kind)
+
+    return count
+
+
+def piece_ngrams(pieces: DataFrame, n: int, *, key: str = "key", seq: str = "seq", payload: str = "payload", whole: int = 4_000_000, scratch: Scratch | None = None) -> DataFrame:
+    """(key, distinct_grams, observations, most): how many n-grams whole payloads have, each once and all, and how often the most
+    frequent one stands there, from their pieces.
+
+    The pieces of a payload of up to ``whole`` bytes meet in one task, so no more than they is shuffled. Those of a longer
+    one are counted where they are, with what stands before them, and its counts are dealt by gram.
+    """
+    from bytelens.operators.histograms import ngram_histogram
+
+    ship(pieces.sparkSession)
+    scratch = scratch or Scratch(pieces.sparkSession)
+    long = scratch.save(pieces.groupBy(F.col(key).alias("_k")).agg(F.sum(F.length(payload)).alias("_n")).where(F.col("_n") > whole).select("_k"))
+    count = long.count()
+    named = F.broadcast(long) if count <= 1_000_000 else long
+    cut = lambda how: pieces.join(named, F.col(key).eqNullSafe(F.col("_k")), how) if count else pieces
+    kind = pieces.schema[key].dataType.simpleString()
+    few = cut("left_anti").select(F.col(key).alias("key"), F.col(seq).alias("seq"), F.col(payload).alias("payload"))
+    few = few.repartition("key").sortWithinPartitions("key", "seq").select("key", "payload")
+    out = few.mapInArrow(_counted(n), f"key {kind}, distinct_grams long, observations long, most long")
+    if count:
+        h = ngram_histogram(with_context(cut("left_semi"), n, key=key, seq=seq, payload=payload, scratch=scratch), F.col(payload), n, [key])
+        out = out.union(h.groupBy(F.col(key).alias("key")).agg(F.count("*").alias("distinct_grams"), F.sum("cnt").alias("observations"), F.max("cnt").alias("most")))
+    return out.withColumnRenamed("key", key)
+
+
 def fold_pieces(pieces: DataFrame, leaf: Callable[[bytes], bytes], combine: Callable[[bytes, bytes], bytes], *, key: str = "key", seq: str = "seq", payload: str = "payload", fan: int = 256) -> DataFrame:
     """(key, state): the fold of each key's pieces in order of seq, a whole number from 0; combine need only be associative.
 

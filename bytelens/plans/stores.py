@@ -173,13 +173,11 @@ def piece_run_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_BYTES + """, p AS (SELECT doc_id, h || lead(h, 1) OVER w || lead(h, 2) OVER w || lead(h, 3) OVER w AS g FROM b WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
 c AS (SELECT doc_id, g, count(*) AS n FROM p WHERE g IS NOT NULL GROUP BY ALL) SELECT doc_id, count(*) AS distinct_grams, sum(n)::BIGINT AS observations, max(n) AS most FROM c GROUP BY doc_id""")
 def piece_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The runs of four bytes of whole documents, from pieces of 300 bytes that know what stands before them."""
-    from bytelens.operators import histograms
-    from bytelens.operators.segments import with_context
+    """The runs of four bytes of whole documents, from pieces of 300 bytes."""
+    from bytelens.operators.segments import piece_ngrams
 
     d = table(spark, sf_dir, "documents").where(F.length("text") > 0)
-    h = histograms.ngram_histogram(with_context(_pieces(d, 300), 4), F.col("payload"), 4, ["key"])
-    return h.groupBy(F.col("key").alias("doc_id")).agg(F.count("*").alias("distinct_grams"), F.sum("cnt").alias("observations"), F.max("cnt").alias("most"))
+    return piece_ngrams(_pieces(d, 300), 4).withColumnRenamed("key", "doc_id")
 
 
 @query()

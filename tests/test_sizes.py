@@ -98,3 +98,27 @@ def test_far_numbers_cost_no_step_for_each_container(monkeypatch):
     for op in ("and", "or", "minus", "xor"):
         assert c.problem(c.merge(op, x, y)) is None
     assert not steps
+
+
+def test_grams_of_pieces_are_not_shuffled_one_by_one(spark):
+    import __spark_entry__
+
+    plan = plan_of(__spark_entry__.queries()["piece_grams"](spark, "/root/testdata/sf0.001"))
+    assert "hashpartitioning(key" in plan and not re.search(r"hashpartitioning\([^)]*gram", plan)
+
+
+def test_grams_of_short_and_long_payloads(spark):
+    """Cut anywhere, in any order; a null key is a key, null pieces are empty, short payloads have no grams."""
+    from collections import Counter
+
+    from bytelens.operators.segments import piece_ngrams
+
+    r = np.random.default_rng(6)
+    raw = {k: bytes(r.integers(97, 101, int(n), np.uint8)) for k, n in zip([None, *range(40)], r.choice([0, 2, 4, 5, 300, 900, 1001, 5000], 41), strict=True)}
+    rows = [(k, i // 7, x[i : i + 7]) for k, x in raw.items() for i in range(0, len(x), 7)] + [(3, 10_000, None), (50, 0, None)]
+    r.shuffle(rows)
+    df = spark.createDataFrame([(k, int(s), x) for k, s, x in rows], "key long, seq long, payload binary").repartition(5)
+    for whole in (0, 1000, 1 << 30):
+        got = {x["key"]: tuple(x)[1:] for x in piece_ngrams(df, 4, whole=whole).collect()}
+        grams = {k: Counter(x[i : i + 4] for i in range(len(x) - 3)) for k, x in raw.items()}
+        assert got == {k: (len(g), g.total(), max(g.values())) for k, g in grams.items() if g}
