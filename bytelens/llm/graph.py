@@ -1,38 +1,5 @@
-"""Connected components by alternating large and small stars, as joins and partial aggregates."""
+"""The library's connected components, under the name that the operators here use."""
 
-from __future__ import annotations
+from bytelens.operators.graphs import connected_components
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from bytelens.llm.scratch import Scratch
-
-
-def _mark(df: DataFrame) -> tuple:
-    return tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.pmod(F.xxhash64("v", "u"), F.lit(1 << 31)))).first())
-
-
-def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """edges: two long columns (u, v). Returns (node, component): every node that has an edge to another
-    and is not itself the smallest of its component, with that smallest id. Self loops and null ends are
-    ignored. Each round sends every node's neighbours to the least of them; minima are pre-aggregated, so
-    a hub with a third of all edges is one partial aggregate and a join that adaptive execution can split.
-    """
-    u, v = edges.columns[:2]
-    now = scratch.save(
-        edges.where(f"`{u}` <> `{v}`").select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct()
-    )
-    mark = _mark(now)
-    while mark[0]:
-        both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = scratch.save(large)
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        new = scratch.save(small.union(least.select("u", F.col("m").alias("v"))).distinct())
-        scratch.drop(large, now)
-        now, old, mark = new, mark, _mark(new)
-        if mark == old:
-            break
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+__all__ = ["connected_components"]

@@ -25,11 +25,12 @@ class Watched(Scratch):
 
     def __init__(self, spark):
         super().__init__(spark)
-        self.plans = []
+        self.plans, self.written = [], []
 
     def save(self, df):
         self.plans.append(plan_of(df))
-        return super().save(df)
+        self.written.append(super().save(df))
+        return self.written[-1]
 
 
 def plan_of(df) -> str:
@@ -122,3 +123,38 @@ def test_grams_of_short_and_long_payloads(spark):
         got = {x["key"]: tuple(x)[1:] for x in piece_ngrams(df, 4, whole=whole).collect()}
         grams = {k: Counter(x[i : i + 4] for i in range(len(x) - 3)) for k, x in raw.items()}
         assert got == {k: (len(g), g.total(), max(g.values())) for k, g in grams.items() if g}
+
+
+def test_similar_sets_in_blocks(spark, monkeypatch):
+    """Groups of near sets larger than a block, copies, repeated ids, null and empty sets; against all pairs."""
+    from bytelens.operators import content, neighbours
+
+    monkeypatch.setattr(neighbours, "BLOCK_ELEMENTS", 60)
+    r = np.random.default_rng(8)
+    rows: list[tuple] = [(0, None), (1, [])]
+    for g in range(6):
+        base = [f"g{g}w{i}" for i in range(int(r.integers(1, 40)))]
+        rows += [(len(rows) + k, [w for w in base if r.random() > 0.06] or base[:1]) for k in range(25)]
+    rows += [(k + 1000, x) for k, x in rows[5:60:5]] + [(7, ["a", "b", "c"]), (7, ["a", "b", "c", "d", "e"]), (8, ["a", "b", "c", "d", None])]
+    df = spark.createDataFrame(rows, "id long, w array<string>")
+    want = sorted((a, b, round(len(set(x) & set(y)) / len(set(x) | set(y)), 9)) for a, x in rows for b, y in rows if a < b and x and y and 10 * len(set(x) & set(y)) >= 8 * len(set(x) | set(y)))
+    assert len(want) > 300
+    got = neighbours.set_similarity_join(df, "id", F.col("w"), 0.8).collect()
+    assert sorted((x["a"], x["b"], round(x["jaccard"], 9)) for x in got) == want
+    bands = F.transform(F.sequence(F.lit(0), F.lit(1)), lambda i: i.cast("long"))  # all are candidates
+    got = neighbours.set_similarity_join(df, "id", F.col("w"), 0.8, bands=bands).collect()
+    assert sorted((x["a"], x["b"], round(x["jaccard"], 9)) for x in got) == want
+    got = neighbours.set_similarity_join(df.where("size(array_compact(w)) = size(w)"), "id", F.col("w"), 0.8, bands=content.minhash_bands(content.minhash(F.col("w"), 128, 11), 32)).collect()
+    assert {(x["a"], x["b"]) for x in got} == {x[:2] for x in want} - {x[:2] for x in want if 8 in x[:2]} | {(x["a"], x["b"]) for x in got if 8 in (x["a"], x["b"])}
+
+
+def test_a_set_is_dealt_once_for_all_its_pairs(spark):
+    from bytelens.operators import neighbours
+
+    scratch = Watched(spark)
+    sets = scratch.save(spark.range(50).select(F.col("id").alias("uid"), F.lit(30).cast("long").alias("n"), F.sequence(F.col("id"), F.col("id") + 29).alias("o")))
+    pairs = scratch.save(spark.range(50).select(F.col("id").alias("a")).join(spark.range(50).select(F.col("id").alias("b"))).where("a < b"))
+    found = neighbours.overlaps(sets, pairs, scratch)
+    assert {(x["a"], x["b"], x["na"], x["nb"], x["both"]) for x in found.collect()} == {(a, b, 30, 30, max(0, 30 - b + a)) for a in range(50) for b in range(a + 1, 50)}
+    asked = [x for x in scratch.written if x.columns == ["grp", "i", "j", "uid"]]
+    assert [x.count() for x in asked] == [50]
