@@ -249,11 +249,9 @@ def exact_jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(PAIRS)
 def lsh_verified_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates of 32 bands of 4 minima (all but 5e-8 of the pairs at 0.8), then the sets themselves."""
-    s = _word_sets(spark, sf_dir).where(F.size("w") > 0)
-    c = neighbours.band_candidates(s, "id", content.minhash_bands(content.minhash(F.col("w"), 128, 11), 32))
-    a, b = s.select(F.col("id").alias("a"), F.col("w").alias("x")), s.select(F.col("id").alias("b"), F.col("w").alias("y"))
-    j = fn.jaccard_sets(F.col("x"), F.col("y"))
-    return c.join(a, "a").join(b, "b").where(j >= 0.8 - 1e-12).select("a", "b", r6(j, "jaccard"))
+    bands = content.minhash_bands(content.minhash(F.col("w"), 128, 11), 32)
+    p = neighbours.set_similarity_join(_word_sets(spark, sf_dir), "id", F.col("w"), 0.8, bands=bands)
+    return p.select("a", "b", r6(F.col("jaccard"), "jaccard"))
 
 
 @query()
