@@ -153,6 +153,26 @@ def graph_order(edges: DataFrame, kind: str = "rcm", *, most: int = 2_000_000) -
     return e.coalesce(1).sortWithinPartitions("a", "b").mapInArrow(one, "id long, new_id long")
 
 
+def large_graph_order(edges: DataFrame, kind: str = "rcm", *, most: int = 2_000_000) -> DataFrame:
+    """As ``graph_order`` of a graph of any size: one of more than ``most`` distinct edges is ordered in rounds of joins.
+
+    rcm is the same order then. communities of a large graph merge many at a time (see ``communities``), which is another
+    order than merging one by one gives; a vertex that has only itself for a neighbour stands behind all others.
+    """
+    from bytelens.operators import communities, graphs
+
+    scratch = Scratch(edges.sparkSession)
+    e = scratch.save(edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct())
+    if e.count() <= most:
+        return graph_order(e, kind, most=most)
+    if kind == "rcm":
+        return graphs.rcm_levels(e, scratch)
+    out = communities.communities(e, scratch).select("id", "new_id")
+    alone = e.where("src = dst").select(F.col("src").alias("id")).join(out.select("id"), "id", "left_anti")
+    n = out.count()
+    return out.union(ordered(alone, [F.col("id")], scratch).select("id", F.col("pos") + n))
+
+
 def graph_bandwidth(edges: DataFrame, order: DataFrame) -> DataFrame:
     a, b = order.select(F.col("id").alias("src"), F.col("new_id").alias("x")), order.select(F.col("id").alias("dst"), F.col("new_id").alias("y"))
     return edges.join(a, "src").join(b, "dst").agg(F.max(F.abs(F.col("x") - F.col("y"))).alias("bandwidth"))

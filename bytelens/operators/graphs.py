@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bytelens.scratch import Scratch
+from bytelens.scratch import Scratch, ordered
 
 
 def adjacency(edges: DataFrame) -> DataFrame:
@@ -97,3 +99,82 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         if mark == old:
             break
     return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+
+
+def _walk(both: DataFrame, start: DataFrame, total: int, scratch: Scratch, step: Callable[[DataFrame], DataFrame], done: Callable[[DataFrame], DataFrame] = lambda new: new) -> list[DataFrame]:
+    """The written levels of a search through edges (u, v) from all rows of ``start`` (id, ...) at once, ``total`` vertices in all.
+
+    step(edges that leave the level before, with its rows) -> rows (id, ...), once each. What a level meets stands in the two
+    before it or is new; done(new rows) -> the rows of the level.
+    """
+    found = [scratch.save(start)]
+    seen = found[0].count()
+    while seen < total:
+        new = step(both.join(found[-1].withColumnRenamed("id", "u"), "u"))
+        for before in found[-2:]:
+            new = new.join(before.select("id"), "id", "left_anti")
+        new = scratch.save(done(new))
+        count = new.count()
+        if not count:
+            break
+        seen += count
+        found.append(new)
+    return found
+
+
+def rcm_levels(edges: DataFrame, scratch: Scratch, tries: int = 8) -> DataFrame:
+    """(id, new_id): the reverse Cuthill-McKee order of ``functions.orders.rcm``, the same one, level by level as joins.
+
+    A vertex stands behind the first vertex of the level before that it is a neighbour of, by degree and id among those, so
+    a level is sorted at once, and all components go on together. A level costs joins with all edges: a graph of many
+    edges that is also many thousand levels deep takes that many rounds.
+    """
+    flat = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
+    both = scratch.save(flat.select(F.explode(F.when(F.col("a") == F.col("b"), F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")))).otherwise(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v"))))).alias("e")).select("e.*"))
+    label = connected_components(both.where("u > v"), scratch)
+    degree = both.groupBy(F.col("u").alias("id")).agg(F.count("*").alias("degree"))
+    vertices = scratch.save(degree.join(label.withColumnRenamed("node", "id"), "id", "left").select("id", "degree", F.coalesce("component", "id").alias("comp")))
+    least = F.min(F.struct("degree", "id"))
+    seeds = scratch.save(vertices.groupBy("comp").agg(least.alias("s"), F.count("*").alias("n")).select("comp", "s.degree", "s.id", "n"))
+
+    def depths(roots: DataFrame) -> DataFrame:
+        """(id, comp, level) of the components of roots (comp, id)."""
+        total = seeds.join(roots.select("comp"), "comp", "left_semi").agg(F.sum("n")).first()[0] or 0
+        step = lambda met: met.groupBy(F.col("v").alias("id")).agg(F.min("comp").alias("comp"))
+        rows = None
+        for k, level in enumerate(_walk(both, roots.select("id", "comp"), total, scratch, step)):
+            one = level.select("id", "comp", F.lit(k).alias("level"))
+            rows = one if rows is None else rows.union(one)
+        return scratch.save(rows)
+
+    # Towards an end of each component, from its vertex of least degree, while that makes the search deeper.
+    root = seeds.select("comp", "id")
+    open_ = root
+    level = depths(open_)
+    for _ in range(tries):
+        deep = level.groupBy("comp").agg(F.max("level").alias("deep"))
+        at = level.join(deep, "comp").join(open_.select(F.col("comp"), F.col("id").alias("root")), "comp").join(vertices.select("id", "degree"), "id")
+        far = at.where("level = deep OR id = root").groupBy("comp", "root", "deep").agg(least.alias("f"))
+        far = scratch.save(far.where("f.id <> root").select("comp", "f.id", "deep"))
+        if not far.take(1):
+            break
+        other = depths(far.select("comp", "id"))
+        deeper = other.groupBy("comp").agg(F.max("level").alias("now")).join(far, "comp").where("now > deep").select("comp", "id")
+        open_ = scratch.save(deeper)
+        if not open_.take(1):
+            break
+        root = scratch.save(root.join(open_.select("comp"), "comp", "left_anti").union(open_))
+        level = other.join(open_.select("comp"), "comp", "left_semi")
+    first = ordered(seeds, [F.col("degree"), F.col("id")], scratch).select("comp", F.col("pos").alias("part"))
+    start = root.join(first, "comp").select("id", "part", F.col("part").alias("pos"))
+
+    def numbered(new: DataFrame) -> DataFrame:
+        new = new.join(vertices.select("id", "degree"), "id").withColumnRenamed("pos", "behind")
+        return ordered(new, [F.col("behind"), F.col("degree"), F.col("id")], scratch).select("id", "part", "pos")
+
+    step = lambda met: met.groupBy(F.col("v").alias("id")).agg(F.min("part").alias("part"), F.min("pos").alias("pos"))
+    n, rows = vertices.count(), None
+    for k, one in enumerate(_walk(both, start, n, scratch, step, numbered)):
+        one = one.select("id", "part", F.lit(k).alias("level"), F.col("pos").alias("in_level"))
+        rows = one if rows is None else rows.union(one)
+    return ordered(rows, [F.col("part"), F.col("level"), F.col("in_level")], scratch).select("id", (F.lit(n - 1) - F.col("pos")).alias("new_id"))

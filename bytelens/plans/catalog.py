@@ -481,7 +481,7 @@ def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def rcm_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return content.graph_order(_edges(spark, sf_dir), "rcm")
+    return content.large_graph_order(_edges(spark, sf_dir), "rcm")
 
 
 @query()

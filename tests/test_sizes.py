@@ -158,3 +158,20 @@ def test_a_set_is_dealt_once_for_all_its_pairs(spark):
     assert {(x["a"], x["b"], x["na"], x["nb"], x["both"]) for x in found.collect()} == {(a, b, 30, 30, max(0, 30 - b + a)) for a in range(50) for b in range(a + 1, 50)}
     asked = [x for x in scratch.written if x.columns == ["grp", "i", "j", "uid"]]
     assert [x.count() for x in asked] == [50]
+
+
+def test_large_graphs_are_ordered_in_rounds(spark):
+    """Several components, self loops, repeated edges and a path: the order by levels is that of the sequence."""
+    from bytelens.functions import orders
+    from bytelens.operators import content
+
+    r = np.random.default_rng(3)
+    e = [(int(a), int(b)) for a, b in zip(r.integers(0, 30, 45), r.integers(100, 140, 45), strict=True)] + [(200 + i, 201 + i) for i in range(5)] + [(300, 300), (200, 200), (7, 5)]
+    df = spark.createDataFrame(e, "src long, dst long")
+    names = sorted({x for p in e for x in p})
+    at = {x: i for i, x in enumerate(names)}
+    want = orders.inverse(orders.rcm(len(names), [(at[a], at[b]) for a, b in e]))
+    got = {x["id"]: x["new_id"] for x in content.large_graph_order(df, "rcm", most=10).collect()}
+    assert got == dict(zip(names, want, strict=True))
+    got = {x["id"]: x["new_id"] for x in content.large_graph_order(df, "community", most=10).collect()}
+    assert sorted(got) == names and sorted(got.values()) == list(range(len(names)))
