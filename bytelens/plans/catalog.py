@@ -486,7 +486,7 @@ def rcm_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def community_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return content.graph_order(_edges(spark, sf_dir), "community")
+    return content.large_graph_order(_edges(spark, sf_dir), "community")
 
 
 # Streams -----------------------------------------------------------------------------------------
